@@ -26,9 +26,13 @@ NAMED_SETS = {
 FORECAST_NAMES = {"dewPt": "dewpt"}
 
 
+def is_landed(scheduled: str, departed: str, arrived: str) -> Column:
+    """Whether a flight has a scheduled departure, a take-off and a landing."""
+    return F.col(scheduled).isNotNull() & F.col(departed).isNotNull() & F.col(arrived).isNotNull()
+
+
 def landed_only(df: DataFrame, scheduled: str, departed: str, arrived: str) -> DataFrame:
-    """Flights with a scheduled departure, a take-off and a landing."""
-    return df.where(F.col(scheduled).isNotNull() & F.col(departed).isNotNull() & F.col(arrived).isNotNull())
+    return df.where(is_landed(scheduled, departed, arrived))
 
 
 def resolve_path(path: str) -> Column:

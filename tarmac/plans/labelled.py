@@ -11,7 +11,8 @@ from tarmac.functions.classify import CANCELED_STATUS, class_message, classify5
 from tarmac.functions.timecols import whole_minutes
 from tarmac.operators.asof import weather_at_both_ends
 from tarmac.operators.joins import join_airports, join_status
-from tarmac.operators.projections import landed_only
+from tarmac.operators.projections import is_landed
+from tarmac.session import written
 
 
 def label_flights(
@@ -27,12 +28,11 @@ def label_flights(
     Only landed flights are kept; with `keep_cancelled` cancelled ones are too, landed
     or not.
     """
-    landed = landed_only(flights, scheduled, departed, arrived)
+    kept = is_landed(scheduled, departed, arrived)
     if keep_cancelled:
-        complete = F.col(scheduled).isNotNull() & F.col(departed).isNotNull() & F.col(arrived).isNotNull()
-        landed = flights.where(complete | (F.col("status") == CANCELED_STATUS))
+        kept = kept | (F.col("status") == CANCELED_STATUS)
     return (
-        landed.withColumn("deltaDeparture", whole_minutes(F.col(scheduled), F.col(departed)))
+        flights.where(kept).withColumn("deltaDeparture", whole_minutes(F.col(scheduled), F.col(departed)))
         .withColumn("classification", classify5(F.col("deltaDeparture"), F.col("status"), compat))
         .withColumn("classificationMsg", class_message(F.col("classification")))
     )
@@ -47,13 +47,17 @@ def build_labelled_flights(
     granularity: str = "exact",
     compat: bool = False,
     keep_cancelled: bool = False,
+    materialise: bool = True,
 ) -> DataFrame:
-    """The whole data set build as one plan.
+    """The whole data set build.
 
-    Flights are shuffled for the status join and once per end for the weather; the
-    airports are small enough to be broadcast as long as they stay below the
-    session's threshold.
+    Flights are shuffled for the status join and once per end for the weather. The
+    weather search reads the flights twice, for its points and for the result, so
+    the joined flights are written once in between; `materialise=False` leaves one
+    lazy plan that computes them twice.
     """
     known = join_airports(schedules, airports).drop("departureAirport", "arrivalAirport")
     labelled = label_flights(join_status(known, statuses, keys), compat=compat, keep_cancelled=keep_cancelled)
+    if materialise:
+        labelled = written(labelled, "labelled")
     return weather_at_both_ends(labelled, observations, scheduled="gate_departure", granularity=granularity)

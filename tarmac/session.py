@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     # Schedules hold local times without a zone; every instant is kept in UTC.
@@ -48,3 +48,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             _local_dirs[app] = tempfile.mkdtemp(prefix="tarmac-")
         base = _local_dirs[app]
     return f"{base.rstrip('/')}/tarmac/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in the shared folder.
+
+    For a costly result that is read more than once: it is computed once, and a lost
+    executor costs a re-read and not the joins before it.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

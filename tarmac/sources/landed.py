@@ -95,18 +95,15 @@ def ingest_statuses(raw: DataFrame, keys: Sequence[str], body: str = "body") ->
     parsed = _fields(raw, body, ["flightStatuses"])
     listed = F.col("_answer.flightStatuses")
     first = F.get(F.from_json(listed, f"array<struct<{FLIGHT_STATUS}>>"), F.lit(0))
-    times = F.col("_first.operationalTimes")
+    instants = [
+        F.col(f"_first.operationalTimes.{name}.dateUtc").cast("timestamp_ntz").alias(name)
+        for name in ("scheduledGateDeparture", "actualRunwayDeparture", "actualRunwayArrival")
+    ]
     return (
         parsed.where(_failure(listed, False).isNull())
         .withColumn("_first", first)
         .where(F.col("_first").isNotNull())
-        .select(
-            *keys,
-            F.col("_first.status").alias("status"),
-            times["scheduledGateDeparture"]["dateUtc"].alias("scheduledGateDeparture"),
-            times["actualRunwayDeparture"]["dateUtc"].alias("actualRunwayDeparture"),
-            times["actualRunwayArrival"]["dateUtc"].alias("actualRunwayArrival"),
-        )
+        .select(*keys, F.col("_first.status").alias("status"), *instants)
     )
 
 

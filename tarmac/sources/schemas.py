@@ -21,7 +21,7 @@ SCHEDULED_FLIGHT = (
     "referenceCode string"
 )
 
-_INSTANT = "struct<dateUtc timestamp_ntz>"
+_INSTANT = "struct<dateUtc timestamp>"
 FLIGHT_STATUS = (
     f"status string, operationalTimes struct<scheduledGateDeparture {_INSTANT}, "
     f"actualRunwayDeparture {_INSTANT}, actualRunwayArrival {_INSTANT}>"
