@@ -11,23 +11,29 @@ from tarmac.operators.handlers import DefaultHandler, ThreeClassHandler
 from tarmac.operators.projections import in_data_set
 from tarmac.plans import scoring, training
 from tarmac.plans import workload as w
-from tarmac.session import shared_dir
+from tarmac.session import shared_dir, written
 
 _HANDLER = DefaultHandler()
 
 
-def _set(spark, folder, name):
-    return in_data_set(w.labelled(spark, folder), "dep", name, w.DATA_SETS)
+def _labelled(spark, folder):
+    """The training records as a table: training and scoring both read them."""
+    return written(w.labelled(spark, folder), "labelled")
 
 
-def _registry(spark, folder, names=tuple(models.MODELS)):
-    return models.train_all(labelled_set(_set(spark, folder, "training"), _HANDLER), _HANDLER, names)
+def _set(labelled, name):
+    return in_data_set(labelled, "dep", name, w.DATA_SETS)
+
+
+def _registry(labelled, names=tuple(models.MODELS)):
+    return models.train_all(labelled_set(_set(labelled, "training"), _HANDLER), _HANDLER, names)
 
 
 def _trained(spark, folder, name):
     """Predictions of one model on the flights it was not trained on."""
-    registry = _registry(spark, folder, (name,))
-    scored = training.score_labelled(_set(spark, folder, "test"), registry, _HANDLER, ["flight_id"])
+    labelled = _labelled(spark, folder)
+    registry = _registry(labelled, (name,))
+    scored = training.score_labelled(_set(labelled, "test"), registry, _HANDLER, ["flight_id"])
     return scored.select(
         "flight_id", F.col("label").cast("int").alias("label"), F.col(models.prediction_column(name)).cast("int").alias("prediction")
     )
@@ -55,15 +61,16 @@ def train_random_forest(spark, folder):
 
 @query()
 def score_batch(spark, folder):
-    registry = _registry(spark, folder)
-    return training.score_labelled(w.labelled(spark, folder), registry, _HANDLER, ["flight_id"]).drop("features")
+    labelled = _labelled(spark, folder)
+    return training.score_labelled(labelled, _registry(labelled), _HANDLER, ["flight_id"]).drop("features")
 
 
 @query()
 def score_with_label(spark, folder):
     """Label and prediction pairs, the input of all metrics."""
-    registry = _registry(spark, folder, ("decision_tree", "naive_bayes"))
-    scored = training.score_labelled(_set(spark, folder, "test"), registry, _HANDLER, ["flight_id"])
+    labelled = _labelled(spark, folder)
+    registry = _registry(labelled, ("decision_tree", "naive_bayes"))
+    scored = training.score_labelled(_set(labelled, "test"), registry, _HANDLER, ["flight_id"])
     return models.long_predictions(scored, registry, ["flight_id", F.col("label").cast("int").alias("label")])
 
 
@@ -105,7 +112,7 @@ def score_upcoming(spark, folder):
         w.airlines(spark, folder),
         equipment,
         w.forecasts(spark, folder),
-        _registry(spark, folder, ("naive_bayes", "decision_tree")),
+        _registry(_labelled(spark, folder), ("naive_bayes", "decision_tree")),
         _HANDLER,
         {"dewPt": "dewpoint"},
     )
@@ -115,11 +122,12 @@ def score_upcoming(spark, folder):
 @query()
 def registry_roundtrip(spark, folder):
     """Flights whose predictions differ after saving and loading the models, by model: none may."""
-    registry = _registry(spark, folder, ("naive_bayes", "decision_tree"))
+    labelled = _labelled(spark, folder)
+    registry = _registry(labelled, ("naive_bayes", "decision_tree"))
     path = shared_dir(spark, "models")
     registry.save(spark, path)
     loaded = models.ModelRegistry.load(spark, path)
-    test = _set(spark, folder, "test")
+    test = _set(labelled, "test")
     keep = ["flight_id"]
     before = training.score_labelled(test, registry, _HANDLER, keep)
     after = training.score_labelled(test, loaded, _HANDLER, keep)

@@ -38,40 +38,43 @@ def points_of(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
 
 
 def neighbours(points: DataFrame, index: DataFrame, seconds: int = DAY) -> DataFrame:
-    """The last observation at or before each point, and the first at or after it.
+    """Instants of the last observation at or before each point, and the first at or after it.
 
     Windows run per (station, slice); a slice that holds no observation on one side
     takes it from the nearest slice that does. Both windows grow from the start of
-    the partition: one reads the slice forward, the other backward.
+    the partition: one reads the slice forward, the other backward. Only stations and
+    instants take part, so what is sorted stays narrow however wide an observation is.
     """
     rows = (
-        points.select("_station", "_at", F.lit(1).alias("_kind"))
-        .unionByName(index.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+        points.select("_station", "_at", F.lit(None).cast(dict(index.dtypes)["_at"]).alias("_seen"))
+        .unionByName(index.select("_station", "_at", F.col("_at").alias("_seen")))
         .withColumn("_slice", time_slice(F.col("_at"), seconds))
         .repartition("_station", "_slice")
     )
     slice_of_station = Window.partitionBy("_station", "_slice")
     upto = (Window.unboundedPreceding, Window.currentRow)
-    forward = slice_of_station.orderBy(F.col("_at").asc(), F.col("_kind").asc()).rowsBetween(*upto)
-    backward = slice_of_station.orderBy(F.col("_at").desc(), F.col("_kind").asc()).rowsBetween(*upto)
+    forward = slice_of_station.orderBy(F.col("_at").asc(), F.col("_seen").asc_nulls_last()).rowsBetween(*upto)
+    backward = slice_of_station.orderBy(F.col("_at").desc(), F.col("_seen").desc_nulls_last()).rowsBetween(*upto)
 
-    observed_at = F.when(F.col("_kind") == 0, F.col("_at"))
-    ends = rows.groupBy("_station", "_slice").agg(
-        F.min_by("_obs", observed_at).alias("_first"), F.max_by("_obs", observed_at).alias("_last")
-    )
+    # Reads the same columns as the windows, so that both share one shuffle.
+    observed_at = F.when(F.col("_seen").isNotNull(), F.col("_at"))
     others = (Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("_station").orderBy(F.col("_slice").asc()).rowsBetween(*others)
     later = Window.partitionBy("_station").orderBy(F.col("_slice").desc()).rowsBetween(*others)
-    carried = ends.select(
-        F.col("_station").alias("_c_station"),
-        F.col("_slice").alias("_c_slice"),
-        F.last("_last", ignorenulls=True).over(earlier).alias("_carry_before"),
-        F.last("_first", ignorenulls=True).over(later).alias("_carry_after"),
+    carried = (
+        rows.groupBy("_station", "_slice")
+        .agg(F.min(observed_at).alias("_first"), F.max(observed_at).alias("_last"))
+        .select(
+            F.col("_station").alias("_c_station"),
+            F.col("_slice").alias("_c_slice"),
+            F.max("_last").over(earlier).alias("_carry_before"),
+            F.min("_first").over(later).alias("_carry_after"),
+        )
     )
     inside = (
-        rows.withColumn("_in_before", F.last("_obs", ignorenulls=True).over(forward))
-        .withColumn("_in_after", F.last("_obs", ignorenulls=True).over(backward))
-        .where(F.col("_kind") == 1)
+        rows.withColumn("_in_before", F.max("_seen").over(forward))
+        .withColumn("_in_after", F.min("_seen").over(backward))
+        .where(F.col("_seen").isNull())
     )
     return inside.join(
         carried, (F.col("_station") == F.col("_c_station")) & (F.col("_slice") == F.col("_c_slice")), "left"
@@ -83,20 +86,14 @@ def neighbours(points: DataFrame, index: DataFrame, seconds: int = DAY) -> DataF
     )
 
 
-def _nearer(at: Column, time: str) -> Column:
-    before, after = F.col("_before"), F.col("_after")
-    to_before = micros(at) - micros(before[time])
-    to_after = micros(after[time]) - micros(at)
-    return F.when(after.isNull() | (to_before <= to_after), before).otherwise(after)
+def _nearer() -> Column:
+    at, before, after = F.col("_at"), F.col("_before"), F.col("_after")
+    to_before = micros(at) - micros(before)
+    to_after = micros(after) - micros(at)
+    return F.when(after.isNull() | (to_before <= to_after), before).otherwise(F.coalesce(after, before))
 
 
-def nearest(
-    points: DataFrame,
-    index: DataFrame,
-    time: str = "valid_time",
-    granularity: str = "exact",
-    seconds: int = DAY,
-) -> DataFrame:
+def nearest(points: DataFrame, index: DataFrame, granularity: str = "exact", seconds: int = DAY) -> DataFrame:
     """The observation closest to each point, as column `_obs`; no maximum gap.
 
     `granularity="exact"`: smallest distance, then the earlier observation.
@@ -104,23 +101,24 @@ def nearest(
     observation among equals is taken. Once the smallest such distance d is known,
     that is the first observation after point - (d + 1) minutes.
     """
-    found = neighbours(points, index, seconds).select(
-        "_station", "_at", F.when(F.col("_before").isNull(), F.col("_after")).otherwise(_nearer(F.col("_at"), time)).alias("_obs")
-    )
-    if granularity == "exact":
-        return found
-    if granularity != "minute":
+    if granularity not in ("exact", "minute"):
         raise ValueError(f"unknown granularity {granularity!r}")
-    distance = F.abs(whole_minutes(F.col("_obs")[time], F.col("_at")))
-    start = F.timestamp_add("MICROSECOND", F.lit(1), F.timestamp_add("MINUTE", (-distance - 1).cast("int"), F.col("_at")))
-    shifted = found.where(F.col("_obs").isNotNull()).select(
-        "_station", "_at", start.cast(dict(found.dtypes)["_at"]).alias("_from")
-    )
-    first = neighbours(points_of(shifted, ("_station", "_from")), index, seconds).select(
-        F.col("_station").alias("_f_station"), F.col("_at").alias("_f_at"), F.col("_after").alias("_obs")
-    )
-    return shifted.join(
-        first, (F.col("_station") == F.col("_f_station")) & (F.col("_from") == F.col("_f_at"))
+    found = neighbours(points, index, seconds).select("_station", "_at", _nearer().alias("_found"))
+    if granularity == "minute":
+        distance = F.abs(whole_minutes(F.col("_found"), F.col("_at")))
+        start = F.timestamp_add("MICROSECOND", F.lit(1), F.timestamp_add("MINUTE", (-distance - 1).cast("int"), F.col("_at")))
+        shifted = found.where(F.col("_found").isNotNull()).select(
+            "_station", "_at", start.cast(dict(found.dtypes)["_at"]).alias("_from")
+        )
+        first = neighbours(points_of(shifted, ("_station", "_from")), index, seconds).select(
+            F.col("_station").alias("_f_station"), F.col("_at").alias("_f_at"), F.col("_after").alias("_found")
+        )
+        found = shifted.join(
+            first, (F.col("_station") == F.col("_f_station")) & (F.col("_from") == F.col("_f_at"))
+        ).select("_station", "_at", "_found")
+    observed = index.select(F.col("_station").alias("_o_station"), F.col("_at").alias("_o_at"), "_obs")
+    return found.join(
+        observed, (F.col("_station") == F.col("_o_station")) & (F.col("_found") == F.col("_o_at"))
     ).select("_station", "_at", "_obs")
 
 
@@ -148,7 +146,7 @@ def nearest_observation(
 ) -> DataFrame:
     """Each row with the observation at `station` closest to `at`, as struct `name`."""
     index = observation_index(observations, obs_station, obs_time, obs_tie)
-    answers = nearest(points_of(df, (station, at)), index, obs_time, granularity, seconds)
+    answers = nearest(points_of(df, (station, at)), index, granularity, seconds)
     return attach(df, answers, station, at, name)
 
 

@@ -92,10 +92,30 @@ def feature_width(handler: DefaultHandler | None = None) -> int:
     return 2 * len(ATTRIBUTES) + len((handler or DefaultHandler()).extra_features())
 
 
+def _train_dense(labelled: DataFrame, pipeline: Pipeline, name: str) -> PipelineModel:
+    """Train a classifier that numbers the classes it sees, and number them back.
+
+    Spark's naive Bayes predicts the position of a class among those that occur in
+    the training data, so a class that does not occur would shift all later ones.
+    """
+    seen = sorted(r.label for r in labelled.select("label").distinct().collect())
+    positions = F.array_position(F.array(*[F.lit(c) for c in seen]), F.col("label")) - 1
+    model = pipeline.fit(labelled.withColumn("label", positions.cast("double")))
+    column = prediction_column(name)
+    classes = ", ".join(f"{c}D" for c in seen)
+    restore = SQLTransformer(
+        statement=f"SELECT * EXCEPT ({column}), get(array({classes}), int({column})) AS {column} FROM __THIS__"
+    )
+    return PipelineModel([*model.stages, restore])
+
+
 def train(labelled: DataFrame, name: str, handler: DefaultHandler | None = None, **options) -> PipelineModel:
     """Train one of MODELS on (label, features)."""
     handler = handler or DefaultHandler()
-    return MODELS[name](feature_width(handler), **options).fit(with_classes(labelled, handler))
+    pipeline = MODELS[name](feature_width(handler), **options)
+    if name == "naive_bayes":
+        return _train_dense(labelled, pipeline, name)
+    return pipeline.fit(with_classes(labelled, handler))
 
 
 def train_all(

@@ -15,6 +15,7 @@ from tarmac.operators.joins import disambiguate_leg, join_appendix, join_forecas
 from tarmac.operators.models import ModelRegistry, score
 from tarmac.operators.projections import FORECAST_NAMES
 from tarmac.operators.voting import vote_in_row
+from tarmac.session import written
 
 # Fixed value: the departure airport of a search that names none.
 DEFAULT_AIRPORT = "LAS"
@@ -93,15 +94,18 @@ def score_upcoming(
     registry: ModelRegistry,
     handler: DefaultHandler | None = None,
     forecast_names: dict[str, str] = FORECAST_NAMES,
+    materialise: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Payload rows of all requests that name a flight, and the rejected requests.
 
-    One plan for the whole table of requests: look-ups and forecasts are joins, the
-    models and the vote are projections.
+    Look-ups and forecasts are joins, the models and the vote are projections. Both
+    results start from the resolved requests, so these are written once first.
     """
     registry.require()
     handler = handler or DefaultHandler()
     resolved = resolve_requests(requests, schedules, airports)
+    if materialise:
+        resolved = written(resolved, "resolved")
     rejects = resolved.where(F.col("reject_reason").isNotNull()).drop("leg")
     found = resolved.where(F.col("reject_reason").isNull()).select("request_id", "carrierFsCode", "flightNumber", "leg.*")
     found = join_appendix(found, equipment, "flightEquipmentIataCode", "iata", "equipmentInfo", empty=True)

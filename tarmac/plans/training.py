@@ -13,6 +13,7 @@ from tarmac.operators.handlers import DefaultHandler
 from tarmac.operators.metrics import confusion_counts, weighted_metrics
 from tarmac.operators.models import MODELS, ModelRegistry, long_predictions, score, train_all
 from tarmac.operators.projections import in_data_set
+from tarmac.session import written
 
 
 def score_labelled(flights: DataFrame, registry: ModelRegistry, handler: DefaultHandler | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -34,9 +35,15 @@ def compare_handlers(
     training: str = "training",
     test: str = "test",
     names: Iterable[str] = tuple(MODELS),
+    materialise: bool = True,
     **options,
 ) -> DataFrame:
-    """Scores on the held-out set by (handler, model), retraining for each handler."""
+    """Scores on the held-out set by (handler, model), retraining for each handler.
+
+    Every handler reads the flights anew, so they are written once first.
+    """
+    if materialise:
+        flights = written(flights, "compare")
     train_flights = in_data_set(flights, airport, training, sets)
     test_flights = in_data_set(flights, airport, test, sets)
     results = []

@@ -112,6 +112,7 @@ def test_windows_are_cut_by_time_slice(rows):
         rows([(1, "BOS", BASE, "BOS", BASE)], FLIGHTS), rows([(1, "BOS", BASE, 1.0)], OBSERVATIONS), "dep", "sched", "weather"
     )
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    per_row = [line for line in plan.splitlines() if "Window [last(_obs" in line]
-    assert per_row and all("_slice" in line.split("windowspecdefinition(")[1].split(" ASC")[0] for line in per_row)
+    specs = [line.split("windowspecdefinition(")[1] for line in plan.splitlines() if "Window [" in line]
+    over_rows = [spec for spec in specs if "_at#" in spec]
+    assert len(over_rows) == 2 and all("_slice" in spec.split("_at#")[0] for spec in over_rows)
     assert found.where(F.col("weather.obs_id") == 1).count() == 1

@@ -20,20 +20,25 @@ def events(spark):
         (i, rng.choice(users), base + timedelta(minutes=rng.choice([0, 5, 1440]) * rng.randrange(8) + rng.randrange(3)))
         for i in range(400)
     ]
+    data += [(1000 + i, rng.choice(users), None) for i in range(20)]
     return spark.createDataFrame(data, EVENTS)
 
 
 @pytest.mark.parametrize("seconds", [HOUR, DAY, 1000 * DAY])
 def test_row_numbers_equal_plain_window(events, seconds):
-    plain = events.withColumn("nr", F.row_number().over(Window.partitionBy("user").orderBy("at", "id")).cast("bigint"))
+    number = F.row_number().over(Window.partitionBy("user").orderBy(F.col("at").asc_nulls_last(), "id")).cast("bigint")
+    plain = events.withColumn("nr", F.when(F.col("user").isNotNull() & F.col("at").isNotNull(), number))
     sliced = row_numbers(events, ["user"], "at", "id", "nr", seconds)
     assert sorted(map(str, sliced.collect())) == sorted(map(str, plain.collect()))
 
 
 @pytest.mark.parametrize("seconds", [60, HOUR, DAY, 1000 * DAY])
 def test_next_two_equals_lead(events, seconds):
-    order = Window.partitionBy("user").orderBy("at", "id")
-    plain = events.withColumn("n1", F.lead("at", 1).over(order)).withColumn("n2", F.lead("at", 2).over(order))
+    order = Window.partitionBy("user").orderBy(F.col("at").asc_nulls_last(), "id")
+    known = F.col("user").isNotNull() & F.col("at").isNotNull()
+    plain = events.withColumn("n1", F.when(known, F.lead("at", 1).over(order))).withColumn(
+        "n2", F.when(known, F.lead("at", 2).over(order))
+    )
     sliced = next_two(events, "user", "at", "id", "n1", "n2", seconds)
     assert sorted(map(str, sliced.collect())) == sorted(map(str, plain.collect()))
 
