@@ -71,11 +71,9 @@ def neighbours(points: DataFrame, index: DataFrame, seconds: int = DAY) -> DataF
             F.min("_first").over(later).alias("_carry_after"),
         )
     )
-    inside = (
-        rows.withColumn("_in_before", F.max("_seen").over(forward))
-        .withColumn("_in_after", F.min("_seen").over(backward))
-        .where(F.col("_seen").isNull())
-    )
+    inside = rows.withColumns(
+        {"_in_before": F.max("_seen").over(forward), "_in_after": F.min("_seen").over(backward)}
+    ).where(F.col("_seen").isNull())
     return inside.join(
         carried, (F.col("_station") == F.col("_c_station")) & (F.col("_slice") == F.col("_c_slice")), "left"
     ).select(

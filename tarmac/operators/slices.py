@@ -39,8 +39,8 @@ def _sliced(df: DataFrame, keys: Sequence[str], at: str, tie: str, seconds: int)
     """
     known = reduce(and_, [F.col(c).isNotNull() for c in [*keys, at]])
     aside = -1 - F.pmod(F.xxhash64(tie), F.lit(ASIDE))
-    return df.withColumn("_known", known).withColumn(
-        "_slice", F.when(known, time_slice(F.col(at), seconds)).otherwise(aside)
+    return df.withColumns(
+        {"_known": known, "_slice": F.when(known, time_slice(F.col(at), seconds)).otherwise(aside)}
     )
 
 
@@ -79,10 +79,12 @@ def next_two(df: DataFrame, key: str, at: str, tie: str, first: str, second: str
     """
     sliced = _sliced(df, [key], at, tie, seconds).repartition(key, "_slice")
     inside = Window.partitionBy(key, "_slice").orderBy(at, tie)
-    marked = (
-        sliced.withColumn("_nr", F.row_number().over(inside))
-        .withColumn("_next1", F.lead(at, 1).over(inside))
-        .withColumn("_next2", F.lead(at, 2).over(inside))
+    marked = sliced.withColumns(
+        {
+            "_nr": F.row_number().over(inside),
+            "_next1": F.lead(at, 1).over(inside),
+            "_next2": F.lead(at, 2).over(inside),
+        }
     )
     # The first two instants of a slice are all that earlier slices can need of it.
     heads = (

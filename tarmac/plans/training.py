@@ -21,10 +21,17 @@ def score_labelled(flights: DataFrame, registry: ModelRegistry, handler: Default
     return score(labelled_set(flights, handler, keep), registry)
 
 
+def prediction_counts(flights: DataFrame, registry: ModelRegistry, handler: DefaultHandler | None = None) -> DataFrame:
+    """Counts per (model, label, prediction), from one pass over the flights.
+
+    Both `weighted_metrics` and `confusion_matrix` start from them.
+    """
+    return confusion_counts(long_predictions(score_labelled(flights, registry, handler), registry, ["label"]))
+
+
 def evaluate(flights: DataFrame, registry: ModelRegistry, handler: DefaultHandler | None = None) -> DataFrame:
-    """Weighted scores of every model, from one pass over the flights."""
-    scored = long_predictions(score_labelled(flights, registry, handler), registry, ["label"])
-    return weighted_metrics(confusion_counts(scored))
+    """Weighted scores of every model."""
+    return weighted_metrics(prediction_counts(flights, registry, handler))
 
 
 def compare_handlers(

@@ -5,7 +5,7 @@ from conftest import at
 from pyspark.sql import functions as F
 
 from tarmac.functions.classify import class_label5
-from tarmac.operators import features, handlers, models, projections
+from tarmac.operators import features, handlers, metrics, models, projections
 from tarmac.operators.handlers import DefaultHandler, ThreeClassHandler, WeekdayHandler
 from tarmac.plans import scoring, training
 from tarmac.plans.labelled import build_labelled_flights, label_flights
@@ -142,6 +142,9 @@ def test_all_models_learn_and_survive_saving(spark, flights, tmp_path):
     accuracy = {m: r.accuracy for m, r in scores.items()}
     assert accuracy["decision_tree"] == accuracy["random_forest"] == accuracy["logistic_regression"] == 1.0, accuracy
     assert accuracy["naive_bayes"] > 0.5, accuracy
+    counts = training.prediction_counts(test, registry, handler)
+    matrix = metrics.confusion_matrix(counts, handler.classes()).where("model = 'decision_tree'").collect()
+    assert {r.label: r[f"predicted_{r.label}"] for r in matrix} == {1: 27, 2: 26, 4: 27}
     registry.save(spark, str(tmp_path / "models"))
     loaded = models.ModelRegistry.load(spark, str(tmp_path / "models"))
     assert list(loaded.models) == list(registry.models)
