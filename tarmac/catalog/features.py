@@ -75,9 +75,10 @@ def clamp_nonneg_int(spark, folder):
     return _long_rounded(_features(spark, folder, f.clamp_nonneg_int))
 
 
-@query()
+@query(_long("{v}", _BOTH, _OBSERVED).replace("f.flight_id,", "f.flight_id, cast(f.classification as double) as label,"))
 def labelled_set(spark, folder):
-    return f.labelled_set(w.labelled(spark, folder), keep=["flight_id"])
+    labelled = f.labelled_set(w.labelled(spark, folder), keep=["flight_id"])
+    return f.long_form(labelled, ["flight_id", "label"]).select("flight_id", "label", "position", *rounded("value"))
 
 
 def _handled(spark, folder, handler):

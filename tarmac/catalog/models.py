@@ -1,4 +1,4 @@
-"""Trained models. What they predict depends on the training, so only rows are checked."""
+"""Trained models. What they predict depends on the training, which SQL cannot follow."""
 
 from __future__ import annotations
 
@@ -102,6 +102,24 @@ def upcoming_inputs(spark, folder):
     return requests, schedules, airports, equipment
 
 
+@query("""select f.flight_id as request_id, f.carrier as carrierFsCode, f.flight_number as flightNumber,
+      cast(hour(timezone('UTC', timezone(d.zone, f.sched))) as int) as want_hour, cast(1 as bigint) as candidates,
+      f.dep as departureAirportFsCode, f.arr as arrivalAirportFsCode,
+      timezone('UTC', timezone(d.zone, f.sched)) as departureTimeUTC,
+      timezone('UTC', timezone(a.zone, f.act_arr)) as arrivalTimeUTC
+    from f_landed f join f_airports d on d.fs = f.dep join f_airports a on a.fs = f.arr""")
+def resolve_requests(spark, folder):
+    requests, schedules, airports, _equipment = upcoming_inputs(spark, folder)
+    return scoring.resolve_requests(requests, schedules, airports).select(
+        "request_id",
+        "carrierFsCode",
+        "flightNumber",
+        "want_hour",
+        "candidates",
+        *[F.col(f"leg.{c}").alias(c) for c in ("departureAirportFsCode", "arrivalAirportFsCode", "departureTimeUTC", "arrivalTimeUTC")],
+    )
+
+
 @query()
 def score_upcoming(spark, folder):
     requests, schedules, airports, equipment = upcoming_inputs(spark, folder)
@@ -119,7 +137,10 @@ def score_upcoming(spark, folder):
     return payload.select("request_id", F.to_json("flightInfo").alias("flight"), F.to_json("prediction").alias("prediction"))
 
 
-@query()
+@query("""select m.model, m.model_pos, count(*) as flights, cast(0 as bigint) as different
+    from f_landed join f_sets on airport = dep
+    cross join (select 'naive_bayes' as model, 1 as model_pos union all select 'decision_tree', 2) m
+    where data_set = 'test' group by m.model, m.model_pos""")
 def registry_roundtrip(spark, folder):
     """Flights whose predictions differ after saving and loading the models, by model: none may."""
     labelled = _labelled(spark, folder)

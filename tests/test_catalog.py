@@ -23,7 +23,6 @@ def test_same_rows_as_sql(spark, folder, duck, name):
 
 def test_only_trained_models_go_without_sql():
     assert set(TRAINED) == {
-        "labelled_set",
         "train_logreg",
         "train_naive_bayes",
         "train_decision_tree",
@@ -31,7 +30,6 @@ def test_only_trained_models_go_without_sql():
         "score_batch",
         "score_with_label",
         "score_upcoming",
-        "registry_roundtrip",
         "compare_handlers",
     }
 
