@@ -11,7 +11,7 @@ from tarmac.plans import workload as w
     from f_landed f left join f_dep_weather m on m.flight_id = f.flight_id""")
 def asof_departure_weather(spark, folder):
     found = asof.nearest_observation(
-        w.landed(spark, folder), w.observations(spark, folder), "dep", "sched", "weather"
+        w.landed_table(spark, folder), w.observations(spark, folder), "dep", "sched", "weather"
     )
     return found.select("flight_id", "dep", "sched", "weather.obs_id", "weather.valid_time", "weather.temp").select(
         "flight_id", "dep", "sched", "obs_id", "valid_time", *rounded("temp")
@@ -22,7 +22,7 @@ def asof_departure_weather(spark, folder):
     from f_landed f left join f_arr_weather m on m.flight_id = f.flight_id""")
 def asof_arrival_weather(spark, folder):
     found = asof.nearest_observation(
-        w.landed(spark, folder), w.observations(spark, folder), "arr", "act_arr", "weather"
+        w.landed_table(spark, folder), w.observations(spark, folder), "arr", "act_arr", "weather"
     )
     return found.select("flight_id", "arr", "act_arr", "weather.*").select(
         "flight_id", "arr", "act_arr", "obs_id", "valid_time", *rounded("temp")
@@ -35,7 +35,7 @@ def asof_arrival_weather(spark, folder):
           from f_landed f left join f_obs o on o.fs = f.dep) ranked where nr = 1""")
 def asof_departure_weather_minute(spark, folder):
     found = asof.nearest_observation(
-        w.landed(spark, folder), w.observations(spark, folder), "dep", "sched", "weather", granularity="minute"
+        w.landed_table(spark, folder), w.observations(spark, folder), "dep", "sched", "weather", granularity="minute"
     )
     return found.select("flight_id", "dep", "sched", "weather.obs_id", "weather.valid_time")
 

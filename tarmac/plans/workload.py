@@ -16,6 +16,7 @@ from tarmac.operators.projections import landed_only
 from tarmac.operators.slices import next_two
 from tarmac.operators.voting import vote_in_row
 from tarmac.plans.scoring import assemble_payload
+from tarmac.session import written
 
 FLIGHT_EVENTS = ("purchase", "signup", "error")
 OBSERVATION_EVENTS = ("view", "click")
@@ -101,6 +102,11 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
     return label_landed(flights(spark, folder))
 
 
+def landed_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The landed flights, written: a weather search reads its flights twice."""
+    return written(landed(spark, folder), "landed")
+
+
 def observations(spark: SparkSession, folder: str) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     value = F.col("value")
@@ -187,7 +193,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Landed flights with the weather of both ends: the training records."""
-    return weather_at_both_ends(landed(spark, folder), observations(spark, folder)).select(
+    return weather_at_both_ends(landed_table(spark, folder), observations(spark, folder)).select(
         "flight_id",
         "dep",
         "arr",
