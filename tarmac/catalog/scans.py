@@ -2,12 +2,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarmac.catalog.base import query, rounded
+from tarmac.catalog.base import day_text, query, rounded
 from tarmac.operators.routes import route_counts as count_routes
 from tarmac.operators.routes import route_links
 from tarmac.plans import workload as w
 from tarmac.session import shared_dir
 from tarmac.sources import accumulate, datasets, history, landed, metadata
+from tarmac.sources.schemas import AIRPORT
 
 
 @query("""select flight_id, dep, arr, carrier, flight_number, status, delta, cast(classification as bigint) as classification
@@ -132,6 +133,39 @@ def dedupe_observations(spark, folder):
     )
 
 
+def _raw_forecasts(spark, folder):
+    """An answer per forecast, fetched at the start of its day, and one three days earlier that is out of reach."""
+    issued = w.forecasts(spark, folder)
+    record = F.struct(
+        F.unix_seconds(F.col("fcst_valid").cast("timestamp")).alias("fcst_valid"),
+        F.col("dewpoint").alias("dewpt"),
+        *["temp", "rh", "vis", "wc", "wspd", "feels_like", "uv_index", "icon_code"],
+    )
+    days = F.explode(F.array(F.lit(0), F.lit(3)))
+    return issued.withColumn("_back", days).select(
+        "fs",
+        F.date_sub("issue_day", F.col("_back")).cast("timestamp_ntz").alias("fetched_at"),
+        F.to_json(F.struct(F.array(record).alias("forecasts"))).alias("body"),
+    )
+
+
+@query("""select fs, strftime(issue_day, '%Y-%m-%d') as issue_day, fcst_valid, round(dewpoint, 6) as dewpt, round(temp, 6) as temp,
+      cast(rh as double) as rh, icon_code from f_forecast""")
+def ingest_forecasts(spark, folder):
+    rows = landed.ingest_forecasts(_raw_forecasts(spark, folder))
+    return rows.select("fs", day_text("issue_day").alias("issue_day"), "fcst_valid", *rounded("dewpt", "temp"), "rh", "icon_code")
+
+
+@query("select distinct fs, name from f_airports join f_flights on arr = fs")
+def ingest_appendix(spark, folder):
+    """Every schedule answer repeats its destination in the appendix."""
+    places = w.airports(spark, folder).select(F.col("fs").alias("arr"), F.struct("fs", "name").alias("place"))
+    answers = w.flights(spark, folder).join(places, "arr").select(
+        F.to_json(F.struct(F.struct(F.array("place").alias("airports")).alias("appendix"))).alias("body")
+    )
+    return landed.ingest_appendix(answers, "airports", AIRPORT, "fs").select("fs", "name")
+
+
 def _raw_schedules(spark, folder):
     """Three answers per flight: its schedule, an hour without flights, and an error."""
     flights = w.flights(spark, folder)

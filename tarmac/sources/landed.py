@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.sources.schemas import FLIGHT_STATUS, OBSERVATION, SCHEDULED_FLIGHT
+from tarmac.sources.schemas import FLIGHT_STATUS, FORECAST, OBSERVATION, SCHEDULED_FLIGHT
 
 
 def _fields(raw: DataFrame, body: str, names: Sequence[str]) -> DataFrame:
@@ -110,3 +110,30 @@ def ingest_statuses(raw: DataFrame, keys: Sequence[str], body: str = "body") ->
 def ingest_list(raw: DataFrame, name: str, item: str, body: str = "body") -> DataFrame:
     """Rows of any answer that is one named list."""
     return _rows(raw, body, [name], item, lone_allowed=False).select("_item.*")
+
+
+def ingest_forecasts(
+    raw: DataFrame, hours: int = 48, station: str = "fs", fetched_at: str = "fetched_at", body: str = "body"
+) -> DataFrame:
+    """Forecasts of landed answers, up to `hours` after each fetch, with the day they were issued."""
+    rows = _rows(raw, body, ["forecasts"], FORECAST, lone_allowed=False)
+    valid = F.timestamp_seconds(F.col("_item.fcst_valid")).cast("timestamp_ntz")
+    fields = [F.col("_item").getField(name).alias(name) for name in _names(FORECAST) if name != "fcst_valid"]
+    return (
+        rows.withColumn("_valid", valid)
+        .where(F.col("_valid") <= F.timestamp_add("HOUR", F.lit(hours), F.col(fetched_at)).cast("timestamp_ntz"))
+        .select(station, F.to_date(fetched_at).alias("issue_day"), F.col("_valid").alias("fcst_valid"), *fields)
+    )
+
+
+def _names(item: str) -> list[str]:
+    return [field.strip().split(" ")[0] for field in item.split(",")]
+
+
+def ingest_appendix(raw: DataFrame, name: str, item: str, key: str, body: str = "body") -> DataFrame:
+    """One record per key from a list in the appendix of schedule answers.
+
+    Every answer repeats the records it mentions; they are reduced before the shuffle.
+    """
+    appendix = raw.select(F.get_json_object(body, "$.appendix").alias(body))
+    return ingest_list(appendix, name, item, body).where(F.col(key).isNotNull()).dropDuplicates([key])

@@ -9,7 +9,9 @@ from tarmac.operators import features, handlers, metrics, models, projections
 from tarmac.operators.handlers import DefaultHandler, ThreeClassHandler, WeekdayHandler
 from tarmac.plans import scoring, training
 from tarmac.plans.labelled import build_labelled_flights, label_flights
+from tarmac.session import shared_dir
 from tarmac.sources import history
+from tarmac.sources.schemas import HISTORY
 
 WEATHER = "struct<dewPt double, rh double, vis double, wc double, wspd double, feels_like double, uv_index double, temp double>"
 LABELLED = f"flight_id int, dep string, departureTime timestamp_ntz, deltaDeparture bigint, classification int, departureWeather {WEATHER}, arrivalWeather {WEATHER}"
@@ -217,6 +219,10 @@ def test_score_upcoming(spark, rows, flights):
     stored = {r.depAirportFSCode: r for r in history.flatten_payload(payload).collect()}
     assert (stored["BOS"].departureDate, stored["BOS"].departureTime) == ("October 12 2016", "04:40 PM")
     assert stored["BOS"].prediction.overall == a.prediction.overall
+    path = shared_dir(spark, "history")
+    history.save_history(history.flatten_payload(payload), path)
+    loaded = history.load_history(spark, path, HISTORY)
+    assert {r.depAirportFSCode: r.prediction for r in loaded.collect()} == {k: r.prediction for k, r in stored.items()}
     assert json.loads(payload.select(F.to_json("prediction").alias("j")).first().j)["overall"]
 
 

@@ -5,6 +5,7 @@ from conftest import at
 
 from tarmac.session import shared_dir
 from tarmac.sources import accumulate, datasets, history, landed, metadata
+from tarmac.sources.schemas import EQUIPMENT
 from tarmac.streaming.accumulate import accumulate_landed
 
 
@@ -77,6 +78,21 @@ def test_status_answers(rows):
     assert got["3"].actualRunwayArrival is None
 
 
+def test_forecast_and_appendix_answers(rows):
+    fetched = at("2016-10-12 00:00")
+    near, far = 1476230400 + 3600, 1476230400 + 49 * 3600
+    body = {
+        "forecasts": [{"fcst_valid": near, "dewpt": 1.5, "gust": None, "phrase_12char": "Fair"}, {"fcst_valid": far}],
+        "appendix": {"equipments": [{"iata": "32S", "name": "A320", "jet": True}, {"name": "no code"}]},
+    }
+    raw = rows([("BOS", fetched, json.dumps(body))] * 2, "fs string, fetched_at timestamp_ntz, body string")
+    got = landed.ingest_forecasts(raw).collect()
+    assert [(r.fs, r.fcst_valid, r.dewpt, r.gust, r.phrase_12char) for r in got] == [("BOS", at("2016-10-12 01:00"), 1.5, None, "Fair")] * 2
+    assert str(got[0].issue_day) == "2016-10-12"
+    equipment = landed.ingest_appendix(raw, "equipments", EQUIPMENT, "iata").collect()
+    assert [(r.iata, r.name, r.jet, r.widebody) for r in equipment] == [("32S", "A320", True, None)]
+
+
 def test_dedupe(rows):
     copies = rows([("A", 1, 5), ("A", 1, 4), ("B", 1, 7)], "fs string, valid_time int, obs_id int")
     assert {(r.fs, r.obs_id) for r in landed.dedupe_observations(copies, tie="obs_id").collect()} == {("A", 4), ("B", 7)}
