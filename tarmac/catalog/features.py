@@ -15,10 +15,11 @@ _BOTH = """f_landed f join f_dep_weather d on d.flight_id = f.flight_id join f_a
 
 def _long(value: str, source: str, names) -> str:
     """One row per flight and feature, with `value` around each attribute."""
-    return " union all ".join(
-        f"select f.flight_id, cast({i} as int) as position, round({value.format(v=f'cast({alias}.{a} as double)')}, 6) as value from {source}"
-        for i, (a, alias) in enumerate(names)
-    )
+    parts = []
+    for i, (attribute, alias) in enumerate(names):
+        number = value.format(v=f"cast({alias}.{attribute} as double)")
+        parts.append(f"select f.flight_id, cast({i} as int) as position, round({number}, 6) as value from {source}")
+    return " union all ".join(parts)
 
 
 _OBSERVED = [(a, _WEATHER[end]) for a, end in _NAMES]

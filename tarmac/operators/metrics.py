@@ -28,8 +28,18 @@ def weighted_metrics(counts: DataFrame, by: Sequence[str] = ("model",)) -> DataF
     none = F.lit(0).cast("bigint")
     roles = F.inline(
         F.array(
-            F.struct(F.col("label").alias("class"), F.col("rows").alias("support"), hit.cast("bigint").alias("hits"), none.alias("predicted")),
-            F.struct(F.col("prediction").alias("class"), none.alias("support"), none.alias("hits"), F.col("rows").alias("predicted")),
+            F.struct(
+                F.col("label").alias("class"),
+                F.col("rows").alias("support"),
+                hit.cast("bigint").alias("hits"),
+                none.alias("predicted"),
+            ),
+            F.struct(
+                F.col("prediction").alias("class"),
+                none.alias("support"),
+                none.alias("hits"),
+                F.col("rows").alias("predicted"),
+            ),
         )
     )
     per_class = counts.select(*by, roles).groupBy(*by, "class").agg(

@@ -42,7 +42,8 @@ def airport_nodes(history: DataFrame, dep: dict[str, str], arr: dict[str, str])
 
 
 def node_json(nodes: DataFrame) -> DataFrame:
-    return nodes.select(F.col("code").alias("id"), F.to_json(F.struct(F.col("code").alias("id"), "name", "latitude", "longitude")).alias("node"))
+    node = F.struct(F.col("code").alias("id"), "name", "latitude", "longitude")
+    return nodes.select(F.col("code").alias("id"), F.to_json(node).alias("node"))
 
 
 def airport_degree(links: DataFrame) -> DataFrame:

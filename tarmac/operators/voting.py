@@ -19,7 +19,13 @@ def verdict(ranked: Column, label: Callable[[Column], Column]) -> Column:
 def _best_first(entries: Column) -> Column:
     """Most votes first; among equals the class predicted first."""
     keyed = F.transform(
-        entries, lambda e: F.struct((-e["votes"]).alias("order"), e["first"].alias("first"), e["votes"].alias("votes"), e["prediction"].alias("prediction"))
+        entries,
+        lambda e: F.struct(
+            (-e["votes"]).alias("order"),
+            e["first"].alias("first"),
+            e["votes"].alias("votes"),
+            e["prediction"].alias("prediction"),
+        ),
     )
     return F.array_sort(keyed)
 

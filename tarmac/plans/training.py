@@ -16,7 +16,9 @@ from tarmac.operators.projections import in_data_set
 from tarmac.session import written
 
 
-def score_labelled(flights: DataFrame, registry: ModelRegistry, handler: DefaultHandler | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def score_labelled(
+    flights: DataFrame, registry: ModelRegistry, handler: DefaultHandler | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """Label and one prediction column per model for each flight, on the same row."""
     return score(labelled_set(flights, handler, keep), registry)
 
