@@ -5,8 +5,9 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from tarmac.catalog import ORACLES as SQL
+from tarmac.catalog import QUERIES
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 TRAINED = [n for n in QUERIES if n not in SQL]
 
 
@@ -36,6 +37,8 @@ def test_only_trained_models_go_without_sql():
 
 def test_sql_names_only_registered_queries():
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
