@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import licences, near_vectors, packing, quality, sentence_pieces, topk_search, toxicity
+from tarmac.llm import language_model, licences, near_vectors, packing, quality, sentence_pieces, topk_search, toxicity
 from tarmac.llm.common import crc_fold
 from tarmac.session import configure
 
@@ -124,3 +124,8 @@ def op7_licences(spark, folder):
 )
 def op8_topk_search(spark, folder):
     return topk_search.top_k(read(spark, folder, "embeddings"), "vec_id % 100 = 0", 10, 1024)
+
+
+@query()
+def op9_language_model(spark, folder):
+    return language_model.score(read(spark, folder, "documents"), 7, 2)
