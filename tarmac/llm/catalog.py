@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import language_model, licences, near_vectors, packing, quality, sentence_pieces, topk_search, toxicity
+from tarmac.llm import jaccard_join, language_model, licences, near_vectors, packing, quality, sentence_pieces, suffix_dedup, topk_search, toxicity
 from tarmac.llm.common import crc_fold
 from tarmac.session import configure
 
@@ -129,3 +129,43 @@ def op8_topk_search(spark, folder):
 @query()
 def op9_language_model(spark, folder):
     return language_model.score(read(spark, folder, "documents"), 7, 2)
+
+
+@query(
+    """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') as ws from documents),
+    sets as (select distinct doc_id, unnest(case when len(ws) >= 3
+        then list_transform(range(1, len(ws) - 1), lambda i: concat(ws[i], ' ', ws[i + 1], ' ', ws[i + 2]))
+        when len(ws) > 0 then [array_to_string(ws, ' ')] else []::varchar[] end) as s from w),
+    sizes as (select doc_id, count(*) as n from sets group by doc_id),
+    common as (select p.doc_id as a, q.doc_id as b, count(*) as o from sets p join sets q on p.s = q.s and p.doc_id <> q.doc_id group by 1, 2),
+    links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * o >= 90 * (x.n + y.n - o))"""
+    + _COMPONENTS.format(edges="links")
+    + """,
+    roots as (select id, min(root) as root from reach group by id)
+    select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) as component_id
+    from documents d left join sizes using (doc_id) left join roots on roots.id = d.doc_id"""
+)
+def op10_jaccard_join(spark, folder):
+    return jaccard_join.linked_texts(read(spark, folder, "documents"), 90, 3)
+
+
+@query(
+    """with docs as (select doc_id, upper(hex(encode(coalesce(text, '')))) as h from documents),
+    starts as (select doc_id, unnest(range(0, length(h) // 2 - 49)) as s, h from docs where length(h) >= 100),
+    strings as (select doc_id, s, substr(h, 2 * s + 1, 100) as w from starts),
+    least as (select w, min(doc_id) as owner from strings group by w having count(distinct doc_id) > 1),
+    hits as (select doc_id, s from strings join least using (w) where owner < doc_id),
+    gone as (select distinct doc_id, s + k as i from hits, range(0, 50) r(k)),
+    bytes as (select doc_id, unnest(range(0, length(h) // 2)) as i, h from docs),
+    marked as (select b.doc_id, b.i, substr(b.h, 2 * b.i + 1, 2) as x, g.i is not null as out from bytes b left join gone g on g.doc_id = b.doc_id and g.i = b.i),
+    runs as (select *, coalesce(lag(out) over (partition by doc_id order by i), false) as before from marked),
+    sums as (select doc_id, count(*) filter (out) as n_removed, count(*) filter (out and not before) as n_spans,
+      coalesce(string_agg(case when not out then x end, '' order by i), '') as kept from runs group by doc_id)
+    select d.doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+      sha256(unhex(coalesce(kept, ''))) as kept_sha256
+    from docs d left join sums using (doc_id)"""
+)
+def op6_suffix_dedup(spark, folder):
+    cut = suffix_dedup.repeated_passages(read(spark, folder, "documents"), 50)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
