@@ -136,6 +136,12 @@ def airport_nodes(spark, folder):
     return _nodes(spark, folder)
 
 
+@query("""select distinct fs as id, concat('{"id":"', fs, '","name":"', name, '","latitude":', latitude, ',"longitude":', longitude, '}') as node
+    from f_airports where fs in (select dep from f_history) or fs in (select arr from f_history)""")
+def node_json(spark, folder):
+    return routes.node_json(_nodes(spark, folder))
+
+
 _DEGREES = """(select airport, count(*) as degree from (select src as airport from f_links union all select dst from f_links) e
     group by airport)"""
 

@@ -24,6 +24,11 @@ _WEATHER_MATCH = """
             order by abs(epoch_us(o.valid_time) - epoch_us(f.{at})), o.valid_time, o.obs_id) as nr
           from f_landed f join f_obs o on o.fs = f.{station}) ranked
     where nr = 1"""
+# The forecast of the hour, from the answer last fetched when the flight's day begins.
+_FORECAST_MATCH = """
+    select f.flight_id, c.*
+    from f_landed f join f_runs r on r.fs = f.{station} and r.scored_at = date_trunc('day', f.sched)
+    join f_hour_forecast c on c.fs = f.{station} and c.fetched_at = r.run and hour(c.fcst_valid) = hour(f.{at})"""
 VIEWS = {
     "f_airports": """
     select concat('A', lpad(cast(n_nationkey as varchar), 2, '0')) as fs, n_name as name, r_name as country,
@@ -57,7 +62,7 @@ VIEWS = {
       cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from events where event_type in ('view', 'click')) e""",
     "f_forecast": """
     select obs_id as forecast_id, fs, cast(date_trunc('hour', valid_time) as timestamp) as fcst_valid,
-      cast(valid_time as date) as issue_day, temp, dewPt as dewpoint, rh, vis, wc, wspd, feels_like, uv_index,
+      date_trunc('day', valid_time) - to_days(cast(obs_id % 2 as int)) as fetched_at, temp, dewPt as dewpoint, rh, vis, wc, wspd, feels_like, uv_index,
       cast(obs_id % 60 as int) as icon_code
     from f_obs""",
     "f_history": """
@@ -92,8 +97,19 @@ VIEWS = {
     "f_dep_weather": _WEATHER_MATCH.format(at="sched", station="dep"),
     "f_arr_weather": _WEATHER_MATCH.format(at="act_arr", station="arr"),
     "f_hour_forecast": """
-    select * from (select *, row_number() over (partition by fs, issue_day, hour(fcst_valid)
+    select * from (select *, row_number() over (partition by fs, fetched_at, hour(fcst_valid)
       order by fcst_valid desc, forecast_id desc) as nr from f_forecast) ranked where nr = 1""",
+    "f_runs": """
+    select distinct a.fs, a.scored_at, (select max(c.fetched_at) from f_forecast c where c.fs = a.fs and c.fetched_at <= a.scored_at) as run
+    from (select dep as fs, date_trunc('day', sched) as scored_at from f_landed union select arr, date_trunc('day', sched) from f_landed) a""",
+    "f_dep_forecast": _FORECAST_MATCH.format(at="sched", station="dep"),
+    "f_arr_forecast": _FORECAST_MATCH.format(at="act_arr", station="arr"),
+    "f_told_obs": """
+    select distinct fs, date_trunc('second', valid_time) as valid_time from f_obs
+    where date_trunc('second', valid_time) >= date_trunc('day', valid_time) + interval 1 hour""",
+    "f_far": """
+    select *, concat('A', lpad(cast(user_id % 27 as varchar), 2, '0')) as far_dep,
+      concat('A', lpad(cast((user_id * 7 + flight_id) % 27 as varchar), 2, '0')) as far_arr from f_flights""",
     "f_links": "select dep as src, arr as dst, count(*) as n from f_history group by dep, arr",
     "f_votes": """
     select flight_id, prediction, count(*) as votes, min(model_pos) as first from f_pred group by flight_id, prediction""",

@@ -49,8 +49,8 @@ def assemble_features(spark, folder):
 
 
 _FORECAST_BOTH = """f_landed f
-    left join f_hour_forecast d on d.fs = f.dep and d.issue_day = cast(f.sched as date) and hour(d.fcst_valid) = hour(f.sched)
-    left join f_hour_forecast a on a.fs = f.arr and a.issue_day = cast(f.act_arr as date) and hour(a.fcst_valid) = hour(f.act_arr)"""
+    left join f_dep_forecast d on d.flight_id = f.flight_id
+    left join f_arr_forecast a on a.flight_id = f.flight_id"""
 _FORECAST = [("dewpoint" if a == "dewPt" else a, alias) for a, alias in _OBSERVED]
 _FORECAST_NAMES = {"dewPt": "dewpoint"}
 

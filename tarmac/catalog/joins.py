@@ -41,20 +41,17 @@ def asof_departure_weather_minute(spark, folder):
 
 
 @query("""select f.flight_id, f.dep, f.arr, d.name as dep_name, a.name as arr_name
-    from f_landed f join f_airports d on d.fs = f.dep join f_airports a on a.fs = f.arr
-    where f.dep <> 'A24' and f.arr <> 'A24'""")
+    from (select flight_id, far_dep as dep, far_arr as arr from f_far) f join f_airports d on d.fs = f.dep join f_airports a on a.fs = f.arr""")
 def join_airports(spark, folder):
-    known = w.airports(spark, folder).where(F.col("fs") != "A24")
-    return joins.join_airports(w.landed(spark, folder), known).select(
+    return joins.join_airports(w.far_flights(spark, folder), w.airports(spark, folder)).select(
         "flight_id", "dep", "arr", F.col("departureAirport.name").alias("dep_name"), F.col("arrivalAirport.name").alias("arr_name")
     )
 
 
-@query("""select flight_id, dep, arr, 'Unable to find record for airport A24' as reject_reason
-    from f_landed where dep = 'A24' or arr = 'A24'""")
+@query("""select flight_id, far_dep as dep, far_arr as arr, concat('no airport record: ', case when d.fs is null then far_dep else far_arr end) as reject_reason
+    from f_far f left join f_airports d on d.fs = far_dep left join f_airports a on a.fs = far_arr where d.fs is null or a.fs is null""")
 def join_airports_rejects(spark, folder):
-    known = w.airports(spark, folder).where(F.col("fs") != "A24")
-    return joins.airport_rejects(w.landed(spark, folder), known).select("flight_id", "dep", "arr", "reject_reason")
+    return joins.airport_rejects(w.far_flights(spark, folder), w.airports(spark, folder)).select("flight_id", "dep", "arr", "reject_reason")
 
 
 @query("""select f.flight_id, s.status, s.gate_departure, s.act_dep, s.act_arr
@@ -69,24 +66,38 @@ def join_status(spark, folder):
     )
 
 
+@query("""select f.flight_id, s.status, s.gate_departure from f_flights f
+    join f_status s on s.carrier = f.carrier and s.flight_number = f.flight_number and s.pos = 0""")
+def join_nested_status(spark, folder):
+    """Answers that hold their entries as an array; every 50th has none."""
+    flights = w.flights(spark, folder)
+    entry = [F.struct(F.lit(s).alias("status"), F.col("sched").alias("gate_departure")) for s in ("L", "C", "X")]
+    entries = F.array(F.when(F.col("status") == "C", entry[1]).otherwise(entry[0]), entry[2])
+    none = F.filter(entries, lambda e: F.lit(False))
+    answers = flights.select("carrier", "flight_number", F.when(F.col("flight_id") % 50 != 0, entries).otherwise(none).alias("flightStatuses"))
+    schedules = flights.select("flight_id", "carrier", "flight_number")
+    return joins.join_nested_status(schedules, answers, ["carrier", "flight_number"]).select("flight_id", "status", "gate_departure")
+
+
 @query("""select f.flight_id, c.forecast_id, c.fcst_valid, c.icon_code, round(c.temp, 6) as temp
-    from f_landed f left join f_hour_forecast c
-      on c.fs = f.dep and c.issue_day = cast(f.sched as date) and hour(c.fcst_valid) = hour(f.sched)""")
+    from f_landed f left join f_dep_forecast c on c.flight_id = f.flight_id""")
 def join_forecast_hour(spark, folder):
-    found = joins.join_forecast_hour(w.landed(spark, folder), w.forecasts(spark, folder), "dep", "sched", "forecast")
+    flights = w.scored_by_day(w.landed(spark, folder))
+    found = joins.join_forecast_hour(flights, w.forecasts(spark, folder), "dep", "sched", "forecast", "scored_at")
     return found.select("flight_id", "forecast.*").select(
         "flight_id", "forecast_id", "fcst_valid", "icon_code", *rounded("temp")
     )
 
 
 @query("""select f.flight_id, l.name as airline_name, d.name as dep_name, p.p_name as equipment_name
-    from f_landed f left join f_airlines l on l.fs = f.carrier
-    left join (select * from f_airports where fs <> 'A24') d on d.fs = f.dep
+    from f_far f left join f_airlines l on l.fs = f.carrier
+    left join f_airports d on d.fs = f.far_dep
     left join part p on p.p_partkey = f.user_id""")
 def join_appendix(spark, folder):
-    found = joins.join_appendix(w.landed(spark, folder), w.airlines(spark, folder), "carrier", "fs", "airline", empty=True)
-    known = w.airports(spark, folder).where(F.col("fs") != "A24")
-    found = joins.join_appendix(found, known, "dep", "fs", "airport")
+    """Every airport is listed twice, as in the appendices of several answers."""
+    found = joins.join_appendix(w.far_flights(spark, folder), w.airlines(spark, folder), "carrier", "fs", "airline", empty=True)
+    twice = w.airports(spark, folder).unionByName(w.airports(spark, folder))
+    found = joins.join_appendix(found, twice, "dep", "fs", "airport")
     parts = w.table(spark, folder, "part").select("p_partkey", "p_name")
     found = joins.join_appendix(found, parts, "user_id", "p_partkey", "equipment", empty=True)
     return found.select(

@@ -9,9 +9,10 @@ from tarmac.operators import models
 from tarmac.operators.features import labelled_set
 from tarmac.operators.handlers import DefaultHandler, ThreeClassHandler
 from tarmac.operators.projections import in_data_set
-from tarmac.plans import scoring, training
+from tarmac.plans import from_landed, scoring, training
 from tarmac.plans import workload as w
 from tarmac.session import shared_dir, written
+from tarmac.sources import history
 
 _HANDLER = DefaultHandler()
 
@@ -166,3 +167,18 @@ def compare_handlers(spark, folder):
     return training.compare_handlers(
         w.labelled(spark, folder), [DefaultHandler(), ThreeClassHandler()], "dep", w.DATA_SETS, names=("naive_bayes", "decision_tree")
     )
+
+
+@query("""select dep, arr, carrier, count(*) as stored from f_landed group by dep, arr, carrier""")
+def score_and_store(spark, folder):
+    """Requests scored and stored; the run is repeated, which stores nothing more."""
+    requests, schedules, airports, equipment = upcoming_inputs(spark, folder)
+    registry = _registry(_labelled(spark, folder), ("naive_bayes",))
+    path = shared_dir(spark, "history")
+    inputs = (requests, schedules, airports, w.airlines(spark, folder), equipment, w.forecasts(spark, folder), registry)
+    for _ in range(2):
+        from_landed.score_and_store(path, "today", *inputs, handler=_HANDLER, forecast_names={"dewPt": "dewpoint"})
+    stored = history.load_history(spark, path)
+    return stored.groupBy(
+        F.col("depAirportFSCode").alias("dep"), F.col("arrAirportFSCode").alias("arr"), F.col("carrierFsCode").alias("carrier")
+    ).agg(F.count(F.lit(1)).alias("stored"))

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.catalog.base import label_case, query, rounded
+from tarmac.catalog.base import day_text, label_case, query, rounded
 from tarmac.functions import classify
 from tarmac.functions.timecols import local_to_utc
 from tarmac.operators import projections, routes
@@ -58,11 +61,11 @@ _ENDS = """f_landed f join f_airports d on d.fs = f.dep join f_airports a on a.f
 @query(f"""select d.fs as depAirportFSCode, d.name as depAirportName, d.longitude as depAirportLong, d.latitude as depAirportLat,
       a.fs as arrAirportFSCode, a.name as arrAirportName, a.longitude as arrAirportLong, a.latitude as arrAirportLat,
       o.overall as overall, f.carrier as carrierFsCode, f.flight_number as flightNumber,
-      strftime(f.sched, '%B %d %Y') as departureDate, strftime(f.sched, '%I:%M %p') as departureTime
+      strftime(f.sched, '%Y-%m-01') as departureMonth, strftime(f.sched, '%B %d %Y') as departureDate, strftime(f.sched, '%I:%M %p') as departureTime
     from {_ENDS}""")
 def flatten_payload(spark, folder):
     rows = history.flatten_payload(w.payloads(spark, folder))
-    return rows.withColumn("overall", F.col("prediction.overall")).drop("prediction")
+    return rows.withColumns({"overall": F.col("prediction.overall"), "departureMonth": day_text("departureMonth")}).drop("prediction")
 
 
 def _airport_json(alias: str, weather: str) -> str:
@@ -80,8 +83,8 @@ def _model_json(alias: str) -> str:
       ',"prediction":{{"overall":"', o.overall, '","models":[', {_model_json('m1')}, ',', {_model_json('m2')}, ',',
       {_model_json('m3')}, ',', {_model_json('m4')}, ']}}}}') as payload
     from {_ENDS}
-    left join f_hour_forecast dc on dc.fs = f.dep and dc.issue_day = cast(f.sched as date) and hour(dc.fcst_valid) = hour(f.sched)
-    left join f_hour_forecast ac on ac.fs = f.arr and ac.issue_day = cast(f.act_arr as date) and hour(ac.fcst_valid) = hour(f.act_arr)
+    left join f_dep_forecast dc on dc.flight_id = f.flight_id
+    left join f_arr_forecast ac on ac.flight_id = f.flight_id
     join f_pred m1 on m1.flight_id = f.flight_id and m1.model = 'm1'
     join f_pred m2 on m2.flight_id = f.flight_id and m2.model = 'm2'
     join f_pred m3 on m3.flight_id = f.flight_id and m3.model = 'm3'
@@ -122,6 +125,14 @@ def flight_search(spark, folder):
     return projections.flight_search(schedules, airports)
 
 
+@query("""select flight_id, cast(hour(sched) as int) as hour from f_flights where dep = 'A03' and cast(sched as date) = date '2024-01-05'""")
+def search_departures(spark, folder):
+    """Every hour of one day at one airport."""
+    flights = w.flights(spark, folder).select("flight_id", "dep", F.col("sched").alias("local_time"))
+    hours = [projections.search_departures(flights, "A03", "2024-01-05", h).withColumn("hour", F.lit(h)) for h in range(24)]
+    return reduce(DataFrame.unionByName, hours).select("flight_id", "hour")
+
+
 @query("select arr as dst, dep as src from f_history")
 def route_rename(spark, folder):
     return routes.route_links(w.history(spark, folder))

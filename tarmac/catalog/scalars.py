@@ -60,7 +60,7 @@ def epoch_ms_parts(spark, folder):
 @query("""select flight_id, case when good then split_part(d, '-', 1) end as search_year,
       case when good then split_part(d, '-', 2) end as search_month,
       case when good then split_part(d, '-', 3) end as search_day, case when good then substring(h, 1, 2) end as search_hour,
-      case when not good then concat('Invalid date ', d) end as reject_reason
+      case when not good then concat('no such date: ', d) end as reject_reason
     from (select flight_id, d, h, len(string_split(d, '-')) = 3 as good
           from (select flight_id, case when status = 'C' then strftime(sched, '%Y-%m') else strftime(sched, '%Y-%m-%d') end as d,
                   strftime(sched, '%H:%M') as h from f_flights) t) u""")
@@ -146,10 +146,10 @@ def to_fahrenheit(spark, folder):
 
 
 @query("""select flight_id, coalesce(a.latitude, 0.0) as latitude, coalesce(a.longitude, 0.0) as longitude
-    from f_flights f left join (select * from f_airports where fs <> 'A24') a on a.fs = f.arr""")
+    from f_far f left join f_airports a on a.fs = f.far_arr""")
 def coalesce_coords(spark, folder):
-    known = w.airports(spark, folder).where(F.col("fs") != "A24").select(F.col("fs").alias("arr"), "latitude", "longitude")
-    return w.flights(spark, folder).join(known, "arr", "left").select(
+    known = w.airports(spark, folder).select(F.col("fs").alias("arr"), "latitude", "longitude")
+    return w.far_flights(spark, folder).join(known, "arr", "left").select(
         "flight_id",
         numeric.known_coordinate(F.col("latitude")).alias("latitude"),
         numeric.known_coordinate(F.col("longitude")).alias("longitude"),

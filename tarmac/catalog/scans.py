@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tarmac.catalog.base import day_text, query, rounded
 from tarmac.operators.routes import route_counts as count_routes
 from tarmac.operators.routes import route_links
+from tarmac.plans import from_landed
 from tarmac.plans import workload as w
 from tarmac.session import shared_dir
 from tarmac.sources import accumulate, datasets, history, landed, metadata
@@ -31,12 +32,13 @@ def load_history(spark, folder):
 
 @query("""select strftime(departure, '%Y-%m') as month, dep, count(*) as stored from f_history group by 1, 2""")
 def append_history(spark, folder):
+    """Two runs by the default layout; the second one is repeated, which stores nothing more."""
     path = shared_dir(spark, "history")
-    rows = w.history(spark, folder).withColumn("month", F.date_format("departure", "yyyy-MM"))
-    for returned in (True, False):
-        history.save_history(rows.where((F.col("carrier") == "R") == returned), path, partition="month")
+    rows = w.history(spark, folder).withColumn("departureMonth", F.trunc("departure", "month"))
+    for run in ("returned", "kept", "kept"):
+        history.save_history(rows.where((F.col("carrier") == "R") == (run == "returned")), path, run=run)
     stored = history.load_history(spark, path)
-    return stored.groupBy(F.col("month").cast("string").alias("month"), "dep").agg(F.count(F.lit(1)).alias("stored"))
+    return stored.groupBy(F.date_format("departureMonth", "yyyy-MM").alias("month"), "dep").agg(F.count(F.lit(1)).alias("stored"))
 
 
 def _one_answer_each(df, name, *columns):
@@ -102,21 +104,35 @@ def view_country_airports(spark, folder):
 
 
 def _raw_observations(spark, folder):
-    """An answer per observation, fetched at the end of its day; odd ones hold a lone record."""
+    """An answer per observation, fetched at the end of its day; odd ones hold a lone record.
+
+    Lists hold bad entries next to the good one, and every seventh observation comes with an
+    answer whose lone record is none.
+    """
     observed = w.observations(spark, folder)
     record = F.struct(
         F.unix_seconds(F.col("valid_time").cast("timestamp")).alias("valid_time_gmt"),
         *[c for c in observed.columns if c not in ("obs_id", "fs", "valid_time")],
     )
     lone = F.to_json(F.struct(record.alias("observation")))
-    listed = F.to_json(F.struct(F.array(record).alias("observations")))
+    bad = ',5,"text",{"valid_time_gmt":"soon","temp":1},null,[]]}'
+    listed = F.concat(F.lit('{"observations":['), F.to_json(record), F.lit(bad))
+    answer = F.when(F.col("obs_id") % 2 == 1, lone).otherwise(listed)
+    answers = F.when(F.col("obs_id") % 7 == 0, F.array(answer, F.lit('{"observation":"none"}'))).otherwise(F.array(answer))
     return observed.select(
-        "fs",
-        F.date_add(F.to_date("valid_time"), 1).cast("timestamp_ntz").alias("fetched_at"),
-        F.when(F.col("obs_id") % 2 == 1, lone).otherwise(listed).alias("body"),
+        "fs", F.date_add(F.to_date("valid_time"), 1).cast("timestamp_ntz").alias("fetched_at"), F.explode(answers).alias("body")
     )
 
 
+@query("""select reject_reason, position, count(*) as entries from (
+      select unnest(['not a record', 'not a record', 'no readable valid_time_gmt', 'not a record', 'not a record']) as reject_reason,
+        unnest([1, 2, 3, 4, 5]) as position from f_obs where obs_id % 2 = 0
+      union all select 'not a record', 0 from f_obs where obs_id % 7 = 0) t group by reject_reason, position""")
+def ingest_observations_rejects(spark, folder):
+    bad = landed.observation_rejects(_raw_observations(spark, folder))
+    return bad.groupBy("reject_reason", "position").agg(F.count(F.lit(1)).alias("entries"))
+
+
 @query("""select fs, date_trunc('second', valid_time) as valid_time, round(temp, 6) as temp, round(dewPt, 6) as dewPt,
       cast(rh as double) as rh, pressure
     from f_obs where date_trunc('second', valid_time) >= date_trunc('day', valid_time) + interval 1 hour""")
@@ -134,7 +150,10 @@ def dedupe_observations(spark, folder):
 
 
 def _raw_forecasts(spark, folder):
-    """An answer per forecast, fetched at the start of its day, and one three days earlier that is out of reach."""
+    """An answer per forecast, fetched when the forecast says, and one three days earlier that is out of reach.
+
+    Its list holds a number and a record without a time as well.
+    """
     issued = w.forecasts(spark, folder)
     record = F.struct(
         F.unix_seconds(F.col("fcst_valid").cast("timestamp")).alias("fcst_valid"),
@@ -144,16 +163,23 @@ def _raw_forecasts(spark, folder):
     days = F.explode(F.array(F.lit(0), F.lit(3)))
     return issued.withColumn("_back", days).select(
         "fs",
-        F.date_sub("issue_day", F.col("_back")).cast("timestamp_ntz").alias("fetched_at"),
-        F.to_json(F.struct(F.array(record).alias("forecasts"))).alias("body"),
+        F.date_sub(F.to_date("fetched_at"), F.col("_back")).cast("timestamp_ntz").alias("fetched_at"),
+        F.concat(F.lit('{"forecasts":[7,'), F.to_json(record), F.lit(',{"temp":1}]}')).alias("body"),
     )
 
 
-@query("""select fs, strftime(issue_day, '%Y-%m-%d') as issue_day, fcst_valid, round(dewpoint, 6) as dewpt, round(temp, 6) as temp,
+@query("""select reject_reason, position, 2 * count(*) as entries from f_forecast
+    cross join (select 'not a record' as reject_reason, 0 as position union all select 'no readable fcst_valid', 2) b group by 1, 2""")
+def ingest_forecasts_rejects(spark, folder):
+    bad = landed.forecast_rejects(_raw_forecasts(spark, folder))
+    return bad.groupBy("reject_reason", "position").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("""select fs, fetched_at, fcst_valid, round(dewpoint, 6) as dewpt, round(temp, 6) as temp,
       cast(rh as double) as rh, icon_code from f_forecast""")
 def ingest_forecasts(spark, folder):
     rows = landed.ingest_forecasts(_raw_forecasts(spark, folder))
-    return rows.select("fs", day_text("issue_day").alias("issue_day"), "fcst_valid", *rounded("dewpt", "temp"), "rh", "icon_code")
+    return rows.select("fs", "fetched_at", "fcst_valid", *rounded("dewpt", "temp"), "rh", "icon_code")
 
 
 @query("select distinct fs, name from f_airports join f_flights on arr = fs")
@@ -177,7 +203,7 @@ def _raw_schedules(spark, folder):
         F.date_format("sched", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("departureTime"),
     )
     bodies = F.array(
-        F.to_json(F.struct(F.array(flight).alias("scheduledFlights"))),
+        F.concat(F.lit('{"scheduledFlights":['), F.to_json(flight), F.lit(',7,{"departureTime":"late"}]}')),
         F.lit('{"scheduledFlights":[]}'),
         F.lit('{"error":{"errorMessage":"quota"}}'),
     )
@@ -204,18 +230,45 @@ def ingest_schedules(spark, folder):
     )
 
 
-@query("select 'error answer' as reject_reason, count(*) as answers from f_flights")
+@query("""select reject_reason, position, count(*) as answers from f_flights
+    cross join (select 'error answer' as reject_reason, null::int as position
+      union all select 'not a record', 1 union all select 'no readable departureTime', 2) b group by 1, 2""")
 def ingest_schedules_rejects(spark, folder):
-    rejects = landed.answer_rejects(_raw_schedules(spark, folder), ["scheduledFlights"])
-    return rejects.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("answers"))
+    bad = landed.schedule_rejects(_raw_schedules(spark, folder))
+    return bad.groupBy("reject_reason", "position").agg(F.count(F.lit(1)).alias("answers"))
+
+
+def _raw_statuses(spark, folder):
+    """A status answer per flight with two entries; for every 30th flight the first one is none."""
+
+    def instant(column):
+        return F.struct(F.concat(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("dateUtc"))
 
+    times = F.struct(
+        instant("sched").alias("scheduledGateDeparture"),
+        instant("act_dep").alias("actualRunwayDeparture"),
+        F.when(F.col("act_arr").isNotNull(), instant("act_arr")).alias("actualRunwayArrival"),
+    )
+    first = F.to_json(F.struct("status", times.alias("operationalTimes")))
+    entry = F.when(F.col("flight_id") % 30 == 0, F.lit("3")).otherwise(first)
+    flights = w.flights(spark, folder).where(F.col("act_dep").isNotNull())
+    return flights.select("flight_id", F.concat(F.lit('{"flightStatuses":['), entry, F.lit(',{"status":"X"}]}')).alias("body"))
+
+
+@query("""select flight_id, status, sched as scheduledGateDeparture, act_dep as actualRunwayDeparture, act_arr as actualRunwayArrival
+    from f_flights where act_dep is not null and flight_id % 30 <> 0""")
+def ingest_statuses(spark, folder):
+    return landed.ingest_statuses(_raw_statuses(spark, folder), ["flight_id"])
 
-@query("select flight_id, dep, classification from f_landed")
+
+@query("""select f.flight_id, f.dep, a.state, f.classification from f_landed f join f_airports a on a.fs = f.dep""")
 def accumulate_append(spark, folder):
+    """The key holds the airport's state, which some do not have."""
     path = shared_dir(spark, "accumulated")
-    flights = w.landed(spark, folder).select("flight_id", "dep", "classification")
+    states = w.airports(spark, folder).select(F.col("fs").alias("dep"), "state")
+    flights = w.landed(spark, folder).join(states, "dep").select("flight_id", "dep", "state", "classification")
     for run in (flights.where(F.col("classification") > 0), flights):
-        accumulate.append_new(run, path, ["flight_id"])
+        accumulate.append_new(run, path, ["flight_id", "state"])
     return spark.read.parquet(path)
 
 
@@ -233,3 +286,29 @@ _PROFILED = ["flight_id", "dep", "arr", "carrier", "act_dep", "value", "delta",
 ))
 def dataset_profile(spark, folder):
     return datasets.dataset_profile(w.landed(spark, folder).select(*_PROFILED)).drop("column_type")
+
+
+def _told(at: str, station: str) -> str:
+    return f"""(select f.flight_id, o.valid_time, row_number() over (partition by f.flight_id
+      order by abs(epoch_us(o.valid_time) - epoch_us(f.{at})), o.valid_time) as nr from f_landed f join f_told_obs o on o.fs = f.{station})"""
+
+
+@query(f"""select f.flight_number, f.dep, f.arr, cast(f.classification as bigint) as classification,
+      d.valid_time as dep_valid, a.valid_time as arr_valid
+    from f_landed f left join {_told('sched', 'dep')} d on d.flight_id = f.flight_id and d.nr = 1
+    left join {_told('act_arr', 'arr')} a on a.flight_id = f.flight_id and a.nr = 1 where f.flight_id % 30 <> 0""")
+def build_from_landed(spark, folder):
+    """Labelled flights from the answers of four services, bad entries among them."""
+    keys = w.flights(spark, folder).select("flight_id", "carrier", "flight_number", "dep", F.to_date("sched").alias("day"))
+    statuses = _raw_statuses(spark, folder).join(keys, "flight_id").drop("flight_id")
+    built = from_landed.build_from_landed(
+        _raw_schedules(spark, folder), statuses, _raw_airports(spark, folder), _raw_observations(spark, folder)
+    )
+    return built.select(
+        "flight_number",
+        "dep",
+        "arr",
+        F.col("classification").cast("bigint").alias("classification"),
+        F.col("departureWeather.valid_time").alias("dep_valid"),
+        F.col("arrivalWeather.valid_time").alias("arr_valid"),
+    )

@@ -12,7 +12,8 @@ def whole_minutes(start: Column, end: Column) -> Column:
 
 
 def micros(at: Column) -> Column:
-    return F.unix_micros(at.cast("timestamp"))
+    """Microseconds since 1970 on the clock of a timestamp without zone, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at)
 
 
 def hour_start(at: Column) -> Column:
@@ -64,7 +65,7 @@ def search_key(date_text: Column, hour_text: Column) -> dict[str, Column]:
         "search_month": F.when(valid, F.get(parts, F.lit(1))),
         "search_day": F.when(valid, F.get(parts, F.lit(2))),
         "search_hour": F.when(valid, F.substring(hour_text, 1, 2)),
-        "reject_reason": F.when(~valid | parts.isNull(), F.concat(F.lit("Invalid date "), F.coalesce(date_text, F.lit("")))),
+        "reject_reason": F.when(~valid | parts.isNull(), F.concat(F.lit("no such date: "), F.coalesce(date_text, F.lit("")))),
     }
 
 

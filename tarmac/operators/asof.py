@@ -12,14 +12,17 @@ from tarmac.operators.slices import DAY, time_slice
 def observation_index(observations: DataFrame, station: str = "fs", time: str = "valid_time", tie: str = "obs_id") -> DataFrame:
     """One row (`_station`, `_at`, `_obs`) per station and instant.
 
-    Of observations with the same instant the one with the smallest `tie` is kept,
-    before anything is shuffled in full: copies of a report cost nothing later.
+    Of observations with the same instant the one with the smallest `tie` is kept, or
+    with the smallest values if there is no such column, before anything is shuffled in
+    full: copies of a report cost nothing later.
     """
-    payload = F.struct(*[c for c in observations.columns if c != station])
+    rest = [c for c in observations.columns if c != station]
+    payload = F.struct(*rest)
+    order = F.struct(tie) if tie in observations.columns else F.struct(*[c for c in rest if c != time])
     return (
         observations.where(F.col(station).isNotNull() & F.col(time).isNotNull())
         .groupBy(F.col(station).alias("_station"), F.col(time).alias("_at"))
-        .agg(F.min_by(payload, F.col(tie)).alias("_obs"))
+        .agg(F.min_by(payload, order).alias("_obs"))
     )
 
 

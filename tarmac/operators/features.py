@@ -13,15 +13,6 @@ from tarmac.operators.projections import FORECAST_NAMES
 
 # The weather attributes used as features, in feature order.
 ATTRIBUTES = ("dewPt", "rh", "vis", "wc", "wspd", "feels_like", "uv_index")
-ATTRIBUTE_TEXTS = {
-    "dewPt": "Dew Point",
-    "rh": "Relative Humidity",
-    "vis": "Prevailing Hourly visibility",
-    "wc": "Wind Chill",
-    "wspd": "Wind Speed",
-    "feels_like": "Feels Like Temperature",
-    "uv_index": "Hourly Maximum UV Index",
-}
 
 
 def feature_projection(df: DataFrame, handler: DefaultHandler | None = None, keep: Sequence[str] = ()) -> DataFrame:

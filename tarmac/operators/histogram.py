@@ -24,7 +24,8 @@ def delta_histogram(
     values = (
         between_open(df, column, low, high).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     )
-    bounds = values.agg(F.min("value").alias("low"), F.max("value").alias("high")).where(F.col("low").isNotNull())
+    # The bounds need the counts as well, so that both uses of the values are one plan and share its shuffle.
+    bounds = values.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("_n")).where(F.col("_n") > 0)
     low_of = bounds.select("low").scalar()
     width_of = bounds.select((F.col("high") - F.col("low")) / F.lit(buckets)).scalar()
     place = F.when(

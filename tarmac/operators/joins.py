@@ -13,10 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions.timecols import hour_start
+from tarmac.operators import asof
+
+
+def unique_records(table: DataFrame, key: str) -> DataFrame:
+    """`_code` and the record as struct `_record`: of records that repeat a code, the smallest."""
+    return table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_code")).agg(F.min(F.struct(*table.columns)).alias("_record"))
 
 
 def _airport_side(airports: DataFrame, name: str) -> DataFrame:
-    return airports.select(F.col("fs").alias(f"_{name}"), F.struct("*").alias(name))
+    return unique_records(airports, "fs").select(F.col("_code").alias(f"_{name}"), F.col("_record").alias(name))
 
 
 def _with_airports(flights: DataFrame, airports: DataFrame, dep: str, arr: str, how: str) -> DataFrame:
@@ -34,7 +40,7 @@ def join_airports(flights: DataFrame, airports: DataFrame, dep: str = "dep", arr
 
 def airport_rejects(flights: DataFrame, airports: DataFrame, dep: str = "dep", arr: str = "arr") -> DataFrame:
     """The flights `join_airports` leaves out, with the reason."""
-    missing = "Unable to find record for airport "
+    missing = "no airport record: "
     joined = _with_airports(flights, airports, dep, arr, "left")
     reason = F.when(
         F.col("departureAirport").isNull(), F.concat(F.lit(missing), F.coalesce(F.col(dep), F.lit("")))
@@ -47,10 +53,9 @@ def airport_rejects(flights: DataFrame, airports: DataFrame, dep: str = "dep", a
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key. An aggregate, so each task sends one row per key on."""
+    """The first row of each key, nulls first. An aggregate, so each task sends one row per key on."""
     rest = [c for c in df.columns if c not in keys]
-    by = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_row")).select(*keys, "_row.*")
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
 
 
 def join_status(flights: DataFrame, statuses: DataFrame, keys: Sequence[str], position: str = "pos") -> DataFrame:
@@ -65,12 +70,26 @@ def join_nested_status(flights: DataFrame, answers: DataFrame, keys: Sequence[st
     return flights.join(first, list(keys)).select(*flights.columns, "_status.*")
 
 
-def last_forecast(forecasts: DataFrame, station: str, day: Column, valid: str, tie: str) -> DataFrame:
-    """One forecast per station, day of issue and hour of day: the last one wins."""
-    payload = F.struct(*[c for c in forecasts.columns if c != station])
+def hourly_forecasts(forecasts: DataFrame, station: str, fetched_at: str, valid: str, tie: str | None) -> DataFrame:
+    """One forecast per answer and hour of day: the last one wins.
+
+    Without a `tie`, of forecasts for one instant the one with the largest values.
+    """
+    rest = [c for c in forecasts.columns if c != station]
+    order = [valid, tie] if tie in forecasts.columns else [valid, *[c for c in rest if c != valid]]
     return forecasts.groupBy(
-        F.col(station).alias("_f_station"), day.alias("_f_day"), F.hour(valid).alias("_f_hour")
-    ).agg(F.max_by(payload, F.struct(valid, tie)).alias("_forecast"))
+        F.col(station).alias("_f_station"), F.col(fetched_at).alias("_f_run"), F.hour(valid).alias("_f_hour")
+    ).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_forecast"))
+
+
+def forecast_runs(flights: DataFrame, forecasts: DataFrame, station: str, scored_at: str, fcst_station: str, fetched_at: str) -> DataFrame:
+    """The answer an airport last fetched at or before each scoring instant: `_station`, `_at`, `_run`.
+
+    Only distinct airports and instants take part, in the time slices of the weather search.
+    """
+    asked = asof.points_of(flights, (station, scored_at))
+    fetched = asof.points_of(forecasts, (fcst_station, fetched_at))
+    return asof.neighbours(asked, fetched).select("_station", "_at", F.col("_before").alias("_run"))
 
 
 def join_forecast_hour(
@@ -79,23 +98,34 @@ def join_forecast_hour(
     station: str,
     at: str,
     name: str,
+    scored_at: str | None = None,
     fcst_station: str = "fs",
-    fcst_day: str = "issue_day",
+    fetched_at: str = "fetched_at",
     fcst_valid: str = "fcst_valid",
-    fcst_tie: str = "forecast_id",
+    fcst_tie: str | None = "forecast_id",
 ) -> DataFrame:
     """Each flight with the forecast whose hour of day equals that of `at` (UTC).
 
-    Null where the airport has none. For the nearest forecast instead, use
-    `asof.nearest_observation` on the forecasts.
+    It is taken from the answer the airport last fetched at or before the instant in
+    column `scored_at`; without that column, from its last answer. An answer reaches over
+    two days, so it serves flights over midnight and of the next day; of its forecasts
+    for an hour of day the last wins. Null where the airport has none. For the nearest
+    forecast instead, use `asof.nearest_observation` on the forecasts.
     """
-    side = last_forecast(forecasts, fcst_station, F.col(fcst_day), fcst_valid, fcst_tie)
+    hourly = hourly_forecasts(forecasts, fcst_station, fetched_at, fcst_valid, fcst_tie)
+    if scored_at is None:
+        last = forecasts.groupBy(F.col(fcst_station).alias("_station")).agg(F.max(fetched_at).alias("_run"))
+        known = flights.join(last, F.col(station) == F.col("_station"), "left")
+    else:
+        runs = forecast_runs(flights, forecasts, station, scored_at, fcst_station, fetched_at)
+        known = flights.join(runs, (F.col(station) == F.col("_station")) & (F.col(scored_at) == F.col("_at")), "left")
     same = (
-        (F.col(station) == F.col("_f_station"))
-        & (F.to_date(at) == F.col("_f_day"))
+        (F.col("_station") == F.col("_f_station"))
+        & (F.col("_run") == F.col("_f_run"))
         & (F.hour(at) == F.col("_f_hour"))
     )
-    return flights.join(side, same, "left").withColumnRenamed("_forecast", name).drop("_f_station", "_f_day", "_f_hour")
+    joined = known.join(hourly, same, "left").withColumnRenamed("_forecast", name)
+    return joined.drop("_station", "_at", "_run", "_f_station", "_f_run", "_f_hour")
 
 
 def join_appendix(
@@ -110,9 +140,7 @@ def join_appendix(
 
     With `empty=True` an unknown code gives a record whose fields are all null.
     """
-    record = F.struct(*lookup.columns)
-    side = lookup.select(F.col(key).alias("_code"), record.alias("_record"))
-    joined = flights.join(side, F.col(code) == F.col("_code"), "left").drop("_code")
+    joined = flights.join(unique_records(lookup, key), F.col(code) == F.col("_code"), "left").drop("_code")
     if not empty:
         return joined.withColumnRenamed("_record", name)
     fields = F.struct(*[F.col("_record").getField(c).alias(c) for c in lookup.columns])

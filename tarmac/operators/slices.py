@@ -51,11 +51,13 @@ def row_numbers(
     tie: str,
     name: str,
     seconds: int = DAY,
+    most: int | None = None,
 ) -> DataFrame:
     """`row_number() over (partition by keys order by at, tie)` as column `name`.
 
     `tie` must be unique. Rows that lack a key or `at` stand in no queue: their number
-    is null.
+    is null. With `most`, rows with a larger number or none are left out, most of them
+    before they are sorted in full.
     """
     sliced = _sliced(df, keys, at, tie, seconds)
     inside = Window.partitionBy(*keys, "_slice").orderBy(at, tie)
@@ -67,9 +69,12 @@ def row_numbers(
         .select(*keys, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     )
     ranked = sliced.withColumn("_inside", F.row_number().over(inside))
+    if most is not None:
+        ranked = ranked.where((F.col("_inside") <= most) & F.col("_known"))
     joined = ranked.alias("r").join(offsets.alias("o"), _same("r", "o", [*keys, "_slice"]), "left")
     number = (F.col("r._inside") + F.col("o._offset")).cast("bigint")
-    return joined.select(*[F.col(f"r.{c}") for c in df.columns], F.when(F.col("r._known"), number).alias(name))
+    numbered = joined.select(*[F.col(f"r.{c}") for c in df.columns], F.when(F.col("r._known"), number).alias(name))
+    return numbered if most is None else numbered.where(F.col(name) <= most)
 
 
 def next_two(df: DataFrame, key: str, at: str, tie: str, first: str, second: str, seconds: int = DAY) -> DataFrame:

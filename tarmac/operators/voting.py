@@ -53,9 +53,10 @@ def ensemble_vote(
 ) -> DataFrame:
     """Vote over long predictions, one row per flight and model.
 
-    Votes are counted per class first, so a flight gathers one entry per class.
+    Votes are counted per class first, so a flight gathers one entry per class. Both
+    aggregates are by flight, so one shuffle serves them.
     """
-    per_class = predictions.groupBy(*keys, prediction).agg(
+    per_class = predictions.repartition(*keys).groupBy(*keys, prediction).agg(
         F.count(F.lit(1)).alias("votes"), F.min(position).alias("first")
     )
     entry = F.struct("votes", "first", F.col(prediction).alias("prediction"))

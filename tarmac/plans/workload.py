@@ -132,12 +132,12 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def forecasts(spark: SparkSession, folder: str) -> DataFrame:
-    """One forecast per observation, valid on the hour."""
+    """One forecast per observation, valid on the hour; every other one was fetched the day before."""
     return observations(spark, folder).select(
         F.col("obs_id").alias("forecast_id"),
         "fs",
         hour_start(F.col("valid_time")).alias("fcst_valid"),
-        F.to_date("valid_time").alias("issue_day"),
+        F.date_sub(F.to_date("valid_time"), (F.col("obs_id") % 2).cast("int")).cast("timestamp_ntz").alias("fetched_at"),
         "temp",
         F.col("dewPt").alias("dewpoint"),
         "rh",
@@ -207,9 +207,21 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 def forecast_flights(spark: SparkSession, folder: str) -> DataFrame:
     """Landed flights with airport records and forecasts of both ends."""
-    known = join_airports(landed(spark, folder), airports(spark, folder))
-    departures = join_forecast_hour(known, forecasts(spark, folder), "dep", "sched", "departureWeather")
-    return join_forecast_hour(departures, forecasts(spark, folder), "arr", "act_arr", "arrivalWeather")
+    known = join_airports(scored_by_day(landed(spark, folder)), airports(spark, folder))
+    departures = join_forecast_hour(known, forecasts(spark, folder), "dep", "sched", "departureWeather", "scored_at")
+    return join_forecast_hour(departures, forecasts(spark, folder), "arr", "act_arr", "arrivalWeather", "scored_at")
+
+
+def scored_by_day(df: DataFrame) -> DataFrame:
+    """Flights with the instant at which their day begins, when they are scored."""
+    return df.withColumn("scored_at", F.to_date("sched").cast("timestamp_ntz"))
+
+
+def far_flights(spark: SparkSession, folder: str) -> DataFrame:
+    """Flights whose airports need not be known: two codes have no nation."""
+    user, number = F.col("user_id"), F.col("flight_id")
+    ends = {"dep": airport_code(user % 27), "arr": airport_code((user * 7 + number) % 27)}
+    return flights(spark, folder).withColumns(ends)
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.operators.joins import first_per_key
+
 
 def existing(df: DataFrame, path: str) -> DataFrame | None:
     """The table at `path`, or None before the first run."""
@@ -20,12 +24,14 @@ def existing(df: DataFrame, path: str) -> DataFrame | None:
 
 
 def new_rows(df: DataFrame, path: str, keys: Sequence[str], partition: str | None = None) -> DataFrame:
-    """Rows whose key is not in the table yet, one per key.
+    """Rows whose key is not in the table yet, one per key: the one with the smallest values.
 
-    With a partition column that is part of the key, only the partitions between the
-    smallest and the largest value of the batch are read from the table.
+    Nulls in a key are a value like others. With a partition column that is part of the
+    key, only the partitions between the smallest and the largest value of the batch,
+    and that of null, are read from the table.
     """
-    batch = df.dropDuplicates(list(keys))
+    rest = [c for c in df.columns if c not in keys]
+    batch = first_per_key(df, keys, rest) if rest else df.distinct()
     stored = existing(df, path)
     if stored is None:
         return batch
@@ -34,9 +40,10 @@ def new_rows(df: DataFrame, path: str, keys: Sequence[str], partition: str | Non
             raise ValueError("the partition column must be part of the key")
         span = df.agg(F.min(partition).alias("low"), F.max(partition).alias("high"))
         stored = stored.where(
-            F.col(partition).between(span.select("low").scalar(), span.select("high").scalar())
+            F.col(partition).between(span.select("low").scalar(), span.select("high").scalar()) | F.col(partition).isNull()
         )
-    return batch.join(stored.select(*keys), list(keys), "left_anti")
+    have = stored.select(*[F.col(k).alias(f"_has_{k}") for k in keys])
+    return batch.join(have, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_has_{k}")) for k in keys]), "left_anti")
 
 
 def append_new(df: DataFrame, path: str, keys: Sequence[str], partition: str | None = None) -> None:

@@ -27,20 +27,29 @@ def flatten_payload(payload: DataFrame) -> DataFrame:
         F.col("flightInfo.flightNumber").alias("flightNumber"),
         long_date(departure).alias("departureDate"),
         clock_time(departure).alias("departureTime"),
+        F.trunc(departure, "month").alias("departureMonth"),
     )
 
 
-def save_history(rows: DataFrame, path: str, partition: str | None = "departureDate") -> None:
+def save_history(rows: DataFrame, path: str, partition: str | None = "departureMonth", run: str | None = None) -> None:
     """Append to the history, creating it when absent. A failed write fails the job.
 
     Rows are brought together per partition value first, so a run does not leave one
-    file per task and value; AQE splits a value that holds too many rows.
+    file per task and value; AQE splits a value that holds too many rows. The default
+    partition is a date, the first day of the month, so a range of days reads its own months only.
+
+    With `run`, the key of a scoring run, the rows go to that run's own folders and
+    replace what they hold: a run that is repeated after a failure stores nothing twice.
     """
-    writer = rows if partition is None else rows.hint("rebalance", partition)
-    writer = writer.write.mode("append")
-    if partition is not None:
-        writer = writer.partitionBy(partition)
-    writer.parquet(path)
+    rows = rows if run is None else rows.withColumn("run", F.lit(run))
+    writer = (rows if partition is None else rows.hint("rebalance", partition)).write
+    folders = ([] if run is None else ["run"]) + ([] if partition is None else [partition])
+    if folders:
+        writer = writer.partitionBy(*folders)
+    if run is None:
+        writer.mode("append").parquet(path)
+    else:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def load_history(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """Landed service answers: rows with a JSON text become typed rows.
 
 An answer is first split into its top-level fields as texts; only the list that is
-wanted is then parsed, against a declared schema. A bad answer never fails the job:
-`answer_rejects` lists it with its reason.
+wanted is then taken apart, and each entry is parsed alone against a declared schema. A
+bad answer never fails the job and a bad entry never costs its list: `rejects` gives both
+with their reasons.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.operators.joins import first_per_key
 from tarmac.sources.schemas import FLIGHT_STATUS, FORECAST, OBSERVATION, SCHEDULED_FLIGHT
 
 
@@ -21,6 +23,12 @@ def _fields(raw: DataFrame, body: str, names: Sequence[str]) -> DataFrame:
     return raw.withColumn("_answer", F.from_json(F.col(body), schema))
 
 
+def _texts(listed: Column, lone_allowed: bool) -> Column:
+    """The entries of a list as texts, so that one bad entry spoils no other."""
+    lone = F.when(F.lit(lone_allowed), F.array(listed))
+    return F.when(F.ltrim(listed).startswith("["), F.from_json(listed, "array<string>")).otherwise(lone)
+
+
 def _failure(listed: Column, lone_allowed: bool) -> Column:
     answer = F.col("_answer")
     reason = F.when(answer["error"].isNotNull() | answer["errors"].isNotNull(), "error answer").when(
@@ -28,18 +36,32 @@ def _failure(listed: Column, lone_allowed: bool) -> Column:
     )
     if not lone_allowed:
         reason = reason.when(~F.ltrim(listed).startswith("["), "not a list")
-    return reason
+    return reason.when(_texts(listed, lone_allowed).isNull(), "unreadable list")
+
 
+def _items(raw: DataFrame, body: str, names: Sequence[str], item: str, lone_allowed: bool, time: str | None) -> DataFrame:
+    """One row per list entry as struct `_item`, with `_position`, and `_reason` if it is none.
 
-def _rows(raw: DataFrame, body: str, names: Sequence[str], item: str, lone_allowed: bool) -> DataFrame:
-    """One row per list entry as struct `_item`. An empty list gives none."""
+    An answer that is no list is a row without position. An empty list gives none.
+    """
     parsed = _fields(raw, body, names)
     listed = F.coalesce(*[F.col("_answer")[n] for n in names])
-    return (
-        parsed.where(_failure(listed, lone_allowed).isNull())
-        .withColumn("_item", F.explode(F.from_json(listed, f"array<struct<{item}>>")))
-        .drop(body, "_answer")
+    failure = _failure(listed, lone_allowed)
+    marked = parsed.withColumns({"_failure": failure, "_texts": F.when(failure.isNull(), _texts(listed, lone_allowed))})
+    rows = marked.select("*", F.posexplode_outer("_texts").alias("_position", "_entry")).where(
+        F.col("_failure").isNotNull() | F.col("_position").isNotNull()
     )
+    record = F.when(F.ltrim(F.col("_entry")).startswith("{"), F.from_json("_entry", f"struct<{item}>"))
+    bad = F.when(F.col("_item").isNull(), "not a record")
+    if time is not None:
+        bad = bad.when(F.col(f"_item.{time}").isNull(), f"no readable {time}")
+    return rows.withColumn("_item", record).withColumn("_reason", F.coalesce("_failure", bad)).drop("_answer", "_failure", "_texts")
+
+
+def _rows(raw: DataFrame, body: str, names: Sequence[str], item: str, lone_allowed: bool, time: str | None = None) -> DataFrame:
+    """The sound entries of all lists."""
+    items = _items(raw, body, names, item, lone_allowed, time)
+    return items.where(F.col("_reason").isNull()).drop(body, "_position", "_entry", "_reason")
 
 
 def answer_rejects(raw: DataFrame, names: Sequence[str], body: str = "body", lone_allowed: bool = False) -> DataFrame:
@@ -53,6 +75,41 @@ def answer_rejects(raw: DataFrame, names: Sequence[str], body: str = "body", lon
     )
 
 
+def rejects(
+    raw: DataFrame,
+    names: Sequence[str],
+    item: str,
+    body: str = "body",
+    lone_allowed: bool = False,
+    time: str | None = None,
+) -> DataFrame:
+    """All that an ingest leaves out: answers without a list, and entries of lists.
+
+    Each with its answer, `reject_reason`, and for an entry its `position` and text
+    `entry`. An entry is left out if it is no record or lacks a readable `time`.
+    """
+    items = _items(raw, body, names, item, lone_allowed, time).where(F.col("_reason").isNotNull())
+    return items.select(
+        *raw.columns, F.col("_reason").alias("reject_reason"), F.col("_position").alias("position"), F.col("_entry").alias("entry")
+    )
+
+
+def observation_rejects(raw: DataFrame, body: str = "body") -> DataFrame:
+    return rejects(raw, ["observation", "observations"], OBSERVATION, body, lone_allowed=True, time="valid_time_gmt")
+
+
+def schedule_rejects(raw: DataFrame, body: str = "body") -> DataFrame:
+    return rejects(raw, ["scheduledFlights"], SCHEDULED_FLIGHT, body, time="departureTime")
+
+
+def forecast_rejects(raw: DataFrame, body: str = "body") -> DataFrame:
+    return rejects(raw, ["forecasts"], FORECAST, body, time="fcst_valid")
+
+
+def status_rejects(raw: DataFrame, body: str = "body") -> DataFrame:
+    return rejects(raw, ["flightStatuses"], FLIGHT_STATUS, body)
+
+
 def ingest_observations(
     raw: DataFrame, hours: int = 23, station: str = "fs", fetched_at: str = "fetched_at", body: str = "body"
 ) -> DataFrame:
@@ -60,7 +117,7 @@ def ingest_observations(
 
     The list is under `observation` or `observations`; a lone record is a list of one.
     """
-    rows = _rows(raw, body, ["observation", "observations"], OBSERVATION, lone_allowed=True)
+    rows = _rows(raw, body, ["observation", "observations"], OBSERVATION, lone_allowed=True, time="valid_time_gmt")
     at = F.timestamp_seconds(F.col("_item.valid_time_gmt")).cast("timestamp_ntz")
     recent = rows.withColumn("valid_time", at).where(
         (F.col("valid_time") <= F.col(fetched_at))
@@ -70,20 +127,14 @@ def ingest_observations(
 
 
 def dedupe_observations(observations: DataFrame, keys: Sequence[str] = ("fs", "valid_time"), tie: str | None = None) -> DataFrame:
-    """One observation per airport and instant; the one with the smallest `tie`, if given."""
-    if tie is None:
-        return observations.dropDuplicates(list(keys))
+    """One observation per airport and instant: the one with the smallest `tie`, or else the smallest values."""
     rest = [c for c in observations.columns if c not in keys]
-    return (
-        observations.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), F.col(tie)).alias("_first"))
-        .select(*keys, "_first.*")
-    )
+    return first_per_key(observations, keys, rest if tie is None else [tie, *[c for c in rest if c != tie]])
 
 
 def ingest_schedules(raw: DataFrame, parts: Sequence[str] = ("year", "month", "day", "hour"), body: str = "body") -> DataFrame:
     """Scheduled flights of landed answers, each with the hour it was fetched for."""
-    rows = _rows(raw, body, ["scheduledFlights"], SCHEDULED_FLIGHT, lone_allowed=False)
+    rows = _rows(raw, body, ["scheduledFlights"], SCHEDULED_FLIGHT, lone_allowed=False, time="departureTime")
     return rows.select("_item.*", F.struct(*parts).alias("date"))
 
 
@@ -94,7 +145,8 @@ def ingest_statuses(raw: DataFrame, keys: Sequence[str], body: str = "body") ->
     """
     parsed = _fields(raw, body, ["flightStatuses"])
     listed = F.col("_answer.flightStatuses")
-    first = F.get(F.from_json(listed, f"array<struct<{FLIGHT_STATUS}>>"), F.lit(0))
+    entry = F.get(_texts(listed, False), F.lit(0))
+    first = F.when(F.ltrim(entry).startswith("{"), F.from_json(entry, f"struct<{FLIGHT_STATUS}>"))
     instants = [
         F.col(f"_first.operationalTimes.{name}.dateUtc").cast("timestamp_ntz").alias(name)
         for name in ("scheduledGateDeparture", "actualRunwayDeparture", "actualRunwayArrival")
@@ -115,14 +167,14 @@ def ingest_list(raw: DataFrame, name: str, item: str, body: str = "body") -> Dat
 def ingest_forecasts(
     raw: DataFrame, hours: int = 48, station: str = "fs", fetched_at: str = "fetched_at", body: str = "body"
 ) -> DataFrame:
-    """Forecasts of landed answers, up to `hours` after each fetch, with the day they were issued."""
-    rows = _rows(raw, body, ["forecasts"], FORECAST, lone_allowed=False)
+    """Forecasts of landed answers, up to `hours` after each fetch, with the instant of the fetch."""
+    rows = _rows(raw, body, ["forecasts"], FORECAST, lone_allowed=False, time="fcst_valid")
     valid = F.timestamp_seconds(F.col("_item.fcst_valid")).cast("timestamp_ntz")
     fields = [F.col("_item").getField(name).alias(name) for name in _names(FORECAST) if name != "fcst_valid"]
     return (
         rows.withColumn("_valid", valid)
         .where(F.col("_valid") <= F.timestamp_add("HOUR", F.lit(hours), F.col(fetched_at)).cast("timestamp_ntz"))
-        .select(station, F.to_date(fetched_at).alias("issue_day"), F.col("_valid").alias("fcst_valid"), *fields)
+        .select(station, F.col(fetched_at).alias("fetched_at"), F.col("_valid").alias("fcst_valid"), *fields)
     )
 
 
@@ -136,4 +188,5 @@ def ingest_appendix(raw: DataFrame, name: str, item: str, key: str, body: str =
     Every answer repeats the records it mentions; they are reduced before the shuffle.
     """
     appendix = raw.select(F.get_json_object(body, "$.appendix").alias(body))
-    return ingest_list(appendix, name, item, body).where(F.col(key).isNotNull()).dropDuplicates([key])
+    listed = ingest_list(appendix, name, item, body).where(F.col(key).isNotNull())
+    return first_per_key(listed, [key], [c for c in listed.columns if c != key])

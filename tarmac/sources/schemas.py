@@ -41,5 +41,5 @@ PREDICTION = "struct<overall string, models array<struct<model string, predictio
 HISTORY = (
     "depAirportFSCode string, depAirportName string, depAirportLong double, depAirportLat double, "
     "arrAirportFSCode string, arrAirportName string, arrAirportLong double, arrAirportLat double, "
-    f"prediction {PREDICTION}, carrierFsCode string, flightNumber string, departureTime string, departureDate string"
+    f"prediction {PREDICTION}, carrierFsCode string, flightNumber string, departureTime string, departureDate string, departureMonth date"
 )

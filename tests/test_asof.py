@@ -116,3 +116,26 @@ def test_windows_are_cut_by_time_slice(rows):
     over_rows = [spec for spec in specs if "_at#" in spec]
     assert len(over_rows) == 2 and all("_slice" in spec.split("_at#")[0] for spec in over_rows)
     assert found.where(F.col("weather.obs_id") == 1).count() == 1
+
+
+def test_the_session_zone_moves_nothing(spark, rows):
+    """In New York, clocks go forward between the two observations."""
+    points = rows([(1, "A", at("2024-03-10 03:05"))], "flight_id int, dep string, sched timestamp_ntz")
+    observed = rows([("A", at("2024-03-10 01:40"), 1), ("A", at("2024-03-10 04:25"), 2)], "fs string, valid_time timestamp_ntz, obs_id int")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        found = asof.nearest_observation(points, observed, "dep", "sched", "w").first()
+        assert found.w.obs_id == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_observations_without_a_tie(rows):
+    points = rows([(1, "A", at("2024-03-10 03:05"))], "flight_id int, dep string, sched timestamp_ntz")
+    same = at("2024-03-10 03:00")
+    for extra in ([("A", same, None, 3.0), ("A", same, 2, 9.0)], [("A", same, None, 3.0)]):
+        observed = rows(extra, "fs string, valid_time timestamp_ntz, obs_id int, temp double")
+        assert asof.nearest_observation(points, observed, "dep", "sched", "w").first().w.temp == 3.0
+    observed = rows([("A", same, 5.0), ("A", same, 4.0)], "fs string, valid_time timestamp_ntz, temp double")
+    assert asof.nearest_observation(points, observed, "dep", "sched", "w").first().w.temp == 4.0

@@ -72,7 +72,7 @@ def test_search_key(spark):
     good = parse("2016-10-12", "16:40")
     assert (good["search_year"], good["search_month"], good["search_day"], good["search_hour"]) == ("2016", "10", "12", "16")
     assert good["reject_reason"] is None
-    assert parse("2016-10", "7")["reject_reason"] == "Invalid date 2016-10"
+    assert parse("2016-10", "7")["reject_reason"] == "no such date: 2016-10"
     assert parse("2016-1-2", "7")["search_hour"] == "7"
 
 

@@ -1,6 +1,8 @@
 import pytest
 from conftest import at
 
+from pyspark.sql import functions as F
+
 from tarmac.operators import joins
 
 AIRPORTS = [("BOS", "Logan"), ("LAS", "McCarran")]
@@ -22,9 +24,9 @@ def test_unknown_airport_rejects_that_flight_only(flights, airports):
     assert [r.flight_id for r in joins.join_airports(flights, airports).collect()] == [1]
     rejects = {r.flight_id: r.reject_reason for r in joins.airport_rejects(flights, airports).collect()}
     assert rejects == {
-        2: "Unable to find record for airport XXX",
-        3: "Unable to find record for airport YYY",
-        4: "Unable to find record for airport ",
+        2: "no airport record: XXX",
+        3: "no airport record: YYY",
+        4: "no airport record: ",
     }
 
 
@@ -50,18 +52,53 @@ def test_last_forecast_of_the_hour_wins(rows):
         [(1, "BOS", at("2024-01-01 10:59")), (2, "BOS", at("2024-01-01 11:00")), (3, "BOS", at("2024-01-02 10:00"))],
         "flight_id int, dep string, sched timestamp_ntz",
     )
-    day = at("2024-01-01 00:00").date()
+    fetched = at("2024-01-01 00:00")
     forecasts = rows(
         [
-            (1, "BOS", day, at("2024-01-01 10:00")),
-            (2, "BOS", day, at("2024-01-02 10:00")),
-            (3, "LAS", day, at("2024-01-01 11:00")),
+            (1, "BOS", fetched, at("2024-01-01 10:00")),
+            (2, "BOS", fetched, at("2024-01-02 10:00")),
+            (3, "LAS", fetched, at("2024-01-01 11:00")),
         ],
-        "forecast_id int, fs string, issue_day date, fcst_valid timestamp_ntz",
+        "forecast_id int, fs string, fetched_at timestamp_ntz, fcst_valid timestamp_ntz",
     )
-    found = joins.join_forecast_hour(flights, forecasts, "dep", "sched", "forecast")
-    got = {r.flight_id: r.forecast and r.forecast.forecast_id for r in found.collect()}
-    assert got == {1: 2, 2: None, 3: None}
+    for table in (forecasts, forecasts.drop("forecast_id").withColumn("forecast_id2", F.col("fcst_valid"))):
+        found = joins.join_forecast_hour(flights, table, "dep", "sched", "forecast")
+        got = {r.flight_id: r.forecast and r.forecast.fcst_valid for r in found.collect()}
+        assert got == {1: at("2024-01-02 10:00"), 2: None, 3: at("2024-01-02 10:00")}
+
+
+def test_forecast_of_the_run_before_the_scoring(rows):
+    """One answer serves flights over midnight and of the next day, until the next one is fetched."""
+    hours = [at(f"2024-01-0{d} {h:02d}:00") for d in (1, 2) for h in range(24)]
+    runs = [("BOS", at("2024-01-01 00:00"), 1), ("BOS", at("2024-01-02 12:00"), 2), ("LAS", at("2024-01-01 00:00"), 3)]
+    forecasts = rows([(n, fs, run, h) for fs, run, n in runs for h in hours], "forecast_id int, fs string, fetched_at timestamp_ntz, fcst_valid timestamp_ntz")
+    flights = rows(
+        [
+            (1, "BOS", at("2024-01-01 22:00"), "LAS", at("2024-01-02 01:00"), at("2024-01-01 20:00")),
+            (2, "BOS", at("2024-01-03 09:00"), "LAS", at("2024-01-03 13:00"), at("2024-01-02 11:59")),
+            (3, "BOS", at("2024-01-03 09:00"), "XXX", at("2024-01-03 13:00"), at("2024-01-02 12:00")),
+            (4, "BOS", at("2024-01-01 09:00"), "LAS", at("2024-01-01 13:00"), at("2023-12-31 23:59")),
+            (5, "BOS", at("2024-01-01 09:00"), "LAS", at("2024-01-01 13:00"), None),
+        ],
+        "flight_id int, dep string, sched timestamp_ntz, arr string, lands timestamp_ntz, scored_at timestamp_ntz",
+    )
+    found = joins.join_forecast_hour(flights, forecasts, "dep", "sched", "d", "scored_at")
+    found = joins.join_forecast_hour(found, forecasts, "arr", "lands", "a", "scored_at")
+    got = {r.flight_id: (r.d and r.d.forecast_id, r.a and r.a.forecast_id) for r in found.collect()}
+    assert got == {1: (1, 3), 2: (1, 3), 3: (2, None), 4: (None, None), 5: (None, None)}
+    assert found.columns == [*flights.columns, "d", "a"]
+
+
+def test_repeated_codes_multiply_nothing(rows):
+    flights = rows([(1, "BOS", "LAS")], "flight_id int, dep string, arr string")
+    airports = rows([("BOS", "b"), ("BOS", "a"), ("LAS", "c"), (None, "d")], "fs string, name string")
+    assert [(r.departureAirport.name, r.arrivalAirport.name) for r in joins.join_airports(flights, airports).collect()] == [("a", "c")]
+    assert [r.x.name for r in joins.join_appendix(flights, airports, "dep", "fs", "x").collect()] == ["a"]
+
+
+def test_first_row_with_a_null_place(rows):
+    statuses = rows([(1, 3, "X"), (1, None, "L"), (2, None, "C")], "k int, pos int, status string")
+    assert {(r.k, r.status) for r in joins.first_per_key(statuses, ["k"], ["pos"]).collect()} == {(1, "L"), (2, "C")}
 
 
 def test_which_leg(rows):

@@ -194,10 +194,10 @@ def test_score_upcoming(spark, rows, flights):
         [("a", "NK 641", leaves, "BOS"), ("b", "NK 641", leaves + 3 * 3600000, "BOS"), ("c", "XX 7", leaves, None), ("d", "NK 1", leaves, "BOS")],
         "request_id string, flight string, epoch_ms bigint, departure_airport string",
     )
-    day = at("2016-10-12 00:00").date()
+    fetched = at("2016-10-12 00:00")
     forecasts = rows(
-        [(1, "BOS", day, at("2016-10-12 20:00"), 10.0, 50.0, 10.0, 1.0, 2.0, -10.0, 3.9)],
-        "forecast_id int, fs string, issue_day date, fcst_valid timestamp_ntz, dewpt double, rh double, vis double, wc double, "
+        [(1, "BOS", fetched, at("2016-10-12 20:00"), 10.0, 50.0, 10.0, 1.0, 2.0, -10.0, 3.9)],
+        "forecast_id int, fs string, fetched_at timestamp_ntz, fcst_valid timestamp_ntz, dewpt double, rh double, vis double, wc double, "
         "wspd double, feels_like double, uv_index double",
     )
     airlines = rows([("NK", "Spirit")], "fs string, name string")
@@ -223,6 +223,11 @@ def test_score_upcoming(spark, rows, flights):
     history.save_history(history.flatten_payload(payload), path)
     loaded = history.load_history(spark, path, HISTORY)
     assert {r.depAirportFSCode: r.prediction for r in loaded.collect()} == {k: r.prediction for k, r in stored.items()}
+    assert {str(r.departureMonth) for r in loaded.collect()} == {"2016-10-01"}
+    for _ in range(2):
+        history.save_history(history.flatten_payload(payload), path + "-runs", run="first")
+    history.save_history(history.flatten_payload(payload), path + "-runs", run="second")
+    assert history.load_history(spark, path + "-runs").groupBy("run").count().orderBy("run").collect() == [("first", 2), ("second", 2)]
     assert json.loads(payload.select(F.to_json("prediction").alias("j")).first().j)["overall"]
 
 
@@ -252,3 +257,27 @@ def test_wide_vectors_train_every_model(spark, folder):
 
 def test_unknown_class_passes_through(rows):
     assert rows([(7,)], "v int").select(class_label5(F.col("v"))).first()[0] == "7"
+
+
+def test_a_leg_of_an_unknown_airport_is_a_leg(rows):
+    schedules = rows(
+        [
+            ("WN", "1", "LAS", "SFO", at("2016-10-12 08:00"), at("2016-10-12 09:30")),
+            ("WN", "1", "SFO", "XXX", at("2016-10-12 14:00"), at("2016-10-12 16:00")),
+            ("WN", "2", "LAS", "XXX", at("2016-10-12 08:00"), at("2016-10-12 09:30")),
+            ("WN", "3", "YYY", "LAS", at("2016-10-12 08:00"), at("2016-10-12 09:30")),
+        ],
+        "carrierFsCode string, flightNumber string, departureAirportFsCode string, arrivalAirportFsCode string, "
+        "departureTime timestamp_ntz, arrivalTime timestamp_ntz",
+    )
+    zone = "America/Los_Angeles"
+    airports = rows([("LAS", zone), ("SFO", zone), ("SFO", zone)], "fs string, timeZoneRegionName string")
+    asked = [("a", "WN 1", 1476306000000, "SFO"), ("b", "WN 1", 1476284400000, "LAS"), ("c", "WN 2", 1476284400000, "LAS"), ("d", "WN 3", 1476284400000, "LAS")]
+    requests = rows(asked, "request_id string, flight string, epoch_ms bigint, departure_airport string")
+    got = {r.request_id: (r.candidates, r.leg and r.leg.arrivalAirportFsCode, r.reject_reason) for r in scoring.resolve_requests(requests, schedules, airports).collect()}
+    assert got == {
+        "a": (2, None, "no airport record: XXX"),
+        "b": (2, "SFO", None),
+        "c": (1, None, "no airport record: XXX"),
+        "d": (1, None, "no airport record: YYY"),
+    }
