@@ -134,6 +134,19 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in ascending order, a place of each, and which one each value is.
+
+    Unlike numpy's own, it sorts without keeping equal values in order, which takes a
+    quarter of the time; so the place is any.
+    """
+    order = np.argsort(values)
+    first = runs(values[order])
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(values))))
+    return values[order[first]], order[first], inverse
+
+
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one range after the other."""
     total = int(lengths.sum())

@@ -87,7 +87,7 @@ def op4_packing(spark, folder):
 @query()
 def op5_sentence_pieces(spark, folder):
     model = tokenizer_file("piece_bpe_32k.model")
-    encoded = sentence_pieces.decode(sentence_pieces.encode(read(spark, folder, "documents"), model), model)
+    encoded = sentence_pieces.encode(read(spark, folder, "documents"), model, back=True)
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

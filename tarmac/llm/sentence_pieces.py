@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.arrays import buffer_of, expand, longs, portions, prefix_hashes, span_hashes
+from tarmac.llm.arrays import buffer_of, distinct, longs, portions, prefix_hashes, span_hashes
 from tarmac.llm.common import texts
+from tarmac.llm.id_store import IdStore, kept_by_worker
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 
 @dataclass
@@ -86,7 +87,7 @@ def rebuild(path: str) -> Rebuilt:
     for first in ([normalizers.Prepend(MARK)] if spec.add_dummy_prefix else [], []):
         t = Tokenizer(core())
         t.normalizer = normalizers.Sequence([*shared, *first, *mark])
-        strip = [decoders.Strip(" ", 1, 0)] if spec.add_dummy_prefix else []
+        strip = [decoders.Strip(" ", 1, 0)] if first else []
         t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
         t.add_tokens([AddedToken(p, normalized=True) for p, _, k in pieces if k == USER])
         made.append(t)
@@ -126,29 +127,24 @@ def stretches(buf: np.ndarray, offsets: np.ndarray, prefix: bool) -> tuple[np.nd
 class Stretches:
     """Ids of distinct stretches, whether they decode to themselves and whether both libraries agree."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, back: bool = False):
         import sentencepiece
 
         self.rebuilt, self.other = rebuild(path), sentencepiece.SentencePieceProcessor(model_file=path)
         spelled = [p.piece for p in parsed(path).pieces]
         self.marked = np.array([p.startswith(MARK) for p in spelled])
         self.only_marks = np.array([set(p) == {MARK} for p in spelled])
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.unlike: list[bool] = []
+        self.store, self.spelt = IdStore(REMEMBERED), IdStore(REMEMBERED, np.uint8) if back else None
 
     def learn(self, hashes: list[int], spellings: list[str]) -> None:
-        encoded, unlike = [np.zeros(0, np.uint32)] * len(spellings), [False] * len(spellings)
+        encoded, unlike = [np.zeros(0, np.uint32)] * len(spellings), np.zeros(len(spellings), dtype=bool)
         # Stretches of a group make one text, whose ids fall apart again where a marker
         # follows anything but a marker. What is spaces only goes alone.
         joined = [i for i, s in enumerate(spellings) if s[0] == " " and s.strip(" ")]
         groups = [joined[i : i + 256] for i in range(0, len(joined), 256)]
         groups += [[i] for i, s in enumerate(spellings) if s[0] != " " or not s.strip(" ")]
         long = ["".join(spellings[i] for i in g) for g in groups]
-        for group, text, e in zip(groups, long, self.rebuilt.stretch.encode_batch(long, add_special_tokens=False), strict=True):
+        for group, text, e in zip(groups, long, self.rebuilt.stretch.encode_batch_fast(long, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
             begins = self.marked[ids]
             begins[1:] &= ~self.only_marks[ids[:-1]]
@@ -158,9 +154,10 @@ class Stretches:
             if not self.same(text, ids):
                 for i in group:
                     unlike[i] = not self.same(spellings[i], encoded[i])
-        self.known.update(zip(hashes, range(len(self.flat), len(self.flat) + len(encoded)), strict=True))
-        self.flat += encoded
-        self.unlike += unlike
+        self.store.add(hashes, np.concatenate(encoded), np.array([len(e) for e in encoded], np.int64), unlike)
+        if self.spelt is not None:
+            made = [t.encode() for t in self.rebuilt.stretch.decode_batch([e.tolist() for e in encoded], skip_special_tokens=False)]
+            self.spelt.add(None, np.frombuffer(b"".join(made), np.uint8), np.array([len(t) for t in made], np.int64))
 
     def same(self, text: str, ids: np.ndarray) -> bool:
         """Whether the other library gives these ids; it puts the dummy prefix itself."""
@@ -168,32 +165,43 @@ class Stretches:
         return text == " " or self.other.encode(short) == ids.tolist()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, how many each has, and its stretches on which the libraries differ."""
+        """Ids of all texts, how many each has, and its stretches on which the libraries differ.
+
+        With `back`, `decoded` then has the texts that the ids decode to: bytes run within
+        a stretch, so a text is what its stretches decode to, less the dummy prefix.
+        """
         n = len(column)
         if not self.rebuilt.separable:
             whole = [t or "" for t in column.to_pylist()]
             encoded = [np.array(e.ids, np.uint32) for e in self.rebuilt.whole.encode_batch(whole, add_special_tokens=False)]
             unlike = [int(self.other.encode(t) != e.tolist()) for t, e in zip(whole, encoded, strict=True)]
+            if self.spelt is not None:
+                self.decoded = _texts(self.rebuilt, encoded)
             return np.concatenate([*encoded, np.zeros(0, np.uint32)]), np.array([len(e) for e in encoded], np.int64), np.array(unlike, np.int64)
         buf, starts, ends, owner = stretches(*buffer_of(column), self.rebuilt.prefix)
         if len(starts) == 0:
+            self.decoded = pa.array([""] * n, pa.string())
             return np.zeros(0, np.uint32), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        hashes, first, inverse = np.unique(span_hashes(prefix_hashes(buf), starts, ends), return_index=True, return_inverse=True)
+        hashes, first, inverse = distinct(span_hashes(prefix_hashes(buf), starts, ends))
         keys = hashes.tolist()
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        if new:
-            raw = buf.tobytes()
-            at = first[new]
-            self.learn([keys[i] for i in new], [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        places = [self.known[h] for h in keys]
-        found = [self.flat[p] for p in places]
-        lengths = np.array([len(f) for f in found], np.int64)
-        flat, begins = np.concatenate(found), np.cumsum(lengths) - lengths
-        unlike = np.array([self.unlike[p] for p in places], np.int64)[inverse]
-        counts = np.bincount(owner, weights=lengths[inverse], minlength=n).astype(np.int64)
-        return flat[expand(begins[inverse], lengths[inverse])], counts, np.bincount(owner, weights=unlike, minlength=n).astype(np.int64)
+        new = self.store.unknown(keys)
+        if self.spelt is not None and self.store.count == 0:
+            self.spelt.forget()
+        raw = buf.tobytes() if new else b""
+        for i in range(0, len(new), 8192):
+            some = new[i : i + 8192]
+            at = first[some]
+            self.learn([keys[k] for k in some], [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        places = self.store.places(keys)[inverse]
+        if self.spelt is not None:
+            sizes = np.bincount(owner, weights=self.spelt.lengths[places], minlength=n).astype(np.int64)
+            raw, begins = self.spelt.ids(places), np.cumsum(sizes) - sizes
+            if self.rebuilt.prefix:
+                raw, sizes = np.delete(raw, begins[sizes > 0]), sizes - (sizes > 0)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            self.decoded = pa.LargeStringArray.from_buffers(n, pa.py_buffer(bounds), pa.py_buffer(raw)).cast(pa.string())
+        counts = np.bincount(owner, weights=self.store.lengths[places], minlength=n).astype(np.int64)
+        return self.store.ids(places), counts, np.bincount(owner, weights=self.store.flags[places], minlength=n).astype(np.int64)
 
 
 def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -201,45 +209,66 @@ def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
 
 
-def _encoded(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+def _threads() -> None:
+    """A batch is encoded by as many threads as a task is likely to have cores for."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", "2"
+
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        encoder = Stretches(path)
+def _encoded(path: str, back: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _threads()
+        encoder = kept_by_worker(f"pieces {path} {back}", lambda: Stretches(path, back))
         for batch in batches:
             for part in portions(batch, "text"):
                 flat, counts, unlike = encoder.encode(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(flat, counts), longs(unlike)], ["doc_id", "text", "ids", "n_unlike"])
+                columns, names = [part.column(0), part.column(1), _lists(flat, counts), longs(unlike)], ["doc_id", "text", "ids", "n_unlike"]
+                if back:
+                    columns, names = [*columns, encoder.decoded], [*names, "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
+def _texts(rebuilt: Rebuilt, ids: list) -> pa.Array:
+    """Texts of lists of ids, a number of tokens at a time."""
+    made: list[str] = []
+    held: list[list[int]] = []
+    size = 0
+    for one in ids:
+        held.append(one if isinstance(one, list) else one.tolist())
+        size += len(held[-1])
+        if size > 1 << 17:
+            made += rebuilt.whole.decode_batch(held, skip_special_tokens=False)
+            held, size = [], 0
+    made += rebuilt.whole.decode_batch(held, skip_special_tokens=False) if held else []
+    return pa.array(made, pa.string())
+
+
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        _threads()
         rebuilt = rebuild(path)
-        place = None
         for batch in batches:
             place = batch.schema.get_field_index("ids")
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                made = rebuilt.whole.decode_batch([i or [] for i in part.column(place).to_pylist()], skip_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], [*part.schema.names, "decoded"])
+                made = _texts(rebuilt, [i or [] for i in part.column(place).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "decoded"])
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, text, ids, n_unlike: the ids of each whole text.
+def encode(docs: DataFrame, model_path: str, back: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, text, ids, n_unlike: the ids of each whole text; with `back` also `decoded`.
 
     n_unlike counts the stretches whose ids differ from the sentencepiece library's. A
     null or empty text has no ids; null ids of documents stay null and repeated rows are
     encoded one by one; an empty table gives no rows; extra columns are ignored.
     """
-    return texts(docs, id_column, text_column).mapInArrow(_encoded(model_path), "doc_id long, text string, ids array<int>, n_unlike long")
+    schema = "doc_id long, text string, ids array<int>, n_unlike long" + (", decoded string" if back else "")
+    return texts(docs, id_column, text_column).mapInArrow(_encoded(model_path, back), schema)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
