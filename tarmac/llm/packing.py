@@ -18,17 +18,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.arrays import LOWER, NO_LETTER, SPACE, binaries, buffer_of, counts_by, expand, longs, portions, prefix_hashes, span_hashes, words
+from tarmac.llm.arrays import LOWER, NO_LETTER, SPACE, binaries, buffer_of, distinct, expand, longs, portions, prefix_hashes, span_hashes, words
 from tarmac.llm.common import texts
+from tarmac.llm.id_store import IdStore, kept_by_worker
 
 #: Tokens and documents of a window; a task holds the ids of one window.
-WINDOW, DOCUMENTS = 1 << 22, 1 << 16
+WINDOW, DOCUMENTS = 1 << 21, 1 << 16
 
 #: ASCII letters, and the other ASCII characters but white space.
 LETTER, SIGN = ~NO_LETTER, NO_LETTER & ~SPACE
 LETTER[0x80:] = False
 
-#: Words a task remembers the ids of.
+#: Words a worker remembers the ids of.
 REMEMBERED = 1 << 20
 
 
@@ -45,7 +46,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.fences = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
-        self.forget()
+        self.store = IdStore(REMEMBERED)
 
     def ids_of(self, spellings: list[str], fenced: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words and how many each has. Words go to the library in long texts, fenced off by a special token."""
@@ -53,28 +54,14 @@ class WordIds:
             each = [e.ids for e in self.tokenizer.encode_batch(spellings, add_special_tokens=False)]
             return np.fromiter((i for e in each for i in e), np.uint32), np.array([len(e) for e in each], np.int64)
         fence, mark = self.fences[0]
-        long = [fence.join(spellings[i : i + 256]) + fence for i in range(0, len(spellings), 256)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(long, add_special_tokens=False)])
+        found = []
+        for i in range(0, len(spellings), 8192):
+            long = [fence.join(spellings[j : j + 256]) + fence for j in range(i, min(i + 8192, len(spellings)), 256)]
+            found += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(long, add_special_tokens=False)]
+        ids = np.concatenate(found)
         marks = np.flatnonzero(ids == mark)
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.lengths, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-
-    def learn(self, hashes: list[int], spellings: list[str], fenced: bool) -> None:
-        encoded, lengths = self.ids_of(spellings, fenced)
-        n, m = len(self.known), len(spellings)
-        while n + m > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + int(lengths.sum()) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.starts[n : n + m], self.lengths[n : n + m] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.flat[self.used : self.used + int(lengths.sum())] = encoded
-        self.used += int(lengths.sum())
-        self.known.update(zip(hashes, range(n, n + m), strict=True))
-
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has."""
         raw = buf.tobytes()
@@ -90,18 +77,16 @@ class WordIds:
         starts, ends, owner = words(buf, offsets, SPACE, cuts)
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        hashes, first, inverse = np.unique(span_hashes(prefix_hashes(buf), starts, ends), return_index=True, return_inverse=True)
+        hashes, first, inverse = distinct(span_hashes(prefix_hashes(buf), starts, ends))
         keys = hashes.tolist()
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
+        new = self.store.unknown(keys)
         if new:
             at, raw = first[new], buf.tobytes()
-            self.learn([keys[i] for i in new], [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], fenced)
-        places = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[inverse]
-        lengths = self.lengths[places]
-        counts = np.bincount(owner, weights=lengths, minlength=len(offsets) - 1).astype(np.int64)
-        return self.flat[expand(self.starts[places], lengths)], counts
+            spellings = [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self.store.add([keys[i] for i in new], *self.ids_of(spellings, fenced))
+        places = self.store.places(keys)[inverse]
+        counts = np.bincount(owner, weights=self.store.lengths[places], minlength=len(offsets) - 1).astype(np.int64)
+        return self.store.ids(places), counts
 
 
 def room_for(tokens: int, length: int) -> np.ndarray:
@@ -145,7 +130,11 @@ def pack_window(sizes: np.ndarray, length: int, linear: float, quadratic: float)
 
 def _packed(path: str, end_id: int, length: int, linear: float, quadratic: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequences, place = WordIds(path), 0, TaskContext.get().partitionId()
+        import os
+
+        # Spark's tasks fill the cores; further threads of the library only take memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder, sequences, place = kept_by_worker(f"words {path}", lambda: WordIds(path)), 0, TaskContext.get().partitionId()
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
