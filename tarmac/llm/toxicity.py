@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarmac.llm.arrays import NO_LETTER, binaries, buffer_of, expand, longs, portions, word_hashes
+from tarmac.llm.arrays import NO_LETTER, binaries, buffer_of, expand, longs, mix, portions, word_hashes
 from tarmac.llm.common import texts
 from tarmac.llm.labelled_sample import labelled_sample
 
@@ -99,8 +99,29 @@ class Index:
         return float(self.steps[min(BINS - 1, int(share * BINS))])
 
 
+def unlike(owner: np.ndarray, hashes: np.ndarray, labels: np.ndarray, least: int = 4) -> np.ndarray:
+    """True for one example of those that agree in their label and their `least` smallest hashes.
+
+    Copies of one text would else make all its words look like words of its label.
+    """
+    order = np.lexsort((mix(hashes), owner))
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    small = order[place < least]
+    signs = np.zeros(len(labels), np.uint64)
+    np.add.at(signs, owner[small], mix(mix(hashes[small])))
+    _, first = np.unique(np.stack([signs, labels.astype(np.uint64)]), axis=1, return_index=True)
+    out = np.zeros(len(labels), dtype=bool)
+    out[first] = True
+    return out
+
+
 def associated(owner: np.ndarray, hashes: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """The hashes of terms whose presence in an example goes with its label, in ascending order."""
+    if len(hashes) == 0 or labels.min() == labels.max():
+        return np.zeros(0, np.uint64)
+    single = unlike(owner, hashes, labels)
+    hashes, owner = hashes[single[owner]], (np.cumsum(single) - 1)[owner[single[owner]]]
+    labels = labels[single]
     if len(hashes) == 0 or labels.min() == labels.max():
         return np.zeros(0, np.uint64)
     n, ones = len(labels), labels.sum()
