@@ -294,7 +294,8 @@ def _loose_links(measured: DataFrame, sets: DataFrame, percent: int) -> DataFram
     both = F.explode(F.array(F.struct(F.col("shell"), F.lit(False).alias("guest")), F.struct((F.col("shell") + 1).alias("shell"), F.lit(True).alias("guest"))))
     rows = rest.select("pivot", "set_id", "loose", both.alias("c")).select("pivot", "set_id", "loose", "c.shell", "c.guest")
     sizes = rows.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("size"), F.max("loose").alias("open"), F.max(~F.col("guest")).alias("own"))
-    sized = rows.join(sizes.where("size > 1 and open and own"), ["pivot", "shell"])
+    # Written, so that the join shuffles both sides and can split a hot region's.
+    sized = rows.join(written(sizes.where("size > 1 and open and own"), "jaccard-cells"), ["pivot", "shell"])
     sized = sized.withColumn("blocks", F.ceil(F.col("size") / F.lit(CELL)).cast("int")).withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.select("pivot", "shell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "set_id", "guest", "loose").join(sets, "set_id")
@@ -333,8 +334,15 @@ def linked_texts(docs: DataFrame, percent: int = 90, width: int = 3, id_column:
     fetched = rows.join(wanted, "doc_id").select("doc_id", "text", "set_id")
     sets = written(fetched.mapInArrow(_fetched(width), "set_id long, members binary"), "jaccard-members")
 
-    middle = regions.select("pivot").distinct().join(sets.withColumnRenamed("set_id", "pivot"), "pivot").withColumnRenamed("members", "pivot_members")
-    pairs = regions.join(sets, "set_id").join(middle, "pivot").select("pivot", "set_id", "members", "pivot_members")
+    # Large regions are dealt out in blocks, each with a copy of the pivot's set.
+    counted = regions.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CELL)
+    large = written(counted.select("pivot", F.ceil(F.col("size") / F.lit(CELL)).cast("int").alias("blocks")), "jaccard-large")
+    blocks = F.coalesce("blocks", F.lit(1))
+    sided = regions.join(large, "pivot", "left").select("pivot", "set_id", F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("side"))
+    copies = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("side")
+    middle = regions.select("pivot").distinct().join(large, "pivot", "left").select("pivot", copies)
+    middle = middle.join(sets.select(F.col("set_id").alias("pivot"), F.col("members").alias("pivot_members")), "pivot")
+    pairs = sided.join(sets, "set_id").join(middle, ["pivot", "side"]).select("pivot", "set_id", "members", "pivot_members")
     linked = (100 * F.col("shared") >= percent * (F.col("n") + F.col("pivot_n") - F.col("shared"))).alias("linked")
     measured = written(pairs.mapInArrow(_measured, "pivot long, set_id long, n long, pivot_n long, shared long").select("*", linked), "jaccard-measured")
 
