@@ -182,3 +182,62 @@ def score_and_store(spark, folder):
     return stored.groupBy(
         F.col("depAirportFSCode").alias("dep"), F.col("arrAirportFSCode").alias("arr"), F.col("carrierFsCode").alias("carrier")
     ).agg(F.count(F.lit(1)).alias("stored"))
+
+
+# What the queries above give that does not depend on the training.
+_LAST_RUN = """(select fs, max(fetched_at) as run from f_forecast group by fs)"""
+
+
+def _last_forecast(end: str) -> str:
+    return f"""left join {_LAST_RUN} r{end} on r{end}.fs = f.{end}
+    left join f_hour_forecast c{end} on c{end}.fs = f.{end} and c{end}.fetched_at = r{end}.run and hour(c{end}.fcst_valid) = hour(f.{end}_utc)"""
+
+
+@query(f"""select f.flight_id as request_id, f.carrier, f.dep, f.arr, cdep.forecast_id as dep_forecast, carr.forecast_id as arr_forecast,
+      2 as models
+    from (select l.flight_id, l.carrier, l.dep, l.arr, timezone('UTC', timezone(d.zone, l.sched)) as dep_utc,
+        timezone('UTC', timezone(a.zone, l.act_arr)) as arr_utc
+      from f_landed l join f_airports d on d.fs = l.dep join f_airports a on a.fs = l.arr) f
+    {_last_forecast('dep')} {_last_forecast('arr')}""")
+def score_upcoming_inputs(spark, folder):
+    """Flights, forecasts and number of models of all scored requests; the last answers count."""
+    requests, schedules, airports, equipment = upcoming_inputs(spark, folder)
+    registry = _registry(_labelled(spark, folder), ("naive_bayes", "decision_tree"))
+    inputs = (requests, schedules, airports, w.airlines(spark, folder), equipment, w.forecasts(spark, folder), registry)
+    payload, _rejects = scoring.score_upcoming(*inputs, _HANDLER, {"dewPt": "dewpoint"})
+    return payload.select(
+        "request_id",
+        F.col("flightInfo.carrierFsCode").alias("carrier"),
+        F.col("flightInfo.departureAirportFsCode").alias("dep"),
+        F.col("flightInfo.arrivalAirportFsCode").alias("arr"),
+        F.col("departureAirportInfo.weatherForecast.forecast_id").alias("dep_forecast"),
+        F.col("arrivalAirportInfo.weatherForecast.forecast_id").alias("arr_forecast"),
+        F.size("prediction.models").alias("models"),
+    )
+
+
+@query("""select m.model, classification as label, count(*) as flights, cast(0 as bigint) as outside
+    from f_landed join f_sets on airport = dep
+    cross join (select unnest(['logistic_regression', 'naive_bayes', 'decision_tree', 'random_forest']) as model) m
+    where data_set = 'test' group by m.model, classification""")
+def train_support(spark, folder):
+    """Scored flights of each model and label, and predictions outside the classes: there are none."""
+    labelled = _labelled(spark, folder)
+    registry = _registry(labelled)
+    scored = training.score_labelled(_set(labelled, "test"), registry, _HANDLER)
+    rows = models.long_predictions(scored, registry, [F.col("label").cast("int").alias("label")])
+    return rows.groupBy("model", "label").agg(
+        F.count(F.lit(1)).alias("flights"), F.count_if(~F.col("prediction").between(0, 4) | F.col("prediction").isNull()).alias("outside")
+    )
+
+
+@query(f"""select h.handler, m.model, count(*) as rows, true as recall_is_accuracy
+    from f_landed join f_sets on airport = dep
+    cross join (select unnest(['{DefaultHandler.name}', '{ThreeClassHandler.name}']) as handler) h
+    cross join (select unnest(['naive_bayes', 'decision_tree']) as model) m
+    where data_set = 'test' group by h.handler, m.model""")
+def compare_handlers_support(spark, folder):
+    """Flights behind each row of the comparison; recall weighted by class size is plain accuracy."""
+    scores = compare_handlers(spark, folder)
+    same = F.abs(F.col("weighted_recall") - F.col("accuracy")) < 1e-9
+    return scores.select("handler", "model", "rows", same.alias("recall_is_accuracy"))
