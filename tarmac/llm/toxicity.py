@@ -24,7 +24,7 @@ from tarmac.llm.labelled_sample import labelled_sample
 #: Labelled documents in the index, at most; terms, at most; chi-square a term must reach;
 #: examples with the term, at least; neighbours that vote; examples in a block; bins of the
 #: calibration.
-SAMPLE, TERMS, CHI_SQUARE, LEAST, NEIGHBOURS, BLOCK, BINS = 16384, 4096, 30.0, 5, 15, 64, 10
+SAMPLE, TERMS, CHI_SQUARE, LEAST, NEIGHBOURS, BLOCK, BINS = 12288, 4096, 30.0, 6, 15, 64, 10
 
 
 def term_counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,11 +237,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     """Index of at most `sample` labelled documents outside the held folds."""
     chosen = labelled_sample(texts(docs, id_column, text_column), labels, label, folds, [2] if held_folds is None else held_folds, sample, ["text"])
     table = chosen.select("doc_id", "text", "label").mapInArrow(_counted, "doc_id long, label int, terms binary, counts binary").toArrow().sort_by("doc_id")
-    terms = [np.frombuffer(t, np.uint64) for t in table.column("terms").to_pylist()]
-    counts = [np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()]
-    owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms]).astype(np.int64)
-    join = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
-    return build(np.asarray(table.column("doc_id").to_numpy(), np.int64), np.asarray(table.column("label").to_numpy(), np.int64), owner, join(terms, np.uint64), join(counts, np.uint32))
+    ids, known = (np.asarray(table.column(c).to_numpy(), np.int64) for c in ("doc_id", "label"))
+    # The binary columns' own buffers hold all terms and counts, one example after the other.
+    raw_terms, ends = buffer_of(table.column("terms"))
+    raw_counts, _ = buffer_of(table.column("counts"))
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(ends) // 8)
+    return build(ids, known, owner, np.frombuffer(raw_terms.tobytes(), np.uint64), np.frombuffer(raw_counts.tobytes(), np.uint32))
 
 
 def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
