@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.timecols import micros, whole_minutes
-from tarmac.operators.slices import DAY, time_slice
+from tarmac.operators.slices import ASIDE, DAY, time_slice
 
 
 def observation_index(observations: DataFrame, station: str = "fs", time: str = "valid_time", tie: str = "obs_id") -> DataFrame:
@@ -124,13 +124,23 @@ def nearest(points: DataFrame, index: DataFrame, granularity: str = "exact", sec
 
 
 def attach(df: DataFrame, answers: DataFrame, station: str, at: str, name: str) -> DataFrame:
-    """Put the observation found for (station, at) on each row, null where there is none."""
+    """Put the observation found for (station, at) on each row, null where there is none.
+
+    Rows without a station or instant find nothing. They are spread by their other values,
+    else all flights of a hub that never landed would meet in one task.
+    """
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "array", "struct"))]
+    aside = F.col(station).isNull() | F.col(at).isNull()
+    spread = F.when(aside, F.pmod(F.xxhash64(*plain), F.lit(ASIDE))).otherwise(F.lit(0))
     side = answers.select(
-        F.col("_station").alias("_a_station"), F.col("_at").alias("_a_at"), F.col("_obs").alias(name)
+        F.col("_station").alias("_a_station"),
+        F.col("_at").alias("_a_at"),
+        # Always 0, but not to the optimiser, which would drop a constant from the keys.
+        F.pmod(F.xxhash64("_station"), F.lit(1)).alias("_a_spread"),
+        F.col("_obs").alias(name),
     )
-    return df.join(
-        side, (F.col(station) == F.col("_a_station")) & (F.col(at) == F.col("_a_at")), "left"
-    ).drop("_a_station", "_a_at")
+    same = (F.col(station) == F.col("_a_station")) & (F.col(at) == F.col("_a_at")) & (F.col("_spread") == F.col("_a_spread"))
+    return df.withColumn("_spread", spread).join(side, same, "left").drop("_spread", "_a_station", "_a_at", "_a_spread")
 
 
 def nearest_observation(
