@@ -90,8 +90,8 @@ def op5_sentence_pieces(spark, folder):
     encoded = sentence_pieces.encode(read(spark, folder, "documents"), model, back=True)
     return encoded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        sentence_pieces.ids_crc32(F.col("ids")).alias("ids_crc32"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.col("text")).alias("round_trip"),
         "n_unlike",

@@ -17,9 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tarmac.llm.arrays import buffer_of, distinct, longs, portions, prefix_hashes, span_hashes
+from tarmac.llm.arrays import binaries, buffer_of, distinct, longs, portions, prefix_hashes, span_hashes
 from tarmac.llm.common import texts
 from tarmac.llm.id_store import IdStore, kept_by_worker
 
@@ -204,11 +203,6 @@ class Stretches:
         return self.store.ids(places), counts, np.bincount(owner, weights=self.store.flags[places], minlength=n).astype(np.int64)
 
 
-def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-
-
 def _threads() -> None:
     """A batch is encoded by as many threads as a task is likely to have cores for."""
     import os
@@ -223,7 +217,7 @@ def _encoded(path: str, back: bool):
         for batch in batches:
             for part in portions(batch, "text"):
                 flat, counts, unlike = encoder.encode(part.column(1))
-                columns, names = [part.column(0), part.column(1), _lists(flat, counts), longs(unlike)], ["doc_id", "text", "ids", "n_unlike"]
+                columns, names = [part.column(0), part.column(1), binaries(np.split(flat, np.cumsum(counts)[:-1])), longs(unlike)], ["doc_id", "text", "ids", "n_unlike"]
                 if back:
                     columns, names = [*columns, encoder.decoded], [*names, "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -231,13 +225,13 @@ def _encoded(path: str, back: bool):
     return run
 
 
-def _texts(rebuilt: Rebuilt, ids: list) -> pa.Array:
+def _texts(rebuilt: Rebuilt, ids: list[np.ndarray]) -> pa.Array:
     """Texts of lists of ids, a number of tokens at a time."""
     made: list[str] = []
     held: list[list[int]] = []
     size = 0
     for one in ids:
-        held.append(one if isinstance(one, list) else one.tolist())
+        held.append(one.tolist())
         size += len(held[-1])
         if size > 1 << 17:
             made += rebuilt.whole.decode_batch(held, skip_special_tokens=False)
@@ -254,7 +248,7 @@ def _decoded(path: str):
             place = batch.schema.get_field_index("ids")
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                made = _texts(rebuilt, [i or [] for i in part.column(place).to_pylist()])
+                made = _texts(rebuilt, [np.frombuffer(i or b"", "<u4") for i in part.column(place).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "decoded"])
 
     return run
@@ -263,11 +257,11 @@ def _decoded(path: str):
 def encode(docs: DataFrame, model_path: str, back: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, text, ids, n_unlike: the ids of each whole text; with `back` also `decoded`.
 
-    n_unlike counts the stretches whose ids differ from the sentencepiece library's. A
+    `ids` holds little-endian unsigned 32-bit numbers. n_unlike counts the stretches whose ids differ from the sentencepiece library's. A
     null or empty text has no ids; null ids of documents stay null and repeated rows are
     encoded one by one; an empty table gives no rows; extra columns are ignored.
     """
-    schema = "doc_id long, text string, ids array<int>, n_unlike long" + (", decoded string" if back else "")
+    schema = "doc_id long, text string, ids binary, n_unlike long" + (", decoded string" if back else "")
     return texts(docs, id_column, text_column).mapInArrow(_encoded(model_path, back), schema)
 
 
@@ -276,9 +270,3 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     schema = [*encoded.schema.fields]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", decoded string"
     return encoded.mapInArrow(_decoded(model_path), ddl)
-
-
-def ids_crc32(ids) -> F.Column:
-    """crc32 of the ids as little-endian unsigned 32-bit numbers, in SQL functions."""
-    as_hex = F.transform(ids, lambda i: F.concat(*[F.lpad(F.hex(F.shiftright(i, s).bitwiseAND(255)), 2, "0") for s in (0, 8, 16, 24)]))
-    return F.crc32(F.unhex(F.array_join(as_hex, "")))
