@@ -27,7 +27,7 @@ from tarmac.llm.common import crc_fold
 from tarmac.llm.exchange import BODY, answered, batched, bucket_edges, buckets_for, deltas, dump, load, sums, told
 
 #: Words of the model, numbers in a word's vector, noise words and tokens of a step, rounds.
-VOCABULARY, WIDTH, NOISE, STEP, ROUNDS = 2048, 16, 64, 4096, 3
+VOCABULARY, WIDTH, NOISE, STEP, ROUNDS = 2048, 16, 64, 1024, 3
 
 #: The end of a text is a token of its own, with this in place of a hash.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -213,30 +213,33 @@ def _train(shared, turn: int, rate: float):
     return run
 
 
-def _added(table: pa.Table) -> pa.Table:
-    flat = np.zeros(0)
-    for payload in table.column("sums").to_pylist():
-        more = np.frombuffer(payload, np.float64)
-        flat = more.copy() if len(flat) == 0 else flat + more
-    return pa.table({"weight": longs([sum(table.column("weight").to_pylist())]), "sums": binaries([flat])})
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the sums of all rows, of which it holds one batch at a time."""
+    weight, flat = 0, np.zeros(0)
+    for batch in batches:
+        weight += sum(batch.column(0).to_pylist())
+        for payload in batch.column(1).to_pylist():
+            more = np.frombuffer(payload, np.float64)
+            flat = more.copy() if len(flat) == 0 else flat + more
+    if len(flat):
+        yield pa.RecordBatch.from_arrays([longs([weight]), binaries([flat])], ["weight", "sums"])
 
 
 def _round(bodies: DataFrame, model: Model, turn: int, rate: float) -> Model:
     """Parameters after a round: the mean over tasks, weighted by their tokens.
 
-    Sums are added in two steps, each row to what its group has so far; the driver gets
-    one row for each of the last groups.
+    Sums are added in two steps by tasks that hold one sum each; the driver gets one row
+    for each task of the last step.
     """
     shared = bodies.sparkSession.sparkContext.broadcast(model)
     found = bodies.mapInArrow(_train(shared, turn, rate), "weight long, sums binary")
-    for groups in (64, 8):
-        tree = F.spark_partition_id() % groups
-        found = found.select("weight", "sums", tree.alias("tree")).groupBy("tree").applyInArrow(_added, "weight long, sums binary")
+    for tasks in (64, 8):
+        found = found.repartition(tasks).mapInArrow(_added, "weight long, sums binary")
     rows = found.select("weight", "sums").toArrow()
-    if rows.num_rows == 0:
+    summed = next(_added(iter(rows.to_batches())), None)
+    if summed is None:
         return model
-    summed = _added(rows)
-    flat = np.frombuffer(summed.column("sums")[0].as_py(), np.float64) / summed.column("weight")[0].as_py()
+    flat = np.frombuffer(summed.column(1)[0].as_py(), np.float64) / summed.column(0)[0].as_py()
     shapes = [model.context.shape, model.target.shape, model.scale.shape, model.bias.shape]
     parts = np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
     return Model(model.hashes, model.counts, model.tokens, model.types, *(p.reshape(s) for p, s in zip(parts, shapes, strict=True)))
