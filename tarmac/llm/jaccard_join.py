@@ -350,6 +350,7 @@ def linked_texts(docs: DataFrame, percent: int = 90, width: int = 3, id_column:
     roots = components(edges).select(F.col("node").alias("set_id"), "root")
     grouped = known.join(roots, "set_id", "left").select("doc_id", "n", F.coalesce("root", "set_id").alias("group"))
     smallest = grouped.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("component"))
-    joined = grouped.join(smallest, "group", "left")
+    # Written, so that the join shuffles both sides and can split a group of very many copies.
+    joined = grouped.join(written(smallest, "jaccard-smallest"), "group", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
