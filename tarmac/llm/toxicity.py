@@ -17,14 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarmac.llm.arrays import NO_LETTER, binaries, buffer_of, expand, longs, mix, portions, word_hashes
+from tarmac.llm.arrays import NO_LETTER, binaries, buffer_of, distinct, expand, longs, mix, portions, word_hashes
 from tarmac.llm.common import texts
 from tarmac.llm.labelled_sample import labelled_sample
 
 #: Labelled documents in the index, at most; terms, at most; chi-square a term must reach;
 #: examples with the term, at least; neighbours that vote; examples in a block; bins of the
 #: calibration.
-SAMPLE, TERMS, CHI_SQUARE, LEAST, NEIGHBOURS, BLOCK, BINS = 12288, 4096, 30.0, 6, 15, 64, 10
+SAMPLE, TERMS, CHI_SQUARE, LEAST, NEIGHBOURS, BLOCK, BINS = 8192, 4096, 30.0, 6, 15, 64, 10
 
 
 def term_counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,11 +104,11 @@ def unlike(owner: np.ndarray, hashes: np.ndarray, labels: np.ndarray, least: int
 
     Copies of one text would else make all its words look like words of its label.
     """
-    order = np.lexsort((mix(hashes), owner))
-    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    small = order[place < least]
+    # An example's hashes are in ascending order.
+    begins = np.searchsorted(owner, np.arange(len(labels) + 1))
+    small = expand(begins[:-1], np.minimum(np.diff(begins), least))
     signs = np.zeros(len(labels), np.uint64)
-    np.add.at(signs, owner[small], mix(mix(hashes[small])))
+    np.add.at(signs, owner[small], mix(hashes[small]))
     _, first = np.unique(np.stack([signs, labels.astype(np.uint64)]), axis=1, return_index=True)
     out = np.zeros(len(labels), dtype=bool)
     out[first] = True
@@ -120,12 +120,12 @@ def associated(owner: np.ndarray, hashes: np.ndarray, labels: np.ndarray) -> np.
     if len(hashes) == 0 or labels.min() == labels.max():
         return np.zeros(0, np.uint64)
     single = unlike(owner, hashes, labels)
-    hashes, owner = hashes[single[owner]], (np.cumsum(single) - 1)[owner[single[owner]]]
-    labels = labels[single]
+    kept = single[owner]
+    hashes, owner, labels = hashes[kept], (np.cumsum(single, dtype=np.int32) - 1)[owner[kept]], labels[single]
     if len(hashes) == 0 or labels.min() == labels.max():
         return np.zeros(0, np.uint64)
     n, ones = len(labels), labels.sum()
-    terms, inverse = np.unique(hashes, return_inverse=True)
+    terms, _, inverse = distinct(hashes)
     present = np.bincount(inverse).astype(np.float64)
     hit = np.bincount(inverse, weights=labels[owner])
     # Chi-square of the two-by-two table of presence and label.
@@ -242,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     raw_terms, ends = buffer_of(table.column("terms"))
     raw_counts, _ = buffer_of(table.column("counts"))
     owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(ends) // 8)
-    return build(ids, known, owner, np.frombuffer(raw_terms.tobytes(), np.uint64), np.frombuffer(raw_counts.tobytes(), np.uint32))
+    return build(ids, known, owner, raw_terms.view(np.uint64), raw_counts.view(np.uint32))
 
 
 def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
