@@ -106,7 +106,9 @@ def prefix_hashes(buf: np.ndarray) -> np.ndarray:
     base, _ = powers(len(buf) + 1)
     sums = np.empty(len(buf) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * base[: len(buf)], out=sums[1:])
+    np.add(buf, np.uint64(1), out=sums[1:])
+    sums[1:] *= base[: len(buf)]
+    np.cumsum(sums[1:], out=sums[1:])
     return sums
 
 
