@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable
-from types import ModuleType
-
 import numpy as np
 
 from tarmac.llm.arrays import expand
 
 
-def kept_by_worker(key: str, make: Callable):
-    """What `make` gives, made once in a Python worker and used by all tasks it runs."""
-    place = sys.modules.setdefault("_tarmac_worker", ModuleType("_tarmac_worker"))
-    if key not in vars(place):
-        vars(place)[key] = make()
-    return vars(place)[key]
-
-
 class IdStore:
     """Hash of a word to its token ids and a flag; forgets everything when it is full."""
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.arrays import LOWER, NO_LETTER, SPACE, binaries, buffer_of, distinct, expand, longs, portions, prefix_hashes, span_hashes, words
 from tarmac.llm.common import texts
-from tarmac.llm.id_store import IdStore, kept_by_worker
+from tarmac.llm.id_store import IdStore
 
 #: Tokens and documents of a window; a task holds the ids of one window.
 WINDOW, DOCUMENTS = 1 << 21, 1 << 16
@@ -29,8 +29,8 @@ WINDOW, DOCUMENTS = 1 << 21, 1 << 16
 LETTER, SIGN = ~NO_LETTER, NO_LETTER & ~SPACE
 LETTER[0x80:] = False
 
-#: Words a worker remembers the ids of.
-REMEMBERED = 1 << 20
+#: Words a task remembers the ids of.
+REMEMBERED = 1 << 19
 
 
 class WordIds:
@@ -134,7 +134,7 @@ def _packed(path: str, end_id: int, length: int, linear: float, quadratic: float
 
         # Spark's tasks fill the cores; further threads of the library only take memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, sequences, place = kept_by_worker(f"words {path}", lambda: WordIds(path)), 0, TaskContext.get().partitionId()
+        encoder, sequences, place = WordIds(path), 0, TaskContext.get().partitionId()
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:

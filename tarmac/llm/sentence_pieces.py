@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from tarmac.llm.arrays import binaries, buffer_of, distinct, longs, portions, prefix_hashes, span_hashes
 from tarmac.llm.common import texts
-from tarmac.llm.id_store import IdStore, kept_by_worker
+from tarmac.llm.id_store import IdStore
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -213,7 +213,7 @@ def _threads() -> None:
 def _encoded(path: str, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _threads()
-        encoder = kept_by_worker(f"pieces {path} {back}", lambda: Stretches(path, back))
+        encoder = Stretches(path, back)
         for batch in batches:
             for part in portions(batch, "text"):
                 flat, counts, unlike = encoder.encode(part.column(1))
