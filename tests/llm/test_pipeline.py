@@ -69,8 +69,11 @@ def test_all_tokens_are_packed(kept):
 
 
 def test_run_gives_the_last_stage(spark, folder, kept):
+    # Where documents are cut depends on how tasks read them, their tokens do not.
     got = corpus_pipeline.run(spark, folder)
-    assert got.columns == kept[5].columns and got.count() == kept[5].count()
+    assert got.columns == kept[5].columns
+    tokens = [{(r.doc_id, r.doc_tokens) for r in df.select("doc_id", "doc_tokens").collect()} for df in (got, kept[5])]
+    assert tokens[0] == tokens[1]
 
 
 def test_rows_without_an_id_or_text_pass(spark, folder, documents):
