@@ -1,11 +1,12 @@
 """Toxicity of texts by their nearest labelled examples.
 
-Examples are TF-IDF vectors over the terms whose presence goes with the label, by a
-chi-square test on the sample. They lie in blocks; an inverted index holds, for each term,
-its weights in each block and the largest of them. For a text, the largest weights bound
-every block's cosine; blocks are searched in descending order of that bound until it falls
-below the k-th best cosine, so the neighbours are exact. They vote with weights that fall
-with their distance; leave-one-out votes of the examples calibrate the share of votes.
+Examples are TF-IDF vectors over all their terms; the weight of a term grows with how far
+its presence goes with the label, by a chi-square test on the sample, but no term is left
+out. An inverted index holds the weights of each term. The most frequent terms, whose
+postings are most of the work, are a table of examples by terms instead; their share of
+the cosines is a matrix product for a group of texts, to which the postings of a text's
+other terms are added, so the neighbours are exact. They vote with weights that fall with
+their distance; leave-one-out votes of the examples calibrate the share of votes.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from tarmac.llm.arrays import NO_LETTER, binaries, buffer_of, distinct, expand,
 from tarmac.llm.common import texts
 from tarmac.llm.labelled_sample import labelled_sample
 
-#: Labelled documents in the index, at most; terms, at most; chi-square a term must reach;
-#: examples with the term, at least; neighbours that vote; examples in a block; bins of the
-#: calibration.
-SAMPLE, TERMS, CHI_SQUARE, LEAST, NEIGHBOURS, BLOCK, BINS = 8192, 4096, 30.0, 6, 15, 64, 10
+#: Labelled documents in the index, at most; chi-square and examples at which a term has half
+#: of its extra weight, each; that weight; neighbours that vote; texts in a matrix
+#: product; frequent terms, at most, which one of so many examples has; bins of the calibration.
+SAMPLE, CHI_SQUARE, LEAST, EXTRA, NEIGHBOURS, GROUP, FREQUENT, ONE_OF, BINS = 8192, 30.0, 6, 100.0, 15, 128, 512, 16, 10
 
 
 def term_counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,57 +39,58 @@ def term_counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 @dataclass
 class Index:
-    """Terms with their rarity, postings by term and block, the examples' ids and labels, calibration."""
+    """Terms with their factors, postings by term, frequent terms by example, the examples' ids and labels, calibration."""
 
     terms: np.ndarray
-    rarity: np.ndarray
+    factors: np.ndarray
     begins: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
-    largest: np.ndarray
+    columns: np.ndarray
+    frequent: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     steps: np.ndarray
     bare: float
 
     def vectors(self, owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int):
-        """Rows of unit vectors over the index's terms: row, term, weight."""
+        """Rows of unit vectors: row, term, weight. Terms that no example has count in the length only."""
         if len(self.terms) == 0 or len(hashes) == 0:
             none = np.zeros(0, np.int64)
             return none, none, np.zeros(0)
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         known = self.terms[at] == hashes
+        weight = (1 + np.log(counts)) * np.where(known, self.factors[at], np.log(len(self.ids) + 1) + 1)
+        norm = np.sqrt(np.bincount(owner, weights=weight * weight, minlength=n))
         row, term = owner[known], at[known]
-        weight = (1 + np.log(counts[known])) * self.rarity[term]
-        norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
-        return row, term, weight / norm[row]
+        return row, term, weight[known] / norm[row]
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def common(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """What frequent terms add to the cosines of n rows with all examples."""
+        asked, column = np.zeros((n, self.frequent.shape[1])), self.columns[term]
+        asked[row[column >= 0], column[column >= 0]] = weight[column >= 0]
+        return asked @ self.frequent.T
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, ties to the smaller id; only cosines above 0."""
-        bounds = weight @ self.largest[term]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        found, cosines, kth, start = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        width = 4
-        while start < len(order) and bounds[order[start]] + 1e-9 >= kth:
-            blocks = order[start : start + width]
-            blocks = blocks[bounds[blocks] + 1e-9 >= kth]
-            start, width = start + width, 2 * width
-            lows, highs = self.begins[term][:, blocks], self.begins[term][:, blocks + 1]
-            sizes = (highs - lows).ravel()
-            places = expand(lows.ravel(), sizes)
-            who = self.examples[places]
-            what = self.weights[places] * np.repeat(np.repeat(weight, len(blocks)), sizes)
-            near, inverse = np.unique(who, return_inverse=True)
-            cosine = np.bincount(inverse, weights=what, minlength=len(near))
-            near, cosine = near[near != skip], cosine[near != skip]
-            found, cosines = np.concatenate([found, near]), np.concatenate([cosines, cosine])
-            # Cosines of equal vectors may differ in their last bits; they count as ties.
-            cosines = np.round(cosines, 9)
-            best = np.lexsort((self.ids[found], -cosines))[:k]
-            found, cosines = found[best], cosines[best]
-            kth = cosines[-1] if len(found) == k else 0.0
-        return found, cosines
+        n = len(self.ids)
+        if common is None:
+            common = self.common(np.zeros(len(term), np.int64), term, weight, 1)[0]
+        rare = self.columns[term] < 0
+        term, weight = term[rare], weight[rare]
+        cost = self.begins[term + 1] - self.begins[term]
+        places = expand(self.begins[term], cost)
+        cosines = common + np.bincount(self.examples[places], weights=self.weights[places] * np.repeat(weight, cost), minlength=n)
+        if skip >= 0:
+            cosines[skip] = -1.0
+        kth = np.partition(cosines, n - k)[n - k] if n > k else 0.0
+        near = np.flatnonzero((cosines > 0) & (cosines + 2e-9 >= kth))
+        cosines = cosines[near]
+        # Cosines of equal vectors may differ in their last bits; they count as ties.
+        cosines = np.round(cosines, 9)
+        best = np.lexsort((self.ids[near], -cosines))[:k]
+        best = best[cosines[best] > 0]
+        return near[best], cosines[best]
 
     def share(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Share of the votes for label 1; a vote weighs 1 / (0.1 + distance)."""
@@ -115,73 +117,68 @@ def unlike(owner: np.ndarray, hashes: np.ndarray, labels: np.ndarray, least: int
     return out
 
 
-def associated(owner: np.ndarray, hashes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The hashes of terms whose presence in an example goes with its label, in ascending order."""
+def association(owner: np.ndarray, hashes: np.ndarray, term: np.ndarray, n_terms: int, labels: np.ndarray) -> np.ndarray:
+    """From 0 to 1 for each term: how far its presence in an example goes with the label."""
+    none = np.zeros(n_terms)
     if len(hashes) == 0 or labels.min() == labels.max():
-        return np.zeros(0, np.uint64)
+        return none
     single = unlike(owner, hashes, labels)
     kept = single[owner]
-    hashes, owner, labels = hashes[kept], (np.cumsum(single, dtype=np.int32) - 1)[owner[kept]], labels[single]
-    if len(hashes) == 0 or labels.min() == labels.max():
-        return np.zeros(0, np.uint64)
-    n, ones = len(labels), labels.sum()
-    terms, _, inverse = distinct(hashes)
-    present = np.bincount(inverse).astype(np.float64)
-    hit = np.bincount(inverse, weights=labels[owner])
+    owner, term = owner[kept], term[kept]
+    n, ones = single.sum(), labels[single].sum()
+    if len(term) == 0 or ones in (0, n):
+        return none
+    present = np.bincount(term, minlength=n_terms).astype(np.float64)
+    hit = np.bincount(term, weights=labels[owner], minlength=n_terms)
     # Chi-square of the two-by-two table of presence and label.
     cross = hit * (n - ones) - (present - hit) * ones
     spread = present * (n - present) * ones * (n - ones)
     statistic = np.where(spread > 0, n * cross * cross / np.maximum(spread, 1), 0)
-    good = np.flatnonzero((statistic >= CHI_SQUARE) & (present >= LEAST))
-    good = good[np.lexsort((terms[good], -statistic[good]))[:TERMS]]
-    return np.sort(terms[good])
+    high, often = statistic**4, present**4
+    return high / (high + CHI_SQUARE**4) * often / (often + LEAST**4)
 
 
 def build(ids: np.ndarray, labels: np.ndarray, owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> Index:
     """Index of the examples; without any, every text gets the share of an even chance."""
     n = len(ids)
     labels = labels.astype(np.float64)
-    terms = associated(owner, hashes, labels) if n else np.zeros(0, np.uint64)
     prior = float((labels.sum() + 1) / (n + 2))
-    index = Index(terms, np.ones(len(terms)), np.zeros((len(terms), 2), np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(terms), 1)), ids, labels, np.full(BINS, prior), prior)
-    if len(terms) == 0:
+    nothing, none = np.zeros(0, np.int64), np.zeros(0)
+    index = Index(np.zeros(0, np.uint64), none, nothing, nothing, none, nothing, np.zeros((n, 0)), ids, labels, np.full(BINS, prior), prior)
+    if n == 0 or len(hashes) == 0:
         return index
-    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-    present = np.bincount(at[terms[at] == hashes], minlength=len(terms))
-    index.rarity = np.log((n + 1) / (present + 1)) + 1
+    terms, _, at = distinct(hashes)
+    present = np.bincount(at)
+    index.terms = terms
+    index.factors = (np.log((n + 1) / (present + 1)) + 1) * (1 + EXTRA * association(owner, hashes, at, len(terms), labels))
+    del at
     row, term, weight = index.vectors(owner, hashes, counts, n)
-    # Examples with the same heaviest term lie together, so that blocks differ in their bounds.
-    heaviest = np.full(n, len(terms))
-    by = np.lexsort((weight, row))
-    last = np.flatnonzero(np.append(row[by][1:] != row[by][:-1], True)) if len(row) else by
-    heaviest[row[by][last]] = term[by][last]
-    order = np.lexsort((ids, heaviest))
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    index.ids, index.labels = ids[order], labels[order]
-    blocks = (n + BLOCK - 1) // BLOCK
-    by = np.lexsort((place[row], term))
-    index.examples, index.weights, sorted_term = place[row][by], weight[by], term[by]
-    slot = sorted_term * blocks + index.examples // BLOCK
-    index.begins = np.searchsorted(slot, np.arange(len(terms))[:, None] * blocks + np.arange(blocks + 1)[None, :])
-    index.largest = np.zeros(len(terms) * blocks)
-    np.maximum.at(index.largest, slot, index.weights)
-    index.largest = index.largest.reshape(len(terms), blocks)
+    row, term = row.astype(np.int32), term.astype(np.int32)
+    often = np.argsort(-present, kind="stable")[:FREQUENT]
+    often = often[present[often] * ONE_OF > n]
+    index.columns = np.full(len(terms), -1, np.int16)
+    index.columns[often] = np.arange(len(often))
+    column = index.columns[term]
+    index.frequent = np.zeros((n, len(often)))
+    index.frequent[row[column >= 0], column[column >= 0]] = weight[column >= 0]
+    by = np.lexsort((row, term))
+    by = by[column[by] < 0]
+    index.examples, index.weights = row[by], weight[by]
+    index.begins = np.append(0, np.cumsum(np.where(index.columns < 0, present, 0)))
+    begins = np.searchsorted(row, np.arange(n + 1))
+    del by, column
     # Calibration: each example is scored by the others.
-    own = np.lexsort((sorted_term, index.examples))
-    examples, their_terms, their_weights = index.examples[own], sorted_term[own], index.weights[own]
-    ends = np.append(np.flatnonzero(examples[1:] != examples[:-1]) + 1, len(examples))
-    hits, tries, start = np.zeros(BINS), np.zeros(BINS), 0
-    for end in ends:
-        me = int(examples[start])
-        found, cosines = index.nearest(their_terms[start:end], their_weights[start:end], k, skip=me)
+    hits, tries = np.zeros(BINS), np.zeros(BINS)
+    for me in range(n):
+        if me % GROUP == 0:
+            common = index.frequent[me : me + GROUP] @ index.frequent.T
+        mine = slice(begins[me], begins[me + 1])
+        found, cosines = index.nearest(term[mine], weight[mine], k, me, common[me % GROUP])
         if len(found):
             b = min(BINS - 1, int(index.share(found, cosines) * BINS))
             hits[b] += index.labels[me]
             tries[b] += 1
-        start = end
-    bare = np.ones(n, dtype=bool)
-    bare[index.examples] = False
+    bare = np.diff(begins) == 0
     index.bare = float((index.labels[bare].sum() + prior) / (bare.sum() + 1))
     index.steps = rising((hits + (np.arange(BINS) + 0.5) / BINS) / (tries + 1), tries + 1)
     return index
@@ -219,13 +216,20 @@ def _scored(shared, k: int):
                 begins = np.searchsorted(row, np.arange(n + 1))
                 scores, evidence, cosines = np.full(n, index.bare), [[] for _ in range(n)], [[] for _ in range(n)]
                 seen: dict[bytes, tuple] = {}
-                for i in np.flatnonzero(np.diff(begins)):
-                    t, w = term[begins[i] : begins[i + 1]], weight[begins[i] : begins[i + 1]]
-                    key = t.tobytes() + w.tobytes()
-                    if key not in seen:
-                        found, near = index.nearest(t, w, k)
-                        seen[key] = (index.calibrated(index.share(found, near)), index.ids[found].tolist(), near.tolist()) if len(found) else (index.bare, [], [])
-                    scores[i], evidence[i], cosines[i] = seen[key]
+                keys = [term[s:e].tobytes() + weight[s:e].tobytes() for s, e in zip(begins[:-1], begins[1:], strict=True)]
+                # Of equal texts one is searched for.
+                first = dict(zip(reversed(keys), reversed(range(n)), strict=True))
+                alone = np.array(sorted(i for key, i in first.items() if key), np.int64)
+                for g in range(0, len(alone), GROUP):
+                    group = alone[g : g + GROUP]
+                    places = expand(begins[group], begins[group + 1] - begins[group])
+                    common = index.common(np.repeat(np.arange(len(group)), begins[group + 1] - begins[group]), term[places], weight[places], len(group))
+                    for i, own in zip(group, common, strict=True):
+                        found, near = index.nearest(term[begins[i] : begins[i + 1]], weight[begins[i] : begins[i + 1]], k, common=own)
+                        if len(found):
+                            seen[keys[i]] = index.calibrated(index.share(found, near)), index.ids[found].tolist(), near.tolist()
+                for i in (i for i, key in enumerate(keys) if key in seen):
+                    scores[i], evidence[i], cosines[i] = seen[keys[i]]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(scores), pa.array(evidence, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc_id", "score", "evidence", "cosines"]
                 )
