@@ -43,9 +43,3 @@ def rows(spark):
         return spark.createDataFrame(data, schema)
 
     return make
-
-
-def at(text):
-    from datetime import datetime
-
-    return datetime.fromisoformat(text)

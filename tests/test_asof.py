@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import at
+from instants import at
 from pyspark.sql import functions as F
 
 from tarmac.operators import asof

@@ -1,5 +1,5 @@
 import pytest
-from conftest import at
+from instants import at
 from pyspark.sql import functions as F
 
 from tarmac.functions import classify, numeric, text, timecols

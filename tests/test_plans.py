@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import at
+from instants import at
 from pyspark.sql import functions as F
 
 from tarmac.functions.classify import class_label5

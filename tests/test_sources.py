@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import at
+from instants import at
 
 from tarmac.session import shared_dir
 from tarmac.sources import accumulate, datasets, history, landed, metadata
