@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import jaccard_join, language_model, licences, near_vectors, packing, quality, sentence_pieces, suffix_dedup, topk_search, toxicity
+from tarmac.llm import complement_packing, jaccard_join, language_model, licences, near_vectors, packing, quality, sentence_pieces, suffix_dedup, topk_search, toxicity
 from tarmac.llm.common import crc_fold
 from tarmac.session import configure
 
@@ -169,3 +169,9 @@ def op10_jaccard_join(spark, folder):
 def op6_suffix_dedup(spark, folder):
     cut = suffix_dedup.repeated_passages(read(spark, folder, "documents"), 50)
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op11_complement_packing(spark, folder):
+    pieces = complement_packing.pack_tightly(read(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), 2048, 0)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
