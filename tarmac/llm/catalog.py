@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import complement_packing, jaccard_join, language_model, licences, near_vectors, packing, quality, sentence_pieces, suffix_dedup, topk_search, toxicity
+from tarmac.llm import collocations, complement_packing, hard_negatives, jaccard_join, language_model, licences, near_vectors, packing, quality, sentence_pieces, suffix_dedup, topk_search, toxicity
 from tarmac.llm.common import crc_fold
 from tarmac.session import configure
 
@@ -175,3 +175,48 @@ def op6_suffix_dedup(spark, folder):
 def op11_complement_packing(spark, folder):
     pieces = complement_packing.pack_tightly(read(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), 2048, 0)
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query(
+    """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+      where label is not null and embedding is not null and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+    scored as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.e, c.e)::bigint as score
+      from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 50 = 0),
+    positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+    select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+      vec_id as negative_id, positive_score, score as negative_score
+    from positives join scored using (anchor_id)
+    where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+    qualify rank <= 3"""
+)
+def op12_hard_negatives(spark, folder):
+    rows = read(spark, folder, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, F.expr("(label + 1) % 10")).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(moved, "vec_id % 50 = 0", 5, 3, 50, 95, 256)
+
+
+@query(
+    """with pieces as (select row_number() over () as piece, lang, piece_text from (select coalesce(lang, 'und') as lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece_text from documents)),
+    w as (select lang, regexp_extract_all(piece_text, '[^\x20\x09]+') as ws from pieces),
+    totals as (select lang, sum(len(ws))::hugeint as n from w group by lang),
+    grams as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) as phrase
+      from w, range(1, 6) t(k) where len(ws) >= k),
+    f as (select lang, k, phrase, count(*)::hugeint as a from grams group by all having count(*) >= 100),
+    parts as (select lang, k, phrase, a, string_split(phrase, ' ') as p from f where k > 1),
+    inside as (select distinct q.lang, array_to_string(q.p[i : i + s - 1], ' ') as phrase, q.a
+      from parts q, range(2, 5) sizes(s), range(1, 5) starts(i) where s < q.k and i + s - 1 <= q.k),
+    within as (select lang, phrase, max(a) as longest from inside group by all),
+    cuts as (select c.lang, c.phrase, c.a, x.a as l, y.a as r, n, (1000 * c.a * n) // (x.a * y.a) as score, j
+      from parts c, range(1, 5) cut(j), f x, f y, totals t
+      where j < c.k and x.lang = c.lang and x.phrase = array_to_string(c.p[1 : j], ' ') and y.lang = c.lang and y.phrase = array_to_string(c.p[j + 1 : c.k], ' ') and t.lang = c.lang),
+    scored as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1)
+    select s.lang, row_number() over (partition by s.lang order by score desc, s.a desc, s.phrase) as rank, s.phrase,
+      s.a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+    from scored s left join within v on v.lang = s.lang and v.phrase = s.phrase where longest is null or 100 * longest < 100 * s.a
+    qualify rank <= 2000"""
+)
+def op13_collocations(spark, folder):
+    return collocations.collocations(read(spark, folder, "documents"), 100, 5, 2000)

@@ -134,3 +134,20 @@ def told(bodies: DataFrame, answers: DataFrame, tell: Callable[[bytes, dict[int,
     body = bodies.where(F.col("kind") == BODY).select("batch", "payload")
     reply = answers.where(F.col("kind") == ASK).select("batch", "bucket", "payload")
     return body.groupBy("batch").cogroup(reply.groupBy("batch")).applyInArrow(run, schema)
+
+
+def asked_again(bodies: DataFrame, answers: DataFrame, tell: Callable[[bytes, dict[int, bytes]], tuple[bytes, list[tuple[int, bytes]]] | None], purpose: str) -> DataFrame:
+    """The written table of new bodies and questions, SCHEMA, that `tell` makes of each body and its answers.
+
+    Batches keep their numbers; one for which `tell` gives None takes no further part.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        replies = dict(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))
+        number, told = left.column("batch")[0].as_py(), tell(left.column("payload")[0].as_py(), replies)
+        rows = [] if told is None else [(BODY, number, -1, told[0]), *((ASK, number, b, p) for b, p in told[1])]
+        return pa.Table.from_batches([rows_of(rows)] if rows else [], rows_of([(ASK, 0, 0, b"")]).schema)
+
+    body = bodies.where(F.col("kind") == BODY).select("batch", "payload")
+    reply = answers.where(F.col("kind") == ASK).select("batch", "bucket", "payload")
+    return written(body.groupBy("batch").cogroup(reply.groupBy("batch")).applyInArrow(run, SCHEMA), purpose)
