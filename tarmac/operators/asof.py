@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.timecols import micros, whole_minutes
+from tarmac.operators.selection import can_select, rows_of, winners
 from tarmac.operators.slices import ASIDE, DAY, time_slice
 
 
-def observation_index(observations: DataFrame, station: str = "fs", time: str = "valid_time", tie: str = "obs_id") -> DataFrame:
-    """One row (`_station`, `_at`, `_obs`) per station and instant.
+@dataclass(frozen=True)
+class Observed:
+    """Observations, one per station and instant.
+
+    `instants` has `_station`, `_at` and `_winner`, which names the observation; all of the
+    search works on it. `records` has the observation itself as struct `_obs` as well.
+    """
+
+    instants: DataFrame
+    records: DataFrame
+
+
+def observation_index(observations: DataFrame, station: str = "fs", time: str = "valid_time", tie: str = "obs_id") -> Observed:
+    """One observation per station and instant: the one with the smallest `tie`.
 
-    Of observations with the same instant the one with the smallest `tie` is kept, or
-    with the smallest values if there is no such column, before anything is shuffled in
-    full: copies of a report cost nothing later.
+    Copies of a report cost nothing later. With a tie that is a number, a hash aggregate
+    finds the observation to keep from its keys, and its values are read by one join;
+    without one, the observation with the smallest values is kept, which takes an
+    aggregate over whole rows.
     """
     rest = [c for c in observations.columns if c != station]
-    payload = F.struct(*rest)
+    known = observations.where(F.col(station).isNotNull() & F.col(time).isNotNull())
+    keys = [F.col(station).alias("_station"), F.col(time).alias("_at")]
+    if tie in observations.columns and can_select(observations, [tie]):
+        chosen = winners(known, [station, time], [tie])
+        kept = rows_of(known, chosen, [station, time], nulls=False)
+        records = kept.select(*keys, F.col("_hash").alias("_winner"), F.struct(*rest).alias("_obs"))
+        return Observed(chosen.select(*keys, "_winner"), records)
     order = F.struct(tie) if tie in observations.columns else F.struct(*[c for c in rest if c != time])
-    return (
-        observations.where(F.col(station).isNotNull() & F.col(time).isNotNull())
-        .groupBy(F.col(station).alias("_station"), F.col(time).alias("_at"))
-        .agg(F.min_by(payload, order).alias("_obs"))
-    )
+    records = known.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_obs")).withColumn("_winner", F.lit(0).cast("bigint"))
+    return Observed(records.drop("_obs"), records)
 
 
 def points_of(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
@@ -40,17 +59,21 @@ def points_of(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     )
 
 
-def neighbours(points: DataFrame, index: DataFrame, seconds: int = DAY) -> DataFrame:
-    """Instants of the last observation at or before each point, and the first at or after it.
+def neighbours(points: DataFrame, instants: DataFrame, seconds: int = DAY) -> DataFrame:
+    """The last observation at or before each point, and the first at or after it.
 
-    Windows run per (station, slice); a slice that holds no observation on one side
-    takes it from the nearest slice that does. Both windows grow from the start of
-    the partition: one reads the slice forward, the other backward. Only stations and
-    instants take part, so what is sorted stays narrow however wide an observation is.
+    As instants `_before` and `_after` and as `_before_winner` and `_after_winner`. Windows
+    run per (station, slice); a slice that holds no observation on one side takes it from
+    the nearest slice that does. Both windows grow from the start of the partition: one
+    reads the slice forward, the other backward. Only stations, instants and a number for
+    each observation take part, so what is sorted stays narrow however wide an observation is.
     """
+    instant = dict(instants.dtypes)["_at"]
+    if "_winner" not in instants.columns:
+        instants = instants.withColumn("_winner", F.lit(0).cast("bigint"))
     rows = (
-        points.select("_station", "_at", F.lit(None).cast(dict(index.dtypes)["_at"]).alias("_seen"))
-        .unionByName(index.select("_station", "_at", F.col("_at").alias("_seen")))
+        points.select("_station", "_at", F.lit(None).cast(instant).alias("_seen"), F.lit(None).cast("bigint").alias("_winner"))
+        .unionByName(instants.select("_station", "_at", F.col("_at").alias("_seen"), "_winner"))
         .withColumn("_slice", time_slice(F.col("_at"), seconds))
         .repartition("_station", "_slice")
     )
@@ -66,35 +89,45 @@ def neighbours(points: DataFrame, index: DataFrame, seconds: int = DAY) -> DataF
     later = Window.partitionBy("_station").orderBy(F.col("_slice").desc()).rowsBetween(*others)
     carried = (
         rows.groupBy("_station", "_slice")
-        .agg(F.min(observed_at).alias("_first"), F.max(observed_at).alias("_last"))
+        .agg(
+            F.min(observed_at).alias("_first"),
+            F.max(observed_at).alias("_last"),
+            F.min_by("_winner", observed_at).alias("_first_winner"),
+            F.max_by("_winner", observed_at).alias("_last_winner"),
+        )
         .select(
             F.col("_station").alias("_c_station"),
             F.col("_slice").alias("_c_slice"),
             F.max("_last").over(earlier).alias("_carry_before"),
+            F.last("_last_winner", ignorenulls=True).over(earlier).alias("_carry_before_winner"),
             F.min("_first").over(later).alias("_carry_after"),
+            F.last("_first_winner", ignorenulls=True).over(later).alias("_carry_after_winner"),
         )
     )
     inside = rows.withColumns(
-        {"_in_before": F.max("_seen").over(forward), "_in_after": F.min("_seen").over(backward)}
+        {
+            "_in_before": F.max("_seen").over(forward),
+            "_in_before_winner": F.last("_winner", ignorenulls=True).over(forward),
+            "_in_after": F.min("_seen").over(backward),
+            "_in_after_winner": F.last("_winner", ignorenulls=True).over(backward),
+        }
     ).where(F.col("_seen").isNull())
     return inside.join(
         carried, (F.col("_station") == F.col("_c_station")) & (F.col("_slice") == F.col("_c_slice")), "left"
     ).select(
         "_station",
         "_at",
-        F.coalesce("_in_before", "_carry_before").alias("_before"),
-        F.coalesce("_in_after", "_carry_after").alias("_after"),
+        *[F.coalesce(f"_in_{side}", f"_carry_{side}").alias(f"_{side}") for side in ("before", "before_winner", "after", "after_winner")],
     )
 
 
-def _nearer() -> Column:
+def _is_nearer() -> Column:
+    """The observation before the point is taken: it is as near, or alone."""
     at, before, after = F.col("_at"), F.col("_before"), F.col("_after")
-    to_before = micros(at) - micros(before)
-    to_after = micros(after) - micros(at)
-    return F.when(after.isNull() | (to_before <= to_after), before).otherwise(F.coalesce(after, before))
+    return after.isNull() | (micros(at) - micros(before) <= micros(after) - micros(at))
 
 
-def nearest(points: DataFrame, index: DataFrame, granularity: str = "exact", seconds: int = DAY) -> DataFrame:
+def nearest(points: DataFrame, index: Observed, granularity: str = "exact", seconds: int = DAY) -> DataFrame:
     """The observation closest to each point, as column `_obs`; no maximum gap.
 
     `granularity="exact"`: smallest distance, then the earlier observation.
@@ -104,23 +137,27 @@ def nearest(points: DataFrame, index: DataFrame, granularity: str = "exact", sec
     """
     if granularity not in ("exact", "minute"):
         raise ValueError(f"unknown granularity {granularity!r}")
-    found = neighbours(points, index, seconds).select("_station", "_at", _nearer().alias("_found"))
+    found = neighbours(points, index.instants, seconds).select(
+        "_station",
+        "_at",
+        F.when(_is_nearer(), F.col("_before")).otherwise(F.col("_after")).alias("_found"),
+        F.when(_is_nearer(), F.col("_before_winner")).otherwise(F.col("_after_winner")).alias("_found_winner"),
+    )
     if granularity == "minute":
         distance = F.abs(whole_minutes(F.col("_found"), F.col("_at")))
         start = F.timestamp_add("MICROSECOND", F.lit(1), F.timestamp_add("MINUTE", (-distance - 1).cast("int"), F.col("_at")))
         shifted = found.where(F.col("_found").isNotNull()).select(
             "_station", "_at", start.cast(dict(found.dtypes)["_at"]).alias("_from")
         )
-        first = neighbours(points_of(shifted, ("_station", "_from")), index, seconds).select(
-            F.col("_station").alias("_f_station"), F.col("_at").alias("_f_at"), F.col("_after").alias("_found")
+        first = neighbours(points_of(shifted, ("_station", "_from")), index.instants, seconds).select(
+            F.col("_station").alias("_f_station"), F.col("_at").alias("_f_at"), F.col("_after").alias("_found"), F.col("_after_winner").alias("_found_winner")
         )
         found = shifted.join(
             first, (F.col("_station") == F.col("_f_station")) & (F.col("_from") == F.col("_f_at"))
-        ).select("_station", "_at", "_found")
-    observed = index.select(F.col("_station").alias("_o_station"), F.col("_at").alias("_o_at"), "_obs")
-    return found.join(
-        observed, (F.col("_station") == F.col("_o_station")) & (F.col("_found") == F.col("_o_at"))
-    ).select("_station", "_at", "_obs")
+        ).select("_station", "_at", "_found", "_found_winner")
+    observed = index.records.select(F.col("_station").alias("_o_station"), F.col("_at").alias("_o_at"), F.col("_winner").alias("_o_winner"), "_obs")
+    same = (F.col("_station") == F.col("_o_station")) & (F.col("_found") == F.col("_o_at")) & (F.col("_found_winner") == F.col("_o_winner"))
+    return found.join(observed, same).select("_station", "_at", "_obs")
 
 
 def attach(df: DataFrame, answers: DataFrame, station: str, at: str, name: str) -> DataFrame:
@@ -173,7 +210,8 @@ def weather_at_both_ends(
 ) -> DataFrame:
     """Departure weather by scheduled departure, arrival weather by actual landing.
 
-    The points of both ends go through one search, so observations are shuffled once.
+    The points of both ends go through one search. Flights and observations are each read
+    twice, once for the few columns the search needs and once whole.
     """
     answers = nearest(
         points_of(flights, (dep, scheduled), (arr, landed)),

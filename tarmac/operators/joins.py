@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.timecols import hour_start
 from tarmac.operators import asof
+from tarmac.operators.selection import can_select, select_rows
 
 
 def unique_records(table: DataFrame, key: str) -> DataFrame:
@@ -53,8 +54,15 @@ def airport_rejects(flights: DataFrame, airports: DataFrame, dep: str = "dep", a
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key, nulls first. An aggregate, so each task sends one row per key on."""
+    """The first row of each key, nulls first; of rows equal in the order, one by its hash.
+
+    With one or two numbers or times as order, wide rows are neither sorted nor
+    aggregated, see `selection`; any other order takes an aggregate over whole rows, of
+    which each task sends one per key on.
+    """
     rest = [c for c in df.columns if c not in keys]
+    if can_select(df, order):
+        return select_rows(df, keys, order).select(*keys, *rest)
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
 
 
@@ -76,6 +84,10 @@ def hourly_forecasts(forecasts: DataFrame, station: str, fetched_at: str, valid:
     Without a `tie`, of forecasts for one instant the one with the largest values.
     """
     rest = [c for c in forecasts.columns if c != station]
+    if tie in forecasts.columns and can_select(forecasts, [valid, tie]):
+        known = forecasts.withColumn("_f_hour", F.hour(valid))
+        kept = select_rows(known, [station, fetched_at, "_f_hour"], [valid, tie], last=True)
+        return kept.select(F.col(station).alias("_f_station"), F.col(fetched_at).alias("_f_run"), "_f_hour", F.struct(*rest).alias("_forecast"))
     order = [valid, tie] if tie in forecasts.columns else [valid, *[c for c in rest if c != valid]]
     return forecasts.groupBy(
         F.col(station).alias("_f_station"), F.col(fetched_at).alias("_f_run"), F.hour(valid).alias("_f_hour")
