@@ -26,7 +26,7 @@ def load_dataset(spark, folder):
 def load_history(spark, folder):
     path = shared_dir(spark, "history")
     rows = w.history(spark, folder)
-    history.save_history(rows, path, partition=None)
+    history.save_history(rows.withColumn("departureMonth", F.trunc("departure", "month")), path)
     return history.load_history(spark, path).select(rows.columns)
 
 
@@ -41,6 +41,21 @@ def append_history(spark, folder):
     return stored.groupBy(F.date_format("departureMonth", "yyyy-MM").alias("month"), "dep").agg(F.count(F.lit(1)).alias("stored"))
 
 
+@query("""select 'all' as run, strftime(departure, '%Y-%m') as month, count(*) as stored from f_history where carrier = 'R' and month(departure) <= 6 group by 1, 2
+    union all select null, strftime(departure, '%Y-%m'), count(*) from f_history where carrier = 'N' group by 1, 2
+    union all select 'unparted', strftime(departure, '%Y-%m'), count(*) from f_history where carrier = 'A' group by 1, 2""")
+def replace_history_run(spark, folder):
+    """A run that is repeated with fewer months leaves none of the others; plain, keyed and unpartitioned runs share the table."""
+    path = shared_dir(spark, "history")
+    rows = w.history(spark, folder).withColumn("departureMonth", F.trunc("departure", "month"))
+    history.save_history(rows, path, run="all")
+    history.save_history(rows.where("carrier = 'N'"), path)
+    history.save_history(rows.where("carrier = 'A'"), path, partition=None, run="unparted")
+    history.save_history(rows.where("carrier = 'R' and month(departure) <= 6"), path, run="all")
+    stored = history.load_history(spark, path)
+    return stored.groupBy("run", F.date_format("departureMonth", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("stored"))
+
+
 def _one_answer_each(df, name, *columns):
     """Each row as the text of an answer whose list `name` holds it alone."""
     return df.select(F.to_json(F.struct(F.array(F.struct(*columns)).alias(name))).alias("body"))
@@ -133,9 +148,19 @@ def ingest_observations_rejects(spark, folder):
     return bad.groupBy("reject_reason", "position").agg(F.count(F.lit(1)).alias("entries"))
 
 
-@query("""select fs, date_trunc('second', valid_time) as valid_time, round(temp, 6) as temp, round(dewPt, 6) as dewPt,
+_OBSERVED = """select fs, date_trunc('second', valid_time) as valid_time, round(temp, 6) as temp, round(dewPt, 6) as dewPt,
       cast(rh as double) as rh, pressure
-    from f_obs where date_trunc('second', valid_time) >= date_trunc('day', valid_time) + interval 1 hour""")
+    from f_obs where date_trunc('second', valid_time) >= date_trunc('day', valid_time) + interval 1 hour"""
+
+
+@query(_OBSERVED)
+def split_observations(spark, folder):
+    """The rows side of an ingest that writes rows and rejects from one parse."""
+    parsed = landed.split_observations(_raw_observations(spark, folder))
+    return parsed.rows.select("fs", "valid_time", *rounded("temp", "dewPt"), "rh", "pressure")
+
+
+@query(_OBSERVED)
 def ingest_observations(spark, folder):
     rows = landed.ingest_observations(_raw_observations(spark, folder))
     return rows.select("fs", "valid_time", *rounded("temp", "dewPt"), "rh", "pressure")
@@ -255,12 +280,28 @@ def _raw_statuses(spark, folder):
     return flights.select("flight_id", F.concat(F.lit('{"flightStatuses":['), entry, F.lit(',{"status":"X"}]}')).alias("body"))
 
 
-@query("""select flight_id, status, sched as scheduledGateDeparture, act_dep as actualRunwayDeparture, act_arr as actualRunwayArrival
-    from f_flights where act_dep is not null and flight_id % 30 <> 0""")
+_STATUSES = """select flight_id, status, sched as scheduledGateDeparture, act_dep as actualRunwayDeparture, act_arr as actualRunwayArrival
+    from f_flights where act_dep is not null and flight_id % 30 <> 0"""
+
+
+@query(_STATUSES)
 def ingest_statuses(spark, folder):
     return landed.ingest_statuses(_raw_statuses(spark, folder), ["flight_id"])
 
 
+@query(_STATUSES)
+def split_statuses(spark, folder):
+    """The rows side of the statuses' one parse."""
+    return landed.split_statuses(_raw_statuses(spark, folder), ["flight_id"]).rows
+
+
+@query("""select 'not a record' as reject_reason, cast(0 as int) as position, count(*) as entries, min(flight_id) as first_flight
+    from f_flights where act_dep is not null and flight_id % 30 = 0""")
+def ingest_statuses_rejects(spark, folder):
+    bad = landed.status_rejects(_raw_statuses(spark, folder))
+    return bad.groupBy("reject_reason", "position").agg(F.count(F.lit(1)).alias("entries"), F.min("flight_id").alias("first_flight"))
+
+
 @query("""select f.flight_id, f.dep, a.state, f.classification from f_landed f join f_airports a on a.fs = f.dep""")
 def accumulate_append(spark, folder):
     """The key holds the airport's state, which some do not have."""
@@ -293,17 +334,20 @@ def _told(at: str, station: str) -> str:
       order by abs(epoch_us(o.valid_time) - epoch_us(f.{at})), o.valid_time) as nr from f_landed f join f_told_obs o on o.fs = f.{station})"""
 
 
-@query(f"""select f.flight_number, f.dep, f.arr, cast(f.classification as bigint) as classification,
-      d.valid_time as dep_valid, a.valid_time as arr_valid
-    from f_landed f left join {_told('sched', 'dep')} d on d.flight_id = f.flight_id and d.nr = 1
-    left join {_told('act_arr', 'arr')} a on a.flight_id = f.flight_id and a.nr = 1 where f.flight_id % 30 <> 0""")
-def build_from_landed(spark, folder):
-    """Labelled flights from the answers of four services, bad entries among them."""
+def _landed_answers(spark, folder):
+    """Answers of four services, bad entries among them."""
     keys = w.flights(spark, folder).select("flight_id", "carrier", "flight_number", "dep", F.to_date("sched").alias("day"))
     statuses = _raw_statuses(spark, folder).join(keys, "flight_id").drop("flight_id")
-    built = from_landed.build_from_landed(
-        _raw_schedules(spark, folder), statuses, _raw_airports(spark, folder), _raw_observations(spark, folder)
-    )
+    return _raw_schedules(spark, folder), statuses, _raw_airports(spark, folder), _raw_observations(spark, folder)
+
+
+_BUILT = f"""select f.flight_number, f.dep, f.arr, cast(f.classification as bigint) as classification,
+      d.valid_time as dep_valid, a.valid_time as arr_valid
+    from f_landed f left join {_told('sched', 'dep')} d on d.flight_id = f.flight_id and d.nr = 1
+    left join {_told('act_arr', 'arr')} a on a.flight_id = f.flight_id and a.nr = 1 where f.flight_id % 30 <> 0"""
+
+
+def _built_columns(built):
     return built.select(
         "flight_number",
         "dep",
@@ -312,3 +356,29 @@ def build_from_landed(spark, folder):
         F.col("departureWeather.valid_time").alias("dep_valid"),
         F.col("arrivalWeather.valid_time").alias("arr_valid"),
     )
+
+
+@query(_BUILT)
+def build_from_landed(spark, folder):
+    """Labelled flights from the answers of four services, bad entries among them."""
+    return _built_columns(from_landed.build_from_landed(*_landed_answers(spark, folder)))
+
+
+@query(_BUILT)
+def build_with_rejects(spark, folder):
+    """The same flights from answers that are parsed once for rows and rejects."""
+    return _built_columns(from_landed.build_with_rejects(*_landed_answers(spark, folder)).flights)
+
+
+@query("""select 'schedules' as service, reject_reason, position, count(*) as entries from f_flights
+      cross join (select 'error answer' as reject_reason, null::int as position
+        union all select 'not a record', 1 union all select 'no readable departureTime', 2) b group by all
+    union all select 'statuses', 'not a record', 0, count(*) from f_flights where act_dep is not null and flight_id % 30 = 0
+    union all select 'observations', reject_reason, position, count(*) from (
+      select unnest(['not a record', 'not a record', 'no readable valid_time_gmt', 'not a record', 'not a record']) as reject_reason,
+        unnest([1, 2, 3, 4, 5]) as position from f_obs where obs_id % 2 = 0
+      union all select 'not a record', 0 from f_obs where obs_id % 7 = 0) t group by all""")
+def build_rejects(spark, folder):
+    """What building the labelled flights leaves out, by service."""
+    lost = from_landed.build_with_rejects(*_landed_answers(spark, folder)).rejects
+    return lost.groupBy("service", "reject_reason", "position").agg(F.count(F.lit(1)).alias("entries"))

@@ -8,12 +8,14 @@ with their reasons.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tarmac.operators.joins import first_per_key
+from tarmac.session import shared_dir
 from tarmac.sources.schemas import FLIGHT_STATUS, FORECAST, OBSERVATION, SCHEDULED_FLIGHT
 
 
@@ -39,10 +41,13 @@ def _failure(listed: Column, lone_allowed: bool) -> Column:
     return reason.when(_texts(listed, lone_allowed).isNull(), "unreadable list")
 
 
-def _items(raw: DataFrame, body: str, names: Sequence[str], item: str, lone_allowed: bool, time: str | None) -> DataFrame:
+def _items(
+    raw: DataFrame, body: str, names: Sequence[str], item: str, lone_allowed: bool, time: str | None, further: Sequence[str] = ()
+) -> DataFrame:
     """One row per list entry as struct `_item`, with `_position`, and `_reason` if it is none.
 
-    An answer that is no list is a row without position. An empty list gives none.
+    An answer that is no list is a row without position. An empty list gives none. A record
+    must have `time`; the `further` times it may lack, but what it has of them must be readable.
     """
     parsed = _fields(raw, body, names)
     listed = F.coalesce(*[F.col("_answer")[n] for n in names])
@@ -55,12 +60,17 @@ def _items(raw: DataFrame, body: str, names: Sequence[str], item: str, lone_allo
     bad = F.when(F.col("_item").isNull(), "not a record")
     if time is not None:
         bad = bad.when(F.col(f"_item.{time}").isNull(), f"no readable {time}")
+    for name in further:
+        told = F.get_json_object("_entry", f"$.{name}").isNotNull()
+        bad = bad.when(F.col(f"_item.{name}").isNull() & told, f"no readable {name}")
     return rows.withColumn("_item", record).withColumn("_reason", F.coalesce("_failure", bad)).drop("_answer", "_failure", "_texts")
 
 
-def _rows(raw: DataFrame, body: str, names: Sequence[str], item: str, lone_allowed: bool, time: str | None = None) -> DataFrame:
+def _rows(
+    raw: DataFrame, body: str, names: Sequence[str], item: str, lone_allowed: bool, time: str | None = None, further: Sequence[str] = ()
+) -> DataFrame:
     """The sound entries of all lists."""
-    items = _items(raw, body, names, item, lone_allowed, time)
+    items = _items(raw, body, names, item, lone_allowed, time, further)
     return items.where(F.col("_reason").isNull()).drop(body, "_position", "_entry", "_reason")
 
 
@@ -82,16 +92,60 @@ def rejects(
     body: str = "body",
     lone_allowed: bool = False,
     time: str | None = None,
+    further: Sequence[str] = (),
 ) -> DataFrame:
     """All that an ingest leaves out: answers without a list, and entries of lists.
 
     Each with its answer, `reject_reason`, and for an entry its `position` and text
-    `entry`. An entry is left out if it is no record or lacks a readable `time`.
+    `entry`. An entry is left out if it is no record, lacks a readable `time`, or has an
+    unreadable one of the `further` times.
     """
-    items = _items(raw, body, names, item, lone_allowed, time).where(F.col("_reason").isNotNull())
-    return items.select(
-        *raw.columns, F.col("_reason").alias("reject_reason"), F.col("_position").alias("position"), F.col("_entry").alias("entry")
-    )
+    items = _items(raw, body, names, item, lone_allowed, time, further).where(F.col("_reason").isNotNull())
+    return items.select(*raw.columns, *_reject())
+
+
+def _reject() -> list[Column]:
+    return [F.col("_reason").alias("reject_reason"), F.col("_position").alias("position"), F.col("_entry").alias("entry")]
+
+
+@dataclass(frozen=True)
+class Parsed:
+    """Both sides of an ingest, from answers that were parsed once."""
+
+    rows: DataFrame
+    rejects: DataFrame
+    #: How many `rows` and `rejects` were written.
+    counts: dict[str, int]
+
+
+def parse_once(raw: DataFrame, items: DataFrame, rows: Callable[[DataFrame], DataFrame], purpose: str, body: str = "body", wanted: Column | None = None) -> Parsed:
+    """Write sound entries and rejects side by side, by outcome, and read each from its own folder.
+
+    `rows` makes typed rows of the sound entries, of which `wanted` may leave out some.
+    Only rejects keep the text of their answer.
+    """
+    spark, path = raw.sparkSession, shared_dir(raw.sparkSession, purpose)
+    sound = F.col("_reason").isNull()
+    kept = items if wanted is None else items.where(~sound | wanted)
+    told = Observation(purpose)
+    split = kept.withColumns(
+        {
+            "outcome": F.when(sound, "rows").otherwise("rejects"),
+            body: F.when(~sound, F.col(body)),
+            "_entry": F.when(~sound, F.col("_entry")),
+            "_item": F.when(sound, F.col("_item")),
+        }
+    ).observe(told, F.count_if(sound).alias("rows"), F.count_if(~sound).alias("rejects"))
+    split.write.partitionBy("outcome").parquet(path)
+    stored = spark.read.schema(split.schema).parquet(path)
+    sides = {side: stored.where(F.col("outcome") == side).drop("outcome") for side in ("rows", "rejects")}
+    return Parsed(rows(sides["rows"].drop(body, "_position", "_entry", "_reason")), sides["rejects"].select(*raw.columns, *_reject()), dict(told.get))
+
+
+_OBSERVATIONS = (["observation", "observations"], OBSERVATION, True, "valid_time_gmt")
+_SCHEDULES = (["scheduledFlights"], SCHEDULED_FLIGHT, False, "departureTime", ("arrivalTime",))
+_FORECASTS = (["forecasts"], FORECAST, False, "fcst_valid")
+_STATUSES = (["flightStatuses"], FLIGHT_STATUS, False, None)
 
 
 def observation_rejects(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -99,7 +153,7 @@ def observation_rejects(raw: DataFrame, body: str = "body") -> DataFrame:
 
 
 def schedule_rejects(raw: DataFrame, body: str = "body") -> DataFrame:
-    return rejects(raw, ["scheduledFlights"], SCHEDULED_FLIGHT, body, time="departureTime")
+    return rejects(raw, ["scheduledFlights"], SCHEDULED_FLIGHT, body, time="departureTime", further=("arrivalTime",))
 
 
 def forecast_rejects(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -110,6 +164,15 @@ def status_rejects(raw: DataFrame, body: str = "body") -> DataFrame:
     return rejects(raw, ["flightStatuses"], FLIGHT_STATUS, body)
 
 
+def _recent_observations(rows: DataFrame, hours: int, station: str, fetched_at: str) -> DataFrame:
+    at = F.timestamp_seconds(F.col("_item.valid_time_gmt")).cast("timestamp_ntz")
+    recent = rows.withColumn("valid_time", at).where(
+        (F.col("valid_time") <= F.col(fetched_at))
+        & (F.col("valid_time") >= F.timestamp_add("HOUR", F.lit(-hours), F.col(fetched_at)).cast("timestamp_ntz"))
+    )
+    return recent.select(station, "valid_time", "_item.*")
+
+
 def ingest_observations(
     raw: DataFrame, hours: int = 23, station: str = "fs", fetched_at: str = "fetched_at", body: str = "body"
 ) -> DataFrame:
@@ -117,25 +180,45 @@ def ingest_observations(
 
     The list is under `observation` or `observations`; a lone record is a list of one.
     """
-    rows = _rows(raw, body, ["observation", "observations"], OBSERVATION, lone_allowed=True, time="valid_time_gmt")
-    at = F.timestamp_seconds(F.col("_item.valid_time_gmt")).cast("timestamp_ntz")
-    recent = rows.withColumn("valid_time", at).where(
-        (F.col("valid_time") <= F.col(fetched_at))
-        & (F.col("valid_time") >= F.timestamp_add("HOUR", F.lit(-hours), F.col(fetched_at)).cast("timestamp_ntz"))
-    )
-    return recent.select(station, "valid_time", "_item.*")
+    return _recent_observations(_rows(raw, body, *_OBSERVATIONS), hours, station, fetched_at)
+
+
+def split_observations(
+    raw: DataFrame, hours: int = 23, station: str = "fs", fetched_at: str = "fetched_at", body: str = "body"
+) -> Parsed:
+    """`ingest_observations` and `observation_rejects` from one parse."""
+    items = _items(raw, body, *_OBSERVATIONS)
+    return parse_once(raw, items, lambda rows: _recent_observations(rows, hours, station, fetched_at), "observations", body)
 
 
 def dedupe_observations(observations: DataFrame, keys: Sequence[str] = ("fs", "valid_time"), tie: str | None = None) -> DataFrame:
-    """One observation per airport and instant: the one with the smallest `tie`, or else the smallest values."""
-    rest = [c for c in observations.columns if c not in keys]
-    return first_per_key(observations, keys, rest if tie is None else [tie, *[c for c in rest if c != tie]])
+    """One observation per airport and instant: the one with the smallest `tie`; of those equal in it, or without one, by its hash."""
+    return first_per_key(observations, keys, [] if tie is None else [tie])
 
 
 def ingest_schedules(raw: DataFrame, parts: Sequence[str] = ("year", "month", "day", "hour"), body: str = "body") -> DataFrame:
     """Scheduled flights of landed answers, each with the hour it was fetched for."""
-    rows = _rows(raw, body, ["scheduledFlights"], SCHEDULED_FLIGHT, lone_allowed=False, time="departureTime")
-    return rows.select("_item.*", F.struct(*parts).alias("date"))
+    return _rows(raw, body, *_SCHEDULES).select("_item.*", F.struct(*parts).alias("date"))
+
+
+def split_schedules(raw: DataFrame, parts: Sequence[str] = ("year", "month", "day", "hour"), body: str = "body") -> Parsed:
+    """`ingest_schedules` and `schedule_rejects` from one parse."""
+    return parse_once(raw, _items(raw, body, *_SCHEDULES), lambda rows: rows.select("_item.*", F.struct(*parts).alias("date")), "schedules", body)
+
+
+def _instants(first: str) -> list[Column]:
+    names = ("scheduledGateDeparture", "actualRunwayDeparture", "actualRunwayArrival")
+    return [F.col(f"{first}.operationalTimes.{name}.dateUtc").cast("timestamp_ntz").alias(name) for name in names]
+
+
+def split_statuses(raw: DataFrame, keys: Sequence[str], body: str = "body") -> Parsed:
+    """`ingest_statuses` and `status_rejects` from one parse. Rejects of all positions count, rows of the first."""
+    items = _items(raw, body, *_STATUSES)
+
+    def flattened(rows: DataFrame) -> DataFrame:
+        return rows.select(*keys, F.col("_item.status").alias("status"), *_instants("_item"))
+
+    return parse_once(raw, items, flattened, "statuses", body, wanted=F.col("_position") == 0)
 
 
 def ingest_statuses(raw: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
@@ -147,15 +230,11 @@ def ingest_statuses(raw: DataFrame, keys: Sequence[str], body: str = "body") ->
     listed = F.col("_answer.flightStatuses")
     entry = F.get(_texts(listed, False), F.lit(0))
     first = F.when(F.ltrim(entry).startswith("{"), F.from_json(entry, f"struct<{FLIGHT_STATUS}>"))
-    instants = [
-        F.col(f"_first.operationalTimes.{name}.dateUtc").cast("timestamp_ntz").alias(name)
-        for name in ("scheduledGateDeparture", "actualRunwayDeparture", "actualRunwayArrival")
-    ]
     return (
         parsed.where(_failure(listed, False).isNull())
         .withColumn("_first", first)
         .where(F.col("_first").isNotNull())
-        .select(*keys, F.col("_first.status").alias("status"), *instants)
+        .select(*keys, F.col("_first.status").alias("status"), *_instants("_first"))
     )
 
 
@@ -164,11 +243,7 @@ def ingest_list(raw: DataFrame, name: str, item: str, body: str = "body") -> Dat
     return _rows(raw, body, [name], item, lone_allowed=False).select("_item.*")
 
 
-def ingest_forecasts(
-    raw: DataFrame, hours: int = 48, station: str = "fs", fetched_at: str = "fetched_at", body: str = "body"
-) -> DataFrame:
-    """Forecasts of landed answers, up to `hours` after each fetch, with the instant of the fetch."""
-    rows = _rows(raw, body, ["forecasts"], FORECAST, lone_allowed=False, time="fcst_valid")
+def _forecasts_in_reach(rows: DataFrame, hours: int, station: str, fetched_at: str) -> DataFrame:
     valid = F.timestamp_seconds(F.col("_item.fcst_valid")).cast("timestamp_ntz")
     fields = [F.col("_item").getField(name).alias(name) for name in _names(FORECAST) if name != "fcst_valid"]
     return (
@@ -178,6 +253,20 @@ def ingest_forecasts(
     )
 
 
+def ingest_forecasts(
+    raw: DataFrame, hours: int = 48, station: str = "fs", fetched_at: str = "fetched_at", body: str = "body"
+) -> DataFrame:
+    """Forecasts of landed answers, up to `hours` after each fetch, with the instant of the fetch."""
+    return _forecasts_in_reach(_rows(raw, body, *_FORECASTS), hours, station, fetched_at)
+
+
+def split_forecasts(
+    raw: DataFrame, hours: int = 48, station: str = "fs", fetched_at: str = "fetched_at", body: str = "body"
+) -> Parsed:
+    """`ingest_forecasts` and `forecast_rejects` from one parse."""
+    return parse_once(raw, _items(raw, body, *_FORECASTS), lambda rows: _forecasts_in_reach(rows, hours, station, fetched_at), "forecasts", body)
+
+
 def _names(item: str) -> list[str]:
     return [field.strip().split(" ")[0] for field in item.split(",")]
 
