@@ -55,6 +55,18 @@ def delta_histogram(spark, folder):
     return buckets.select("bucket", *rounded("bucket_low", "bucket_high"), "n")
 
 
+@query("""select bucket, round(low + bucket * width, 6) as bucket_low, round(case when bucket = 49 then high else low + (bucket + 1) * width end, 6) as bucket_high,
+      cast(coalesce(n, 0) as bigint) as n
+    from (select min(value) as low, max(value) as high, (max(value) - min(value)) / 50 as width from f_landed where value > 12 and value < 50) bounds
+    cross join (select cast(range as int) as bucket from range(50)) buckets
+    left join (select least(cast(floor((value - lo) / ((hi - lo) / 50)) as int), 49) as place, count(*) as n
+      from (select value, min(value) over () as lo, max(value) over () as hi from f_landed where value > 12 and value < 50) kept group by 1) counted on place = bucket""")
+def value_histogram(spark, folder):
+    """A continuous column: as many values as rows."""
+    buckets = histogram.delta_histogram(w.landed(spark, folder), "value")
+    return buckets.select("bucket", *rounded("bucket_low", "bucket_high"), "n")
+
+
 @query("select count(*) as n from f_landed where delta > 12 and delta < 50")
 def delta_range_count(spark, folder):
     return histogram.count_between(w.landed(spark, folder), "delta", *histogram.DELAY_RANGE)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac.catalog.base import query
-from tarmac.operators import models
-from tarmac.operators.features import labelled_set
+from tarmac.operators import explained, models
+from tarmac.operators.features import ATTRIBUTES, labelled_set
 from tarmac.operators.handlers import DefaultHandler, ThreeClassHandler
 from tarmac.operators.projections import in_data_set
 from tarmac.plans import from_landed, scoring, training
@@ -40,12 +40,29 @@ def _trained(spark, folder, name):
     )
 
 
+def _naive_bayes(keep: str, where: str) -> str:
+    """The whole of naive Bayes in SQL: counts of the training flights, log-probabilities, and the best class of each flight."""
+    names = [(a, end) for end in ("d", "a") for a in ATTRIBUTES]
+    values = ", ".join(f"floor(greatest(coalesce(cast({end}.{a} as double), 0), 0)) as x{i}" for i, (a, end) in enumerate(names))
+    n = range(len(names))
+    return f"""select {keep} from (
+      select x.*, t.class, row_number() over (partition by flight_id order by
+        (ln(t.flights + 1.0::double) - ln(cast(t.every + t.classes as double))) + {" + ".join(f"x{i} * (ln(t.s{i} + 1) - ln(t.total + {len(names)}))" for i in n)} desc, t.class) as nr
+      from (select f.flight_id, f.classification as label, data_set, {values} from f_landed f join f_sets on airport = f.dep
+        join f_dep_weather d on d.flight_id = f.flight_id join f_arr_weather a on a.flight_id = f.flight_id) x
+      cross join (select *, {" + ".join(f"s{i}" for i in n)} as total, sum(flights) over () as every, count(*) over () as classes
+        from (select f.classification as class, count(*) as flights, {", ".join(f"sum(x{i}) as s{i}" for i in n)}
+          from (select f.classification, {values} from f_landed f join f_sets on airport = f.dep
+            join f_dep_weather d on d.flight_id = f.flight_id join f_arr_weather a on a.flight_id = f.flight_id where data_set = 'training') f group by 1) c) t) s
+    where nr = 1 and {where}"""
+
+
 @query()
 def train_logreg(spark, folder):
     return _trained(spark, folder, "logistic_regression")
 
 
-@query()
+@query(_naive_bayes("flight_id, label, class as prediction", "data_set = 'test'"))
 def train_naive_bayes(spark, folder):
     return _trained(spark, folder, "naive_bayes")
 
@@ -75,6 +92,45 @@ def score_with_label(spark, folder):
     return models.long_predictions(scored, registry, ["flight_id", F.col("label").cast("int").alias("label")])
 
 
+@query(_naive_bayes("flight_id, 'naive_bayes' as model, 1 as model_pos, label, class as prediction", "data_set = 'test'"))
+def score_with_label_naive_bayes(spark, folder):
+    """Label and prediction pairs of the model that SQL can follow."""
+    labelled = _labelled(spark, folder)
+    registry = _registry(labelled, ("naive_bayes",))
+    scored = training.score_labelled(_set(labelled, "test"), registry, _HANDLER, ["flight_id"])
+    return models.long_predictions(scored, registry, ["flight_id", F.col("label").cast("int").alias("label")])
+
+
+@query(_naive_bayes("flight_id, cast(label as double) as label, cast(class as double) as prediction_naive_bayes", "true"))
+def score_batch_naive_bayes(spark, folder):
+    """All flights scored by the model that SQL can follow."""
+    labelled = _labelled(spark, folder)
+    return training.score_labelled(labelled, _registry(labelled, ("naive_bayes",)), _HANDLER, ["flight_id"]).drop("features")
+
+
+@query("""select model, count(*) as flights, cast(0 as bigint) as different from f_landed
+    cross join (select unnest(['decision_tree', 'random_forest']) as model) m group by model""")
+def recomputed_trees(spark, folder):
+    """Flights for which a tree or forest, written out as conditions, gives another class than the model: none."""
+    labelled = _labelled(spark, folder)
+    names = ("decision_tree", "random_forest")
+    registry = _registry(labelled, names)
+    scored = training.score_labelled(labelled, registry, _HANDLER, ["flight_id"])
+    parts = []
+    for name in names:
+        again = explained.recomputed(scored, registry.models[name], "again")
+        parts.append(again.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("flights"), F.count_if(F.col("again") != F.col(models.prediction_column(name))).alias("different")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("""select count(*) as flights, true as near_zero from f_landed join f_sets on airport = dep where data_set = 'training'""")
+def logreg_gradient(spark, folder):
+    """At the fitted coefficients the gradient of the loss is under a hundredth of what it is at zero."""
+    flights = labelled_set(_set(_labelled(spark, folder), "training"), _HANDLER)
+    fitted, start = explained.loss_gradient(flights, models.train(flights, "logistic_regression", _HANDLER))
+    return flights.agg(F.count(F.lit(1)).alias("flights"), F.lit(fitted < start / 100).alias("near_zero"))
+
+
 def upcoming_inputs(spark, folder):
     """Requests, schedules and airports in the shape of the scoring run.
 

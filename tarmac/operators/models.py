@@ -1,18 +1,18 @@
-"""The four classifiers as Spark ML pipelines, and a registry of trained ones."""
+"""The four classifiers as Spark pipelines, and a registry of trained ones."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import math
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LogisticRegression,
-    NaiveBayes,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.operators.features import ATTRIBUTES
@@ -56,9 +56,52 @@ def logistic_regression(width: int, iterations: int = 1000, intercept: bool = Fa
     return _pipeline(classifier, "logistic_regression", "zero", width)
 
 
-def naive_bayes(width: int) -> Pipeline:
-    classifier = NaiveBayes(modelType="multinomial", smoothing=1.0, **_HIDDEN)
-    return _pipeline(classifier, "naive_bayes", "whole", width)
+class NaiveBayesByCounts:
+    """Multinomial naive Bayes, smoothing 1, from one aggregate.
+
+    The rows of each class and the sums of its features are all that the model needs; its
+    log-probabilities follow from them in closed form. Only classes that occur are known,
+    under their own numbers. The model is a projection: for each class the sum of its
+    log-prior and of feature times log-probability, in the order of the features; the
+    class with the largest sum, of equal ones the smallest, is predicted.
+    """
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def statistics(self, labelled: DataFrame) -> DataFrame:
+        """label, rows, sum_0, sum_1, ...: one row per class."""
+        values = [F.expr(_CLEANING["whole"].format(v=f"get(features, {i})")) for i in range(self.width)]
+        sums = [F.sum(v).alias(f"sum_{i}") for i, v in enumerate(values)]
+        return labelled.where(F.col("label").isNotNull()).groupBy(F.col("label").cast("double").alias("label")).agg(F.count(F.lit(1)).alias("rows"), *sums)
+
+    def weights(self, statistics: Sequence[Row]) -> list[tuple[float, float, list[float]]]:
+        """Class, log-prior and log-probabilities of the features, in the order of the classes."""
+        total = sum(r["rows"] for r in statistics)
+        out = []
+        for r in sorted(statistics, key=lambda r: r["label"]):
+            sums = [r[f"sum_{i}"] for i in range(self.width)]
+            prior = math.log(r["rows"] + 1.0) - math.log(total + len(statistics))
+            out.append((r["label"], prior, [math.log(x + 1.0) - math.log(sum(sums) + self.width) for x in sums]))
+        return out
+
+    def fit(self, labelled: DataFrame) -> PipelineModel:
+        weights = self.weights(self.statistics(labelled).collect())
+        if not weights:
+            raise ValueError("no row has a label")
+        cleaned = _CLEANING["whole"].format(v="v")
+        scores = [
+            f"named_struct('score', {prior!r}D" + "".join(f" + coalesce(get(_nb, {i}), 0D) * {t!r}D" for i, t in enumerate(thetas)) + f", 'place', {-n})"
+            for n, (_, prior, thetas) in enumerate(weights)
+        ]
+        classes = ", ".join(f"{c!r}D" for c, _, _ in weights)
+        inner = f"SELECT *, transform(features, v -> {cleaned}) AS _nb FROM __THIS__"
+        best = f"get(array({classes}), -array_max(array({', '.join(scores)})).place)"
+        return PipelineModel([SQLTransformer(statement=f"SELECT * EXCEPT (_nb), {best} AS {prediction_column('naive_bayes')} FROM ({inner})")])
+
+
+def naive_bayes(width: int) -> NaiveBayesByCounts:
+    return NaiveBayesByCounts(width)
 
 
 def decision_tree(width: int) -> Pipeline:
@@ -91,29 +134,12 @@ def feature_width(handler: DefaultHandler | None = None) -> int:
     return 2 * len(ATTRIBUTES) + len((handler or DefaultHandler()).extra_features())
 
 
-def _train_dense(labelled: DataFrame, pipeline: Pipeline, name: str) -> PipelineModel:
-    """Train a classifier that numbers the classes it sees, and number them back.
-
-    Spark's naive Bayes predicts the position of a class among those that occur in
-    the training data, so a class that does not occur would shift all later ones.
-    """
-    seen = sorted(r.label for r in labelled.select("label").distinct().collect())
-    positions = F.array_position(F.array(*[F.lit(c) for c in seen]), F.col("label")) - 1
-    model = pipeline.fit(labelled.withColumn("label", positions.cast("double")))
-    column = prediction_column(name)
-    classes = ", ".join(f"{c}D" for c in seen)
-    restore = SQLTransformer(
-        statement=f"SELECT * EXCEPT ({column}), get(array({classes}), int({column})) AS {column} FROM __THIS__"
-    )
-    return PipelineModel([*model.stages, restore])
-
-
 def train(labelled: DataFrame, name: str, handler: DefaultHandler | None = None, **options) -> PipelineModel:
     """Train one of MODELS on (label, features)."""
     handler = handler or DefaultHandler()
     pipeline = MODELS[name](feature_width(handler), **options)
     if name == "naive_bayes":
-        return _train_dense(labelled, pipeline, name)
+        return pipeline.fit(labelled)
     return pipeline.fit(with_classes(labelled, handler))
 
 

@@ -25,7 +25,6 @@ def test_same_rows_as_sql(spark, folder, duck, name):
 def test_only_trained_models_go_without_sql():
     assert set(TRAINED) == {
         "train_logreg",
-        "train_naive_bayes",
         "train_decision_tree",
         "train_random_forest",
         "score_batch",
