@@ -5,6 +5,8 @@ Everything here works on a batch at a time with numpy; nothing loops over words.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -164,3 +166,13 @@ def binaries(parts: list[np.ndarray | bytes]) -> pa.Array:
 
 def longs(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.int64), type=pa.int64())
+
+
+def give_back() -> None:
+    """Hand memory that a task has freed back to the system, of which the worker's next task may run beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        # Another C library keeps it.
+        return

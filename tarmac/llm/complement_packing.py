@@ -28,7 +28,7 @@ from tarmac.session import shared_dir
 
 #: Stretches a task remembers the ids of, pieces in a row group that a task sends on, and
 #: triples looked at for a gap.
-REMEMBERED, ROWS, TRIPLES = 1 << 18, 1024, 16
+REMEMBERED, ROWS, TRIPLES = 1 << 19, 1024, 16
 
 #: ASCII letters, other ASCII bytes, ASCII bytes that are printed, and first bytes of
 #: two-byte characters none of which is white space.
@@ -79,10 +79,9 @@ class StretchIds:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.store = IdStore(REMEMBERED, self.kind)
 
-    def ids_of(self, spellings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all stretches and how many each has; they go to the library in long texts between special tokens."""
-        alone = not (self.cuttable and self.fences) or any(t.decode() in s for s in spellings for t in self.spelled)
-        if alone:
+    def ids_of(self, spellings: list[str], alone: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stretches and how many each has; unless `alone`, they go to the library in long texts between special tokens."""
+        if alone or not self.fences:
             each = [e.ids for e in self.tokenizer.encode_batch(spellings, add_special_tokens=False)]
             return np.fromiter((i for e in each for i in e), self.kind), np.array([len(e) for e in each], np.int64)
         fence, mark = self.fences[0]
@@ -112,12 +111,11 @@ class StretchIds:
         if len(starts) == 0:
             return np.zeros(0, self.kind), np.zeros(n, np.int64)
         hashes, first, inverse = distinct(span_hashes(prefix_hashes(buf), starts, ends))
-        keys = hashes.tolist()
-        new = self.store.unknown(keys)
+        new = self.store.unknown(hashes)
         if new:
             at = first[new]
-            self.store.add([keys[i] for i in new], *self.ids_of([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
-        places = self.store.places(keys)[inverse]
+            self.store.add(hashes[new], *self.ids_of([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], bool(whole.any())))
+        places = self.store.places(hashes)[inverse]
         counts = np.bincount(owner, weights=self.store.lengths[places], minlength=n).astype(np.int64)
         return self.store.ids(places), counts
 

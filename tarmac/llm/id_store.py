@@ -15,18 +15,22 @@ class IdStore:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.count = 0
         self.flat, self.used = np.zeros(1 << 16, self.kind), 0
         self.starts, self.lengths, self.flags = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
 
-    def unknown(self, keys: list[int]) -> list[int]:
+    def unknown(self, keys: np.ndarray) -> list[int]:
         """Places of the hashes that have to be added."""
-        if len(self.known) > self.most:
+        if len(self.hashes) > self.most:
             self.forget()
-        return [i for i, h in enumerate(keys) if h not in self.known]
+        keys = np.asarray(keys, np.uint64)
+        if len(self.hashes) == 0:
+            return list(range(len(keys)))
+        near = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        return np.flatnonzero(self.hashes[near] != keys).tolist()
 
-    def add(self, hashes: list[int] | None, ids: np.ndarray, lengths: np.ndarray, flags: np.ndarray | None = None) -> None:
+    def add(self, hashes: np.ndarray | None, ids: np.ndarray, lengths: np.ndarray, flags: np.ndarray | None = None) -> None:
         """The ids of all words, one word after the other, and how many each has.
 
         Without hashes, the words have the places of those that another store adds.
@@ -42,10 +46,15 @@ class IdStore:
         self.used += more
         self.count += m
         if hashes is not None:
-            self.known.update(zip(hashes, range(n, n + m), strict=True))
-
-    def places(self, keys: list[int]) -> np.ndarray:
-        return np.array([self.known[h] for h in keys], np.int64)
+            hashes = np.asarray(hashes, np.uint64)
+            order = np.argsort(hashes)
+            where = np.searchsorted(self.hashes, hashes[order])
+            self.hashes = np.insert(self.hashes, where, hashes[order])
+            self.at = np.insert(self.at, where, (n + order).astype(np.int32))
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Places of hashes that are all there."""
+        return self.at[np.searchsorted(self.hashes, np.asarray(keys, np.uint64))].astype(np.int64)
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         """Ids of words at these places, one word after the other."""

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.arrays import LOWER, NO_LETTER, SPACE, binaries, buffer_of, distinct, expand, longs, portions, prefix_hashes, span_hashes, words
+from tarmac.llm.arrays import LOWER, NO_LETTER, SPACE, binaries, buffer_of, distinct, expand, give_back, longs, portions, prefix_hashes, span_hashes, words
 from tarmac.llm.common import texts
 from tarmac.llm.id_store import IdStore
 
@@ -29,8 +29,8 @@ WINDOW, DOCUMENTS = 1 << 21, 1 << 16
 LETTER, SIGN = ~NO_LETTER, NO_LETTER & ~SPACE
 LETTER[0x80:] = False
 
-#: Words a task remembers the ids of.
-REMEMBERED = 1 << 19
+#: Words a task remembers the ids of, and bytes of text that are looked at together.
+REMEMBERED, PORTION = 1 << 19, 1 << 20
 
 
 class WordIds:
@@ -78,13 +78,12 @@ class WordIds:
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         hashes, first, inverse = distinct(span_hashes(prefix_hashes(buf), starts, ends))
-        keys = hashes.tolist()
-        new = self.store.unknown(keys)
+        new = self.store.unknown(hashes)
         if new:
             at, raw = first[new], buf.tobytes()
             spellings = [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            self.store.add([keys[i] for i in new], *self.ids_of(spellings, fenced))
-        places = self.store.places(keys)[inverse]
+            self.store.add(hashes[new], *self.ids_of(spellings, fenced))
+        places = self.store.places(hashes)[inverse]
         counts = np.bincount(owner, weights=self.store.lengths[places], minlength=len(offsets) - 1).astype(np.int64)
         return self.store.ids(places), counts
 
@@ -134,6 +133,7 @@ def _packed(path: str, end_id: int, length: int, linear: float, quadratic: float
 
         # Spark's tasks fill the cores; further threads of the library only take memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        give_back()
         encoder, sequences, place = WordIds(path), 0, TaskContext.get().partitionId()
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
@@ -155,7 +155,7 @@ def _packed(path: str, end_id: int, length: int, linear: float, quadratic: float
 
         waiting = documents = 0
         for batch in batches:
-            for part in portions(batch, "text"):
+            for part in portions(batch, "text", PORTION):
                 buf, offsets = buffer_of(part.column(1))
                 tokens, counts = encoder.encode(buf, offsets)
                 # Every document ends with the end id.

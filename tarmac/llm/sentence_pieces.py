@@ -182,16 +182,15 @@ class Stretches:
             self.decoded = pa.array([""] * n, pa.string())
             return np.zeros(0, np.uint32), np.zeros(n, np.int64), np.zeros(n, np.int64)
         hashes, first, inverse = distinct(span_hashes(prefix_hashes(buf), starts, ends))
-        keys = hashes.tolist()
-        new = self.store.unknown(keys)
+        new = self.store.unknown(hashes)
         if self.spelt is not None and self.store.count == 0:
             self.spelt.forget()
         raw = buf.tobytes() if new else b""
         for i in range(0, len(new), 8192):
             some = new[i : i + 8192]
             at = first[some]
-            self.learn([keys[k] for k in some], [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        places = self.store.places(keys)[inverse]
+            self.learn(hashes[some], [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        places = self.store.places(hashes)[inverse]
         if self.spelt is not None:
             sizes = np.bincount(owner, weights=self.spelt.lengths[places], minlength=n).astype(np.int64)
             raw, begins = self.spelt.ids(places), np.cumsum(sizes) - sizes
