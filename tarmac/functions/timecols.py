@@ -16,6 +16,11 @@ def micros(at: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at)
 
 
+def utc_instant(micros_since: Column) -> Column:
+    """The timestamp without zone so many microseconds after 1970 in UTC, whatever the session's zone."""
+    return F.timestamp_add("MICROSECOND", micros_since.cast("bigint"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def hour_start(at: Column) -> Column:
     return F.date_trunc("HOUR", at).cast("timestamp_ntz")
 
@@ -39,16 +44,16 @@ def local_to_utc(local: Column, zone: Column) -> Column:
     In the repeated hour of autumn the earlier instant (daylight time) is taken,
     which is Spark's rule.
     """
-    return F.to_utc_timestamp(local.cast("timestamp"), zone).cast("timestamp_ntz")
+    return F.convert_timezone(zone, F.lit("UTC"), local.cast("timestamp_ntz"))
 
 
 def utc_to_local(utc: Column, zone: Column) -> Column:
-    return F.from_utc_timestamp(utc.cast("timestamp"), zone).cast("timestamp_ntz")
+    return F.convert_timezone(F.lit("UTC"), zone, utc.cast("timestamp_ntz"))
 
 
 def epoch_ms_to_local(millis: Column, zone: Column | None = None) -> Column:
     """Local time at `zone`, or UTC where there is no zone."""
-    utc = F.timestamp_millis(millis).cast("timestamp_ntz")
+    utc = utc_instant(millis * 1000)
     return utc if zone is None else F.coalesce(utc_to_local(utc, zone), utc)
 
 

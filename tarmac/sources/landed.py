@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tarmac.functions.timecols import utc_instant
 from tarmac.operators.joins import first_per_key
 from tarmac.session import shared_dir
 from tarmac.sources.schemas import FLIGHT_STATUS, FORECAST, OBSERVATION, SCHEDULED_FLIGHT
@@ -165,7 +166,7 @@ def status_rejects(raw: DataFrame, body: str = "body") -> DataFrame:
 
 
 def _recent_observations(rows: DataFrame, hours: int, station: str, fetched_at: str) -> DataFrame:
-    at = F.timestamp_seconds(F.col("_item.valid_time_gmt")).cast("timestamp_ntz")
+    at = utc_instant(F.col("_item.valid_time_gmt") * 1_000_000)
     recent = rows.withColumn("valid_time", at).where(
         (F.col("valid_time") <= F.col(fetched_at))
         & (F.col("valid_time") >= F.timestamp_add("HOUR", F.lit(-hours), F.col(fetched_at)).cast("timestamp_ntz"))
@@ -208,7 +209,7 @@ def split_schedules(raw: DataFrame, parts: Sequence[str] = ("year", "month", "da
 
 def _instants(first: str) -> list[Column]:
     names = ("scheduledGateDeparture", "actualRunwayDeparture", "actualRunwayArrival")
-    return [F.col(f"{first}.operationalTimes.{name}.dateUtc").cast("timestamp_ntz").alias(name) for name in names]
+    return [utc_instant(F.unix_micros(F.col(f"{first}.operationalTimes.{name}.dateUtc"))).alias(name) for name in names]
 
 
 def split_statuses(raw: DataFrame, keys: Sequence[str], body: str = "body") -> Parsed:
@@ -244,7 +245,7 @@ def ingest_list(raw: DataFrame, name: str, item: str, body: str = "body") -> Dat
 
 
 def _forecasts_in_reach(rows: DataFrame, hours: int, station: str, fetched_at: str) -> DataFrame:
-    valid = F.timestamp_seconds(F.col("_item.fcst_valid")).cast("timestamp_ntz")
+    valid = utc_instant(F.col("_item.fcst_valid") * 1_000_000)
     fields = [F.col("_item").getField(name).alias(name) for name in _names(FORECAST) if name != "fcst_valid"]
     return (
         rows.withColumn("_valid", valid)

@@ -121,3 +121,24 @@ def test_missing_features(spark, value, zero, whole):
 def test_coordinates(spark):
     assert one(spark, numeric.coordinate(F.lit(42.36646))) == 42.37
     assert one(spark, numeric.known_coordinate(F.lit(None))) == 0.0
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kathmandu"])
+def test_the_session_zone_moves_no_instant(spark, rows, zone):
+    """In New York the hour from two to three of this night is skipped, and that from one to two of the second repeated."""
+    df = rows([(at("2024-03-10 02:30"), 1710037800), (at("2024-11-03 01:30"), 1730597400)], "t timestamp_ntz, s bigint")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = df.select(
+            timecols.utc_to_local(F.col("t"), F.lit("America/Los_Angeles")).alias("local"),
+            timecols.local_to_utc(F.col("t"), F.lit("Europe/Paris")).alias("utc"),
+            timecols.utc_instant(F.col("s") * 1_000_000).alias("told"),
+            timecols.epoch_ms_to_local(F.col("s") * 1000, F.lit("America/New_York")).alias("there"),
+        ).collect()
+        assert [tuple(r) for r in got] == [
+            (at("2024-03-09 18:30"), at("2024-03-10 01:30"), at("2024-03-10 02:30"), at("2024-03-09 21:30")),
+            (at("2024-11-02 18:30"), at("2024-11-03 00:30"), at("2024-11-03 01:30"), at("2024-11-02 21:30")),
+        ]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
