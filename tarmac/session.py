@@ -12,6 +12,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Python workers get texts in batches of this size, not ten thousand at a time.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 _local_dirs: dict[str, str] = {}
