@@ -1,7 +1,7 @@
 """Operators for large training-data pipelines, each over whole tables.
 
-Functions of this package reach the Python workers by value, so that executors need not
-have the package installed.
+Functions and classes of this package reach the Python workers by value, and broadcasts
+hold plain arrays only, so that executors need not have the package installed.
 """
 
 import sys

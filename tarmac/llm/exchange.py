@@ -20,16 +20,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.arrays import portions
-from tarmac.session import written
+from tarmac.llm.arrays import give_back, portions
+from tarmac.session import shared_dir
 
-#: Text bytes and documents of a batch, and text bytes for which one bucket is made.
-BATCH, DOCUMENTS, BUCKET = 8 << 20, 8192, 16 << 20
+#: Text bytes and documents of a batch, text bytes for which one bucket is made, and bytes of
+#: a row group of the tables of bodies, questions and answers.
+BATCH, DOCUMENTS, BUCKET, ROW_GROUP = 8 << 20, 8192, 16 << 20, 8 << 20
 
 BODY, ASK = 0, 1
 SCHEMA = "kind int, batch long, bucket int, payload binary"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in the shared folder, in small row groups: a row has some MB, and tasks hold a whole group."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dump(*arrays: np.ndarray) -> bytes:
     """Arrays in a compressed row; the bytes of numbers are put together by their place."""
     squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -100,6 +108,8 @@ def batched(docs: DataFrame, make: Callable, purpose: str, portion: int = 2 << 2
                     held, size, documents, count = [], 0, 0, count + 1
         if held:
             yield flush()
+        held.clear()
+        give_back()
 
     return written(docs.mapInArrow(run, SCHEMA), purpose)
 
@@ -118,6 +128,7 @@ def answered(asked: DataFrame, answer: Callable[[list[bytes]], tuple[list[bytes]
         bucket = table.column("bucket")[0].as_py()
         answers, own = answer(payloads)
         rows = [(ASK, b, bucket, p) for b, p in zip(batches, answers, strict=True) if p] + [(BODY, -1, bucket, p) for p in own]
+        give_back()
         return pa.Table.from_batches([rows_of(rows)] if rows else [], rows_of([(ASK, 0, 0, b"")]).schema)
 
     grouped = asked.where(F.col("kind") == ASK).groupBy("bucket")
@@ -129,7 +140,9 @@ def told(bodies: DataFrame, answers: DataFrame, tell: Callable[[bytes, dict[int,
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         replies = dict(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))
-        return tell(left.column("payload")[0].as_py(), replies)
+        rows = tell(left.column("payload")[0].as_py(), replies)
+        give_back()
+        return rows
 
     body = bodies.where(F.col("kind") == BODY).select("batch", "payload")
     reply = answers.where(F.col("kind") == ASK).select("batch", "bucket", "payload")
@@ -146,6 +159,7 @@ def asked_again(bodies: DataFrame, answers: DataFrame, tell: Callable[[bytes, di
         replies = dict(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))
         number, told = left.column("batch")[0].as_py(), tell(left.column("payload")[0].as_py(), replies)
         rows = [] if told is None else [(BODY, number, -1, told[0]), *((ASK, number, b, p) for b, p in told[1])]
+        give_back()
         return pa.Table.from_batches([rows_of(rows)] if rows else [], rows_of([(ASK, 0, 0, b"")]).schema)
 
     body = bodies.where(F.col("kind") == BODY).select("batch", "payload")

@@ -191,7 +191,7 @@ class Trainer:
 
 def _train(shared, turn: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(**shared.value)
         trainer, weight = Trainer(model, rate, turn), 0
         for batch in batches:
             for payload in batch.column(0).to_pylist():
@@ -231,7 +231,7 @@ def _round(bodies: DataFrame, model: Model, turn: int, rate: float) -> Model:
     Sums are added in two steps by tasks that hold one sum each; the driver gets one row
     for each task of the last step.
     """
-    shared = bodies.sparkSession.sparkContext.broadcast(model)
+    shared = bodies.sparkSession.sparkContext.broadcast(vars(model))
     found = bodies.mapInArrow(_train(shared, turn, rate), "weight long, sums binary")
     for tasks in (64, 8):
         found = found.repartition(tasks).mapInArrow(_added, "weight long, sums binary")
@@ -247,7 +247,8 @@ def _round(bodies: DataFrame, model: Model, turn: int, rate: float) -> Model:
 
 def _tell(shared, buckets: int):
     def tell(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
-        model, a, b, log_sum = shared.value
+        parts, a, b, log_sum = shared.value
+        model = Model(**parts)
         ids, known, held, lengths, distinct, rank, stream = load(payload)
         distinct = sums(distinct)
         counts = np.zeros(len(distinct), np.int64)
@@ -314,6 +315,6 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, vocabulary: int =
     if tokens:
         for turn in range(ROUNDS):
             model = _round(bodies, model, turn, 0.15 / (1 + turn))
-    shared = spark.sparkContext.broadcast((model, *model.tables()))
+    shared = spark.sparkContext.broadcast((vars(model), *model.tables()))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return told(table, answers, _tell(shared, buckets), schema)

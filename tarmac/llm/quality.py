@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.arrays import SPACE, binaries, buffer_of, counts_by, longs, portions, prefix_hashes, runs, span_hashes, words
+from tarmac.llm.arrays import SPACE, binaries, buffer_of, counts_by, give_back, longs, portions, prefix_hashes, runs, span_hashes, words
 from tarmac.llm.labelled_sample import labelled_sample
 
 #: Labelled documents that are fitted on, at most; hash places of words; rank of the pairs.
@@ -181,11 +181,12 @@ def _featured(columns: list[str]):
 
 def _scored(model, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = model.value
+        machine = Machine(**model.value)
         for batch in batches:
             for part in portions(batch, "text"):
                 scores = machine.scores(features(*buffer_of(part.column(1)), _metadata(part, columns)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], ["doc_id", "score"])
+        give_back()
 
     return run
 
@@ -221,6 +222,6 @@ def score(docs: DataFrame, machine: Machine, metadata: list[str] | None = None,
     id are no inputs of the score.
     """
     metadata = ["n_chars"] if metadata is None else metadata
-    model = docs.sparkSession.sparkContext.broadcast(machine)
+    model = docs.sparkSession.sparkContext.broadcast(vars(machine))
     rows = _inputs(docs, metadata, id_column, text_column)
     return rows.mapInArrow(_scored(model, [f"m{i}" for i in range(len(metadata))]), "doc_id long, score double")

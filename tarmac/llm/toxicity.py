@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarmac.llm.arrays import NO_LETTER, binaries, buffer_of, distinct, expand, longs, mix, portions, word_hashes
+from tarmac.llm.arrays import NO_LETTER, binaries, buffer_of, distinct, expand, give_back, longs, mix, portions, word_hashes
 from tarmac.llm.common import texts
 from tarmac.llm.labelled_sample import labelled_sample
 
@@ -27,6 +27,9 @@ from tarmac.llm.labelled_sample import labelled_sample
 #: product; frequent terms, at most, which one of so many examples has; bins of the calibration.
 SAMPLE, CHI_SQUARE, LEAST, EXTRA, NEIGHBOURS, GROUP, FREQUENT, ONE_OF, BINS = 8192, 30.0, 6, 100.0, 15, 128, 512, 16, 10
 
+#: Examples in a block, and blocks that a search sums first.
+BLOCK, FIRST = 256, 1
+
 
 def term_counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, term hash and count of each distinct term of each text, in this order."""
@@ -39,11 +42,18 @@ def term_counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 @dataclass
 class Index:
-    """Terms with their factors, postings by term, frequent terms by example, the examples' ids and labels, calibration."""
+    """Terms with their factors, postings by term and block, frequent terms by example, the examples' ids and labels, calibration.
+
+    `begins` says where the blocks of each term begin, `blocks` and `most` which block each
+    is and the largest weight in it, `starts` where its postings begin.
+    """
 
     terms: np.ndarray
     factors: np.ndarray
     begins: np.ndarray
+    blocks: np.ndarray
+    most: np.ndarray
+    starts: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
     columns: np.ndarray
@@ -72,15 +82,41 @@ class Index:
         return asked @ self.frequent.T
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples, ties to the smaller id; only cosines above 0."""
+        """Places and cosines of the k nearest examples, ties to the smaller id; only cosines above 0.
+
+        A block's bound is the largest share that frequent terms give one of its examples,
+        and for every other term the largest weight in the block. The blocks with the
+        largest bounds are summed first; of the others only those whose bound reaches the
+        k-th cosine known by then.
+        """
         n = len(self.ids)
         if common is None:
             common = self.common(np.zeros(len(term), np.int64), term, weight, 1)[0]
+        cosines = common.copy()
+        if skip >= 0:
+            cosines[skip] = -1.0
         rare = self.columns[term] < 0
         term, weight = term[rare], weight[rare]
-        cost = self.begins[term + 1] - self.begins[term]
-        places = expand(self.begins[term], cost)
-        cosines = common + np.bincount(self.examples[places], weights=self.weights[places] * np.repeat(weight, cost), minlength=n)
+        count = self.begins[term + 1] - self.begins[term]
+        lists = expand(self.begins[term], count)
+        blocks, weight = self.blocks[lists], np.repeat(weight, count)
+        edges = np.arange(0, n, BLOCK)
+        bound = np.maximum.reduceat(cosines, edges) + np.bincount(blocks, weights=self.most[lists] * weight, minlength=len(edges))
+        left = np.ones(len(edges), dtype=bool)
+
+        def add(chosen: np.ndarray) -> None:
+            mine = chosen[blocks]
+            some = lists[mine]
+            size = self.starts[some + 1] - self.starts[some]
+            places = expand(self.starts[some], size)
+            cosines[:] += np.bincount(self.examples[places], weights=self.weights[places] * np.repeat(weight[mine], size), minlength=n)
+            left[chosen] = False
+
+        if len(edges) > FIRST:
+            add(bound >= np.partition(bound, len(edges) - FIRST)[len(edges) - FIRST])
+        # Sums of part of the terms are too small, never too large.
+        reached = np.partition(cosines, n - k)[n - k] if n > k else -np.inf
+        add(left & (bound + 1e-8 >= reached))
         if skip >= 0:
             cosines[skip] = -1.0
         kth = np.partition(cosines, n - k)[n - k] if n > k else 0.0
@@ -138,19 +174,26 @@ def association(owner: np.ndarray, hashes: np.ndarray, term: np.ndarray, n_terms
     return high / (high + CHI_SQUARE**4) * often / (often + LEAST**4)
 
 
-def build(ids: np.ndarray, labels: np.ndarray, owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> Index:
-    """Index of the examples; without any, every text gets the share of an even chance."""
+def build(
+    ids: np.ndarray, labels: np.ndarray, owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, spread: tuple[np.ndarray, int] | None = None
+) -> Index:
+    """Index of the examples; without any, every text gets the share of an even chance.
+
+    `spread` says in how many documents each term is, in ascending order of the terms, and
+    how many documents there are; without it, the examples are all documents.
+    """
     n = len(ids)
     labels = labels.astype(np.float64)
     prior = float((labels.sum() + 1) / (n + 2))
     nothing, none = np.zeros(0, np.int64), np.zeros(0)
-    index = Index(np.zeros(0, np.uint64), none, nothing, nothing, none, nothing, np.zeros((n, 0)), ids, labels, np.full(BINS, prior), prior)
+    index = Index(np.zeros(0, np.uint64), none, nothing, nothing, none, nothing, nothing, none, nothing, np.zeros((n, 0)), ids, labels, np.full(BINS, prior), prior)
     if n == 0 or len(hashes) == 0:
         return index
     terms, _, at = distinct(hashes)
     present = np.bincount(at)
     index.terms = terms
-    index.factors = (np.log((n + 1) / (present + 1)) + 1) * (1 + EXTRA * association(owner, hashes, at, len(terms), labels))
+    had, of = (present, n) if spread is None else spread
+    index.factors = (np.log((of + 1) / (had + 1)) + 1) * (1 + EXTRA * association(owner, hashes, at, len(terms), labels))
     del at
     row, term, weight = index.vectors(owner, hashes, counts, n)
     row, term = row.astype(np.int32), term.astype(np.int32)
@@ -164,9 +207,14 @@ def build(ids: np.ndarray, labels: np.ndarray, owner: np.ndarray, hashes: np.nda
     by = np.lexsort((row, term))
     by = by[column[by] < 0]
     index.examples, index.weights = row[by], weight[by]
-    index.begins = np.append(0, np.cumsum(np.where(index.columns < 0, present, 0)))
+    # A list for each term and block of examples, with its largest weight.
+    block, of_term = (index.examples // BLOCK).astype(np.int32), term[by]
+    heads = np.flatnonzero(np.concatenate([[True], (of_term[1:] != of_term[:-1]) | (block[1:] != block[:-1])])) if len(by) else nothing
+    index.blocks, index.starts = block[heads], np.append(heads, len(by))
+    index.most = np.maximum.reduceat(index.weights, heads) if len(heads) else none
+    index.begins = np.searchsorted(of_term[heads], np.arange(len(terms) + 1))
     begins = np.searchsorted(row, np.arange(n + 1))
-    del by, column
+    del by, column, block, of_term, heads
     # Calibration: each example is scored by the others.
     hits, tries = np.zeros(BINS), np.zeros(BINS)
     for me in range(n):
@@ -208,7 +256,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = Index(**shared.value)
         for batch in batches:
             for part in portions(batch, "text"):
                 n = part.num_rows
@@ -233,20 +281,68 @@ def _scored(shared, k: int):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(scores), pa.array(evidence, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc_id", "score", "evidence", "cosines"]
                 )
+        give_back()
 
     return run
 
 
+def _having(shared):
+    """A row for the task: its texts, and in how many of them each term of the examples is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        had, n = np.zeros(len(terms), np.int64), 0
+        for batch in batches:
+            for part in portions(batch, "text"):
+                _, hashes, _ = term_counts(*buffer_of(part.column(1)))
+                at = np.minimum(np.searchsorted(terms, hashes), max(0, len(terms) - 1))
+                if len(terms):
+                    had += np.bincount(at[terms[at] == hashes], minlength=len(terms))
+                n += part.num_rows
+        yield pa.RecordBatch.from_arrays([longs([n]), binaries([had])], ["n", "had"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the sums of all rows, of which it holds one batch at a time."""
+    n, had = 0, np.zeros(0, np.int64)
+    for batch in batches:
+        n += sum(batch.column(0).to_pylist())
+        for payload in batch.column(1).to_pylist():
+            more = np.frombuffer(payload, np.int64)
+            had = had + more if len(had) else more.copy()
+    if n:
+        yield pa.RecordBatch.from_arrays([longs([n]), binaries([had])], ["n", "had"])
+
+
+def spread_of(rows: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term is, and how many documents there are.
+
+    A task sends on one row, and rows are added by tasks before the driver adds the last few.
+    """
+    found = rows.mapInArrow(_having(rows.sparkSession.sparkContext.broadcast(terms)), "n long, had binary")
+    for tasks in (64, 4):
+        found = found.repartition(tasks).mapInArrow(_added, "n long, had binary")
+    summed = next(_added(iter(found.toArrow().to_batches())), None)
+    if summed is None:
+        return np.zeros(len(terms), np.int64), 0
+    return np.frombuffer(summed.column(1)[0].as_py(), np.int64), summed.column(0)[0].as_py()
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_folds: list[int] | None = None, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> Index:
-    """Index of at most `sample` labelled documents outside the held folds."""
-    chosen = labelled_sample(texts(docs, id_column, text_column), labels, label, folds, [2] if held_folds is None else held_folds, sample, ["text"])
+    """Index of at most `sample` labelled documents outside the held folds; rarity counts over all documents."""
+    rows = texts(docs, id_column, text_column)
+    chosen = labelled_sample(rows, labels, label, folds, [2] if held_folds is None else held_folds, sample, ["text"])
     table = chosen.select("doc_id", "text", "label").mapInArrow(_counted, "doc_id long, label int, terms binary, counts binary").toArrow().sort_by("doc_id")
     ids, known = (np.asarray(table.column(c).to_numpy(), np.int64) for c in ("doc_id", "label"))
     # The binary columns' own buffers hold all terms and counts, one example after the other.
     raw_terms, ends = buffer_of(table.column("terms"))
     raw_counts, _ = buffer_of(table.column("counts"))
     owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(ends) // 8)
-    return build(ids, known, owner, raw_terms.view(np.uint64), raw_counts.view(np.uint32))
+    hashes = raw_terms.view(np.uint64)
+    spread = spread_of(rows, np.unique(hashes)) if len(hashes) else None
+    return build(ids, known, owner, hashes, raw_counts.view(np.uint32), spread=spread)
 
 
 def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -257,5 +353,5 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS, id_column: str = "
     of label 1 among the examples without such terms. Null ids stay null, repeated rows
     are scored one by one, an empty table gives no rows, extra columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(index))
     return texts(docs, id_column, text_column).mapInArrow(_scored(shared, k), "doc_id long, score double, evidence array<long>, cosines array<double>")

@@ -117,3 +117,62 @@ def test_sample_is_bounded_and_never_from_held_folds(spark):
     ids = [r.doc_id for r in got.collect()]
     assert 50 < len(ids) <= 100
     assert got.where(crc_fold("doc_id", 5) == 0).count() == 0
+
+
+def test_labels_without_a_document_do_not_use_up_the_bound(spark):
+    docs = spark.range(60).selectExpr("id * 50 as doc_id", "'x' as text")
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    got = labelled_sample(docs, labels, "quality", 5, [], 40, ["text"]).collect()
+    assert len({r.doc_id for r in got}) == len(got) == 40 and {r.doc_id for r in got} <= {50 * i for i in range(60)}
+
+
+def test_of_rows_that_repeat_an_id_the_same_one_is_taken(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.range(5).selectExpr("id as doc_id", "1 as quality")
+    taken = [sorted(labelled_sample(d, labels, "quality", 5, [], 9, ["text"]).collect()) for d in (docs, docs.repartition(7), docs.orderBy("text"))]
+    assert taken[0] == taken[1] == taken[2] and len(taken[0]) == 5
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_what_is_broadcast_needs_no_package_to_be_read(spark, documents, module, tmp_path):
+    import pickle
+    import subprocess
+    import sys
+
+    inputs = {"metadata": []} if module is quality else {}
+    model = module.train(documents([(1, "good words"), (2, "bad words")]), spark.createDataFrame([(1, 1, 0), (2, 0, 1)], LABELS), **inputs)
+    (tmp_path / "model").write_bytes(pickle.dumps(vars(model)))
+    read = "import pickle, sys; sys.path = [p for p in sys.path if 'repo' not in p]; print(len(pickle.load(open('model', 'rb'))))"
+    out = subprocess.run([sys.executable, "-c", read], cwd=tmp_path, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin"})
+    assert int(out.stdout) == len(vars(model))
+
+
+@pytest.mark.parametrize("block", [8, 64])
+def test_blocks_that_cannot_matter_are_left_out(monkeypatch, block):
+    """The neighbours are those of brute force, and most blocks' postings stay unread."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    n, groups = 640, 10
+    words = np.sort(rng.integers(0, 1 << 60, (groups, 40)).astype(np.uint64), axis=1)
+    owner = np.repeat(np.arange(n), 12)
+    hashes = np.concatenate([np.sort(rng.choice(words[i * groups // n], 12, replace=False)) for i in range(n)])
+    index = toxicity.build(np.arange(n), (np.arange(n) % 3 == 0).astype(int), owner, hashes, np.ones(len(owner), np.int64))
+    row, term, weight = index.vectors(owner, hashes, np.ones(len(owner), np.int64), n)
+    dense = np.zeros((n, len(index.terms)))
+    dense[row, term] = weight
+    for i in range(0, n, 41):
+        cosines = np.round(dense @ dense[i], 9)
+        best = np.lexsort((np.arange(n), -cosines))[:15]
+        found, near = index.nearest(term[row == i], weight[row == i], 15)
+        assert found.tolist() == best[cosines[best] > 0].tolist() and np.allclose(near, cosines[found])
+    assert len(index.blocks) < len(index.examples) and (np.diff(index.starts) > 0).all()
+    assert all(index.most[k] == index.weights[index.starts[k] : index.starts[k + 1]].max() for k in range(0, len(index.most), 37))
+
+
+def test_rarity_counts_all_documents(spark, documents):
+    rows = [(i, "common rare" if i < 4 else "common") for i in range(40)]
+    index = toxicity.train(documents(rows), spark.createDataFrame([(i, 1, i % 2) for i in range(3, 9)], LABELS), "toxic", 4, [])
+    assert len(index.ids) == 6
+    had = {1 + np.log(41 / (c + 1)) for c in (40, 4)}
+    assert np.allclose(sorted(index.factors), sorted(had))
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in toxicity.spread_of(documents([]).select("doc_id", "text"), index.terms)] == [[0, 0], 0]
