@@ -43,6 +43,20 @@ def _decided(scores: DataFrame, folds: int, held: int) -> DataFrame:
     return scores.withColumn("held_out", crc_fold("doc_id", folds) == held).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def _plain_sql(text: str) -> str:
+    """A text's canonical form for licences, in SQL alone: spellings, then copyright lines, then gaps."""
+    said = f"""replace(replace(replace(replace(replace(replace(replace(lower({text}),
+      'licence', 'license'), 'sub-license', 'sublicense'), 'organisation', 'organization'), 'favour', 'favor'), 'honour', 'honor'),
+      'fulfil ', 'fulfill '), 'acknowledgement', 'acknowledgment')"""
+    said = f"""replace(replace(replace(replace(replace(replace({said}, 'merchantibility', 'merchantability'),
+      'noninfringement', 'non-infringement'), 'copyright holder', 'copyright owner'), 'https://', 'http://'), 'per cent', 'percent'), '&', ' and ')"""
+    holder = (
+        "(?m)^[^\\p{L}\\p{N}\\n]*(copyright[^\\p{L}\\p{N}\\n]*(\\(c\\)|©|[0-9]{4}|[\\[<{]|by )[^\\n]*|copyright[^\\n]*[^0-9][12][0-9]{3}[^\\n]*"
+        "|©[^\\n]*|\\(c\\)[^\\p{L}\\p{N}\\n]*([0-9]{4}|copyright)[^\\n]*|all rights reserved[^\\p{L}\\p{N}\\n]*)$"
+    )
+    return f"trim(regexp_replace(regexp_replace({said}, '{holder}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
 _COMPONENTS = """
   , reach as (select a as id, b as root from {edges} union select a, a from {edges}
     union select r.id, e.b from reach r join {edges} e on e.a = r.root)"""
@@ -99,15 +113,17 @@ def op5_sentence_pieces(spark, folder):
 
 
 @query(
-    f"""with known as (select sha256({licences.canonical_sql("text")}) as digest, min(licence) as licence
-      from (values {", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in licences.catalogue())}) k(licence, text) group by 1),
-    lines as (select distinct doc_id, {licences.canonical_sql("line")} as line
-      from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents)),
-    notes as (select doc_id, string_agg(distinct licence, ',' order by licence) as notices
-      from lines join known on digest = sha256(line) where line <> '' group by doc_id),
-    whole as (select doc_id, sha256({licences.canonical_sql("coalesce(text, '')")}) as digest from documents)
+    f"""with known as (select sha256({_plain_sql("text")}) as digest, licence
+      from (values {", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in licences.catalogue())}) k(licence, text)
+      union all select digest, licence from (values {", ".join(f"('{n}', '{d}')" for n, d in licences.LONG)}) l(licence, digest)),
+    names as (select digest, min(licence) as licence from known group by digest),
+    rows as (select row_number() over () as nr, doc_id, coalesce(text, '') as text from documents),
+    lines as (select distinct nr, {_plain_sql("line")} as line from (select nr, unnest(string_split(text, chr(10))) as line from rows)),
+    notes as (select nr, string_agg(distinct licence, ',' order by licence) as notices
+      from lines join names on digest = sha256(line) where line <> '' group by nr),
+    whole as (select nr, doc_id, sha256({_plain_sql("text")}) as digest from rows)
     select doc_id, digest, licence, coalesce(notices, '') as notices
-    from whole left join known using (digest) left join notes using (doc_id)"""
+    from whole left join names using (digest) left join notes using (nr)"""
 )
 def op7_licences(spark, folder):
     found = licences.scan(read(spark, folder, "documents"))

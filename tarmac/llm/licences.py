@@ -118,7 +118,6 @@ SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 For more information, please refer to <https://unlicense.org/>"""
 KNOWN = [
     ("MIT", _MIT_GRANT + _MIT_RULE + "\n\n" + _WARRANTY),
-    ("MIT", "MIT License\n\n" + _MIT_GRANT + _MIT_RULE + "\n\n" + _WARRANTY),
     ("MIT-0", _MIT_GRANT + ".\n\n" + _WARRANTY),
     ("ISC", _ISC_GRANT + _NOTICE_RULE + "\n\n" + _ISC_END),
     ("0BSD", _ISC_GRANT + ".\n\n" + _ISC_END),
@@ -139,13 +138,95 @@ KNOWN = [
 # Identifiers for which the tag line `SPDX-License-Identifier: ...` is a notice.
 TAGGED = ["MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|©|\(c\)|all rights reserved)[^\n]*$"
+# The titles that short licences are headed by.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+
+# A copyright line has a year, the sign, or a holder named by "by"; other lines that begin
+# with the word, such as a wrapped line of a licence's own text, and list marks stay.
+COPYRIGHT_LINE = (
+    r"(?md)^[^\p{L}\p{N}\n]*(copyright[^\p{L}\p{N}\n]*(\(c\)|©|[0-9]{4}|[\[<{]|by )[^\n]*|copyright[^\n]*[^0-9][12][0-9]{3}[^\n]*"
+    r"|©[^\n]*|\(c\)[^\p{L}\p{N}\n]*([0-9]{4}|copyright)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
+)
 GAPS = r"[^\p{L}\p{N}]+"
 
 
+# SHA-256 of the canonical form of the public texts of long licences; whole, and
+# without what follows their terms, with and without the line that ends these.
+LONG = [
+    ("Apache-2.0", "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2"),
+    ("Apache-2.0", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),
+    ("Apache-2.0", "37599287c15c2f2ec060c3c3b55bdf69e3bc7a8aeeb9cd57e18800088789538a"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "66919c3537107c2c9f5219f6ba4c41fe9c0d7c14d885087e3db69494463a778e"),
+    ("GFDL-1.3-only", "525fd4384869c81c4cbd264822942ae15202284aed28fb120ba01fc119dda9ff"),
+    ("GPL-1.0-only", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-1.0-only", "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9"),
+    ("GPL-1.0-only", "4575f8cf583cfe5694de121df7d28ae3c2043234ee2357a6bc38c20fc1856cf0"),
+    ("GPL-2.0-only", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-2.0-only", "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0"),
+    ("GPL-2.0-only", "611467176757b44c5c63b6b18b9b61a9e3d7bd13d738d6dde1cdce99fb1f12ef"),
+    ("GPL-3.0-only", "42b67f6c2a10d2b6cb4c48a2c1a454953ad6d664174e0493c9d92e45feb4b408"),
+    ("GPL-3.0-only", "158302bba42ffffd9ebd468b95aca480c990d662430ac44bb2edba378ebeb545"),
+    ("GPL-3.0-only", "53a654ec022bebac4b8c6908b7a8d7e2b63dd0b041d77833e8af6b3913048c9b"),
+    ("LGPL-2.0-only", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.0-only", "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389"),
+    ("LGPL-2.0-only", "3ea7beb964a4396aa5ad75de90dd58ff01913b237f397517e8563b7acf07d87c"),
+    ("LGPL-2.1-only", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-2.1-only", "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97"),
+    ("LGPL-2.1-only", "9c2c2afdce244f7835e438f43966f864ce47d82ebd6316bbcb123927f3280e30"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("MPL-2.0", "075fcdf87448c49dbad8c5f7963f0eb6907a3d8eae1b431ba2988508499ec0de"),
+]
+
+
+# SHA-256 of the canonical form of the public texts of long licences; whole, and
+# without what follows their terms, with and without the line that ends these.
+LONG = [
+    ("Apache-2.0", "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2"),
+    ("Apache-2.0", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),
+    ("Apache-2.0", "37599287c15c2f2ec060c3c3b55bdf69e3bc7a8aeeb9cd57e18800088789538a"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "66919c3537107c2c9f5219f6ba4c41fe9c0d7c14d885087e3db69494463a778e"),
+    ("GFDL-1.3-only", "525fd4384869c81c4cbd264822942ae15202284aed28fb120ba01fc119dda9ff"),
+    ("GPL-1.0-only", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-1.0-only", "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9"),
+    ("GPL-1.0-only", "4575f8cf583cfe5694de121df7d28ae3c2043234ee2357a6bc38c20fc1856cf0"),
+    ("GPL-2.0-only", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-2.0-only", "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0"),
+    ("GPL-2.0-only", "611467176757b44c5c63b6b18b9b61a9e3d7bd13d738d6dde1cdce99fb1f12ef"),
+    ("GPL-3.0-only", "42b67f6c2a10d2b6cb4c48a2c1a454953ad6d664174e0493c9d92e45feb4b408"),
+    ("GPL-3.0-only", "158302bba42ffffd9ebd468b95aca480c990d662430ac44bb2edba378ebeb545"),
+    ("GPL-3.0-only", "53a654ec022bebac4b8c6908b7a8d7e2b63dd0b041d77833e8af6b3913048c9b"),
+    ("LGPL-2.0-only", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.0-only", "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389"),
+    ("LGPL-2.0-only", "3ea7beb964a4396aa5ad75de90dd58ff01913b237f397517e8563b7acf07d87c"),
+    ("LGPL-2.1-only", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-2.1-only", "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97"),
+    ("LGPL-2.1-only", "9c2c2afdce244f7835e438f43966f864ce47d82ebd6316bbcb123927f3280e30"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("MPL-2.0", "075fcdf87448c49dbad8c5f7963f0eb6907a3d8eae1b431ba2988508499ec0de"),
+]
+
+
 def catalogue() -> list[tuple[str, str]]:
-    """Identifier and text of every known licence and notice."""
-    return KNOWN + [(name, f"SPDX-License-Identifier: {name}") for name in TAGGED]
+    """Identifier and text of every known short licence, with and without a title, and of every notice."""
+    titled = [(name, f"{title}\n\n{text}") for name, text in KNOWN if name in TITLES and "\n" in text for title in TITLES[name]]
+    return KNOWN + titled + [(name, f"SPDX-License-Identifier: {name}") for name in TAGGED]
 
 
 def canonical(text: Column) -> Column:
@@ -157,18 +238,26 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, GAPS, " "))
 
 
-def canonical_sql(text: str) -> str:
-    """The canonical form in SQL with RE2 patterns."""
-    out = f"lower({text})"
-    for said, meant in SPELLINGS:
-        out = f"replace({out}, '{said}', '{meant}')"
-    return f"trim(regexp_replace(regexp_replace({out}, '{COPYRIGHT_LINE}', ' ', 'g'), '{GAPS}', ' ', 'g'))"
-
-
 def digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """digest, licence: each known text once; of several identifiers of one text the first in order."""
+    """digest, licence: each known text once; of several identifiers of one text the first in order.
+
+    Without a list of one's own, the catalogue and the digests of long texts.
+    """
     table = spark.createDataFrame(known if known is not None else catalogue(), "licence string, text string")
-    return table.select("licence", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
+    told = table.select("licence", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    if known is None:
+        told = told.unionByName(spark.createDataFrame(LONG, "licence string, digest string"))
+    return told.groupBy("digest").agg(F.min("licence").alias("licence"))
+
+
+def _lines(text: Column) -> Column:
+    """The digests of a text's distinct lines that are not empty."""
+    lines = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), canonical), lambda x: x != ""))
+    return F.transform(lines, lambda x: F.sha2(x, 256))
+
+
+def _named(found: Column) -> Column:
+    return F.sort_array(F.array_distinct(found))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -177,18 +266,25 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_
     digest is that of the whole text's canonical form and licence the known text it equals
     (null: none). notices lists the distinct licences whose notice is a whole line, in
     order. A null text counts as empty; an empty canonical form is no licence; null ids
-    stay null and repeated rows are scanned one by one; an empty table gives no rows;
-    extra columns are ignored.
+    stay null and repeated rows are scanned one by one, each with its own notices; an empty
+    table gives no rows; extra columns are ignored.
 
-    Digests are joined on the side of the known texts' size, which does not depend on the
-    documents. The lines' matches are put together per document; what is shuffled are ids
-    and identifiers, not texts.
+    Whole texts' digests are joined with those of known texts. The catalogue is part of this
+    module and does not grow with the documents, so lines are looked up in it within their
+    row, and neither lines nor texts are shuffled. With a table of one's own, of any size,
+    lines are joined by their digest and put together per id and text.
     """
-    known = digests(docs.sparkSession) if known is None else known
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), canonical), lambda x: x != ""))
-    found = rows.select("doc_id", F.explode(lines).alias("line")).select("doc_id", F.sha2("line", 256).alias("digest")).join(known, "digest")
-    notices = found.groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set("licence")).alias("notices"))
-    whole = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(known, "digest", "left")
-    joined = whole.join(notices, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    return joined.select("doc_id", "digest", "licence", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    digest = F.sha2(canonical(F.col("text")), 256).alias("digest")
+    if known is None:
+        told = digests(spark).collect()
+        lookup = F.create_map(*[F.lit(x) for r in told for x in (r.digest, r.licence)])
+        notices = _named(F.filter(F.transform(_lines(F.col("text")), lambda x: lookup[x]), lambda x: x.isNotNull()))
+        whole = rows.select("doc_id", digest, notices.alias("notices"))
+        return whole.join(digests(spark), "digest", "left").select("doc_id", "digest", "licence", "notices")
+    marked = rows.select("doc_id", F.sha2("text", 256).alias("mark"), digest, _lines(F.col("text")).alias("lines"))
+    lines = marked.select("doc_id", "mark", F.explode("lines").alias("digest")).join(known, "digest")
+    found = lines.groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")).agg(F.collect_set("licence").alias("found"))
+    joined = marked.drop("lines").join(known, "digest", "left").join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
+    return joined.select("doc_id", "digest", "licence", _named(F.coalesce("found", F.array().cast("array<string>"))).alias("notices"))
