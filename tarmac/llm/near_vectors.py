@@ -17,15 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.arrays import binaries, longs, mix, runs
+from tarmac.llm.arrays import binaries, longs, mix
 from tarmac.llm.common import components
 from tarmac.llm.vectors import dimension, matrix, vectors
 from tarmac.session import written
 
-#: Vectors of unrelated content that a bucket is meant to hold, width of a projection's
-#: cells, the share of pairs at exactly the threshold that must be found, and the vectors
-#: of a bucket that one task compares at once.
-EXPECTED, WIDTH, RECALL, BLOCK = 64, 2.0, 0.99, 1024
+#: Vectors of unrelated content that a bucket of a small table is meant to hold, and how
+#: many for each square root of a larger table's rows: every table costs a copy of all
+#: vectors, and larger buckets need fewer tables. Width of a projection's cells, the share
+#: of pairs at exactly the threshold that must be found, and the vectors of a bucket that
+#: one task compares at once.
+EXPECTED, PER_ROOT, WIDTH, RECALL, BLOCK = 64, 4, 2.0, 0.99, 1024
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -39,15 +41,24 @@ def tables_for(rows: int, threshold: float, recall: float = RECALL) -> tuple[int
     """Projections in a table and number of tables.
 
     Projections grow with the logarithm of the rows, so that a bucket of unrelated
-    (orthogonal) vectors keeps its size; tables follow from the recall at the threshold.
+    (orthogonal) vectors grows with the square root of the rows only; tables follow from
+    the recall at the threshold.
     """
     near, far = collision(math.sqrt(2 - 2 * threshold)), collision(math.sqrt(2))
-    bits = max(1, math.ceil(math.log(max(2.0, rows / EXPECTED)) / -math.log(far)))
+    expected = max(EXPECTED, PER_ROOT * math.sqrt(rows))
+    bits = max(1, math.ceil(math.log(max(2.0, rows / expected)) / -math.log(far)))
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**bits)))
 
 
-def _hashed(dim: int, bits: int, tables: int, seed: int):
-    """Rows for every table: bucket, and the vector with all its bucket numbers."""
+def units_of(rows: np.ndarray) -> np.ndarray:
+    """The rows with length one, in double precision; none may be zero."""
+    rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(axis=1, initial=0)[:, None]
+    return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+
+
+def _hashed(dim: int, bits: int, tables: int, seed: int, kind: type = np.float64):
+    """Rows for every table: bucket, id, how many vectors are equal to it, the vector as it came, all its bucket numbers."""
     rng = np.random.default_rng(seed)
     directions, shifts = rng.standard_normal((dim, bits * tables)), rng.uniform(0, WIDTH, bits * tables)
     multipliers = rng.integers(1, 1 << 62, bits * tables, dtype=np.uint64) | np.uint64(1)
@@ -57,17 +68,16 @@ def _hashed(dim: int, bits: int, tables: int, seed: int):
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 ids, rows = np.asarray(part.column(0), np.int64), matrix(part.column(1), dim)
-                largest = np.abs(rows).max(axis=1, initial=0)
-                ids, rows, largest = ids[largest > 0], rows[largest > 0], largest[largest > 0]
-                rows = rows / largest[:, None]
-                rows /= np.sqrt((rows * rows).sum(axis=1))[:, None]
-                cells = np.floor((rows @ directions + shifts) / WIDTH).astype(np.int64).astype(np.uint64)
+                times = np.asarray(part.column(2), np.int64) if part.num_columns > 2 else np.ones(len(ids), np.int64)
+                some = np.abs(rows).max(axis=1, initial=0) > 0
+                ids, rows, times = ids[some], rows[some], times[some]
+                cells = np.floor((units_of(rows) @ directions + shifts) / WIDTH).astype(np.int64).astype(np.uint64)
                 buckets = mix((cells * multipliers).reshape(len(ids), tables, bits).sum(axis=2, dtype=np.uint64))
-                codes = (buckets >> np.uint64(32)).astype(np.uint32)
-                packed, coded = binaries(list(rows)), binaries(list(codes))
+                packed, coded = binaries(list(rows.astype(kind))), binaries(list(buckets))
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(ids), t, np.int32)), longs(buckets[:, t].view(np.int64)), longs(ids), packed, coded], ["t", "bucket", "vec_id", "unit", "codes"]
+                        [pa.array(np.full(len(ids), t, np.int32)), longs(buckets[:, t].view(np.int64)), longs(ids), longs(times), packed, coded],
+                        ["t", "bucket", "vec_id", "times", "vector", "codes"],
                     )
 
     return run
@@ -86,9 +96,14 @@ def link_groups(linked: np.ndarray) -> np.ndarray:
 
 
 def compare(table: int, left: tuple, right: tuple | None, threshold: float):
-    """Link counts and edges of two blocks of a bucket, or of one block with itself."""
-    ids, units, codes = left
-    other_ids, other_units, other_codes = right or left
+    """Link counts and edges of two blocks of a bucket, or of one block with itself.
+
+    A block is ids, unit vectors, bucket numbers and, where equal vectors are one, how
+    many each stands for.
+    """
+    ids, units, codes, times = left if len(left) == 4 else (*left, np.ones(len(left[0]), np.int64))
+    other = right or left
+    other_ids, other_units, other_codes, other_times = other if len(other) == 4 else (*other, np.ones(len(other[0]), np.int64))
     linked = units @ other_units.T >= threshold
     if right is None:
         np.fill_diagonal(linked, False)
@@ -101,16 +116,16 @@ def compare(table: int, left: tuple, right: tuple | None, threshold: float):
         touched = linked.any(axis=1)
         group = link_groups(linked)
         edges = np.stack([ids, ids[group]], axis=1)[touched]
-        return ids[touched], linked.sum(axis=1)[touched], edges
+        return ids[touched], (linked @ times)[touched], edges
     whole = np.zeros((len(ids) + len(other_ids),) * 2, dtype=bool)
     whole[: len(ids), len(ids) :] = linked
     whole[len(ids) :, : len(ids)] = linked.T
-    both, degrees = np.concatenate([ids, other_ids]), whole.sum(axis=1)
+    both, degrees = np.concatenate([ids, other_ids]), whole @ np.concatenate([times, other_times])
     edges = np.stack([both, both[link_groups(whole)]], axis=1)
     return both[degrees > 0], degrees[degrees > 0], edges[degrees > 0]
 
 
-def _linked(dim: int, tables: int, threshold: float):
+def _linked(dim: int, tables: int, threshold: float, kind: type = np.float64):
     """For each cell (a bucket, or two blocks of a large one): vec_id, partner counts, an edge.
 
     Cells arrive one after the other; what a task holds is one cell of at most two blocks.
@@ -118,13 +133,13 @@ def _linked(dim: int, tables: int, threshold: float):
 
     def results(cell: list[tuple]) -> pa.RecordBatch | None:
         keys, parts = cell[0][0], [np.concatenate(x) for x in zip(*(c[1] for c in cell), strict=True)]
-        sides, ids, units, codes = parts
-        table, i, j = keys[0], keys[2], keys[3]
+        sides, ids, rows, codes, times = parts
+        table, i, j, units = keys[0], keys[2], keys[3], units_of(rows)
         if i == j:
-            out = compare(table, (ids, units, codes), None, threshold)
+            out = compare(table, (ids, units, codes, times), None, threshold)
         else:
             first = sides == i
-            out = compare(table, (ids[first], units[first], codes[first]), (ids[~first], units[~first], codes[~first]), threshold)
+            out = compare(table, *((ids[x], units[x], codes[x], times[x]) for x in (first, ~first)), threshold)
         if len(out[0]) == 0:
             return None
         return pa.RecordBatch.from_arrays([longs(out[0]), longs(out[1]), longs(out[2][:, 1])], ["vec_id", "links", "group"])
@@ -132,9 +147,9 @@ def _linked(dim: int, tables: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            t, bucket, i, j, side, ids = (np.asarray(batch.column(c), np.int64) for c in range(6))
-            units = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.float64).reshape(-1, dim)
-            codes = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, tables)
+            t, bucket, i, j, side, ids, times = (np.asarray(batch.column(c), np.int64) for c in range(7))
+            rows = np.frombuffer(b"".join(batch.column(7).to_pylist()), kind).reshape(-1, dim)
+            codes = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(-1, tables)
             keys = np.stack([t, bucket, i, j], axis=1)
             starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else []
             for s, e in zip(starts, [*starts[1:], len(keys)], strict=True):
@@ -143,7 +158,7 @@ def _linked(dim: int, tables: int, threshold: float):
                     if (out := results(held)) is not None:
                         yield out
                     held = []
-                held.append((key, (side[s:e], ids[s:e], units[s:e], codes[s:e])))
+                held.append((key, (side[s:e], ids[s:e], rows[s:e], codes[s:e], times[s:e])))
         if held and (out := results(held)) is not None:
             yield out
 
@@ -162,28 +177,43 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, recall: float
     vector, the first in the order of their components; a null id gives a row with null
     component_id and kept false. An empty table gives no rows. Extra columns are ignored.
 
-    A bucket of more than `BLOCK` vectors is dealt out as pairs of blocks, so one task
+    Equal vectors link, and are one before anything is compared: a group of copies costs a
+    row. A bucket of more than `BLOCK` vectors is dealt out as pairs of blocks, so one task
     never holds more than two blocks, however many rows share a bucket.
     """
     every = embeddings.select(F.col(id_column).cast("long").alias("vec_id"))
-    rows = written(vectors(embeddings, id_column, vector_column).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "near-vectors")
-    dim, n = dimension(rows), rows.count()
-    bits, tables = tables_for(n, threshold, recall)
-    hashed = rows.mapInArrow(_hashed(dim, bits, tables, seed), "t int, bucket long, vec_id long, unit binary, codes binary")
+    rows = vectors(embeddings, id_column, vector_column).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # Two 64-bit hashes stand for a vector.
+    marks = [F.xxhash64("embedding").alias("m1"), F.xxhash64("embedding", F.lit(1)).alias("m2")]
+    rows = written(rows.select("vec_id", "embedding", *marks), "near-vectors")
+    dim, kind = dimension(rows), np.float32 if "array<float>" in dict(embeddings.dtypes)[vector_column] else np.float64
+    alike = rows.groupBy("m1", "m2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("times"))
+    alike = written(alike, "near-equal")
+    firsts = rows.select("vec_id", "embedding").join(alike.select(F.col("first").alias("vec_id"), "times"), "vec_id")
+    bits, tables = tables_for(alike.count(), threshold, recall)
+    hashed = firsts.mapInArrow(_hashed(dim, bits, tables, seed, kind), "t int, bucket long, vec_id long, times long, vector binary, codes binary")
+    hashed = written(hashed, "near-hashed")
     sizes = hashed.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = hashed.join(sizes, ["t", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
     sized = sized.withColumn("side", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = sized.withColumn("other", partner).select(
-        "t", "bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "vec_id", "unit", "codes"
+        "t", "bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "vec_id", "times", "vector", "codes"
     )
     grouped = cells.repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j")
-    found = written(grouped.mapInArrow(_linked(dim, tables, threshold), "vec_id long, links long, group long"), "near-links")
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    roots = components(found.select(F.col("vec_id").alias("a"), F.col("group").alias("b"))).withColumnRenamed("node", "vec_id")
+    found = written(grouped.mapInArrow(_linked(dim, tables, threshold, kind), "vec_id long, links long, group long"), "near-links")
+    counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.col("vec_id").alias("a"), F.col("group").alias("b"))).withColumnRenamed("node", "first")
+    # What the first of equal vectors has found holds for all of them; a vector without length has no equal.
+    zero = F.forall("embedding", lambda x: x == 0)
+    members = rows.select("vec_id", "m1", "m2", zero.alias("zero")).join(alike, ["m1", "m2"]).where("not zero")
+    told = (
+        members.select("vec_id", "first", "times")
+        .join(counts.withColumnRenamed("vec_id", "first"), "first", "left")
+        .join(roots, "first", "left")
+        .select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "first").alias("root"))
+    )
     root = F.coalesce("root", "vec_id")
-    return (
-        every.join(counts, "vec_id", "left")
-        .join(roots, "vec_id", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(root == F.col("vec_id"), F.lit(False)).alias("kept"))
+    return every.join(told, "vec_id", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(root == F.col("vec_id"), F.lit(False)).alias("kept")
     )

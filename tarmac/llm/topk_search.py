@@ -23,8 +23,9 @@ from tarmac.llm.vectors import dimension, matrix, vectors
 from tarmac.session import written
 
 #: Vectors in a bucket, queries in a block, coordinates looked at, and the local cosine
-#: threshold from which coordinates are looked at.
-BUCKET, QUERIES, FOCUS, STEEP = 2048, 256, 4, 0.7
+#: threshold from which coordinates are looked at; query blocks in a group, and parts that
+#: the buckets of a group are dealt into.
+BUCKET, QUERIES, FOCUS, STEEP, GROUP, SALTS = 2048, 256, 4, 0.7, 256, 64
 
 _BLOCK = "block long, top double, ids binary, parts binary"
 
@@ -175,8 +176,10 @@ def top_k(embeddings: DataFrame, is_query: str, k: int = 10, scale: int = 1024,
     are ignored.
 
     Only the `BUCKET` longest vectors go to the driver, and from there to the queries;
-    that number does not grow. A vector met by a third of all rows fills several buckets,
-    because buckets are ranges of (length, id).
+    that number does not grow; of each group of `GROUP` query blocks it gets two numbers. A
+    vector met by a third of all rows fills several buckets, because buckets are ranges of
+    (length, id). Where all vectors have one length, no bucket can be left out: every query
+    block meets every bucket, and only coordinates prune.
     """
     spark = embeddings.sparkSession
     rows = written(vectors(embeddings, id_column, vector_column), "topk")
@@ -196,11 +199,19 @@ def top_k(embeddings: DataFrame, is_query: str, k: int = 10, scale: int = 1024,
         ),
         "topk-queries",
     )
-    # Bucket and query block meet under (query block, salt), so that few query blocks still make many tasks.
-    salts = max(1, min(64, blocks.count()))
-    salted_queries = qblocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted_blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-    cells = salted_blocks.join(salted_queries, "salt").where("top * qtop * 1.000001 >= least")
+    # Bucket and query block meet under (group of query blocks, salt), so that few query blocks
+    # still make many tasks. A bucket goes to a group only if its largest length can matter there.
+    groups = max(1, -(-qblocks.count() // GROUP))
+    grouped = qblocks.withColumn("grp", F.pmod(F.xxhash64("qblock"), F.lit(groups)).cast("int"))
+    reach = grouped.groupBy("grp").agg(F.max("qtop").alias("qtop"), F.min("least").alias("least")).collect()
+    salts = max(1, min(SALTS, blocks.count()))
+    salted_queries = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    told = [F.struct(F.lit(r.grp).alias("grp"), F.lit(r.qtop).alias("qtop"), F.lit(r.least).alias("least")) for r in reach]
+    every = F.array(*told) if told else F.array().cast("array<struct<grp:int,qtop:double,least:double>>")
+    near = F.filter(every, lambda g: F.col("top") * g["qtop"] * 1.000001 >= g["least"])
+    salted_blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).withColumn("grp", F.explode(F.transform(near, lambda g: g["grp"])))
+    # Both sides grow with the table: they are shuffled and merged, neither is sent to all.
+    cells = salted_blocks.hint("merge").join(salted_queries.hint("merge"), ["grp", "salt"]).where("top * qtop * 1.000001 >= least")
     found = cells.select("ids", "parts", "qids", "qparts", "floors").mapInArrow(_cells(dim, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

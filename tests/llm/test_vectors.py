@@ -131,3 +131,48 @@ def test_products_of_any_size():
     assert products(big, big, 2.0**80)[0, 0] == (1 << 63) - 1
     assert products(np.array([[1 << 28, 3]]), np.array([[1 << 28, 5]]), 2.0**57)[0, 0] == (1 << 56) + 15
     assert list(search_bucket(big[:0], np.zeros(0, int), np.zeros(0), big, np.array([1]), 10)) == []
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.9])
+def test_recall_of_the_tables_of_a_large_table(threshold):
+    """A hundred thousand vectors, half of them at exactly the threshold from the other half."""
+    from tarmac.llm.near_vectors import _hashed
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(7), 50_000
+    a = rng.standard_normal((n, 16))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.standard_normal((n, 16))
+    b -= (a * b).sum(1)[:, None] * a
+    b = threshold * a + math.sqrt(1 - threshold**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    bits, tables = tables_for(2 * n, threshold, 0.99)
+    both = np.concatenate([a, b])
+    shared = np.zeros(n, dtype=bool)
+    codes = np.zeros((tables, 2 * n), np.int64)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(both.ravel()), 16).cast(pa.list_(pa.float64()))
+    for out in _hashed(16, bits, tables, 3)(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(2 * n)), flat], ["vec_id", "embedding"])])):
+        codes[np.asarray(out.column(0)), np.asarray(out.column(2))] = np.asarray(out.column(1))
+    for t in range(tables):
+        shared |= codes[t, :n] == codes[t, n:]
+    assert shared.mean() >= 0.985
+
+
+def test_equal_vectors_are_one_before_they_are_compared(spark, monkeypatch):
+    """A group of copies costs a row: no cell has more vectors than there are different ones."""
+    from tarmac.llm import near_vectors
+
+    seen = []
+    real = near_vectors._hashed
+    monkeypatch.setattr(near_vectors, "tables_for", lambda rows, *_: seen.append(rows) or (1, 2))
+    monkeypatch.setattr(near_vectors, "_hashed", real)
+    rows = [(i, [1.0, 0.0]) for i in range(500)] + [(500 + i, [1.0, 0.01 * i]) for i in range(1, 4)] + [(900, [0.0, 0.0]), (901, [0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(table(spark, rows), 0.9).collect()}
+    assert seen == [5]
+    assert all(got[i] == (502, 0, i == 0) for i in range(503) if i != 500) and got[900] == (0, 900, True) and got[901] == (0, 901, True)
+
+
+def test_top_k_sends_no_side_to_all(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(400)]
+    plan = top_k(table(spark, rows), "vec_id % 100 = 0")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
