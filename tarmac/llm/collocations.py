@@ -5,7 +5,9 @@ extension of the intervals of the Burrows-Wheeler transform lists all phrases of
 to a length, with their counts; the transform of the reversed shard is extended in step, so
 that each phrase knows both the phrase without its first and without its last word. Counts
 are summed over the shards. What is rare in all documents is cut out of the shards between
-the rounds (words, pairs, longer phrases), for a phrase is no more frequent than its parts.
+the rounds (words, pairs, triples), for a phrase is no more frequent than its parts. Pairs
+and triples are cut by part of their hash: what shares it is counted together, so
+that some rare ones stay and no frequent one goes; exact counts are asked of what is left.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.arrays import LOWER, buffer_of, distinct, expand, longs, mix, prefix_hashes, runs, span_hashes, words
-from tarmac.llm.exchange import answered, asked_again, batched, bucket_edges, buckets_for, deltas, dump, load, sums, told
+from tarmac.llm.exchange import answered, asked_again, batched, bucket_edges, buckets_of, deltas, dump, forget, load, sums, told
 from tarmac.session import written
 
 #: Bytes between pieces, `[.,;:!?\x0A-\x0D]`, and those and `[\x20\x09]` between words.
@@ -29,6 +31,9 @@ GAPS[[0x20, 0x09]] = True
 #: the parts that a language's phrases are ranked in first.
 LANGUAGE, BASE, SALTS = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95), 64
 
+#: Bits of a short hash more than it takes to number the bytes of all texts.
+SPARE = 6
+
 _FOUND = "lang string, phrase string, a long, n long, ls array<long>, rs array<long>, hash long, head long, tail long"
 
 
@@ -116,6 +121,15 @@ def phrases(ids: np.ndarray, hashes: np.ndarray, depth: int) -> list[Phrases]:
     return levels
 
 
+def short_bits(size: int) -> np.uint64:
+    """The bits of a hash by which pairs and triples are cut, for texts of so many bytes.
+
+    They grow with the texts, so that the share of those that have another's stays small.
+    """
+    bits = min(64, size.bit_length() + SPARE)
+    return np.uint64(((1 << bits) - 1) << (64 - bits))
+
+
 def _take_spans(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return buf[expand(starts, lengths)]
 
@@ -127,18 +141,18 @@ def _questions(asked: np.ndarray, counts: np.ndarray, buckets: int) -> list[tupl
 
 
 def _totals(asked: np.ndarray, replies: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Count over all shards of each asked hash, 0 for a rare one, and whether this shard speaks for it."""
+    """Count over all shards of each asked hash, 0 for a rare one (1 if it was not told), and whether this shard speaks for it."""
     totals, ours = np.zeros(len(asked), np.int64), np.zeros(len(asked), dtype=bool)
     edges = bucket_edges(asked, buckets)
     for bucket, reply in replies.items():
-        places, counts, first = load(reply)
+        places, *more = load(reply)
         at = edges[bucket] + sums(places).astype(np.int64)
-        totals[at], ours[at] = counts, first.astype(bool)
+        totals[at], ours[at] = (more[0], more[1].astype(bool)) if more else (1, False)
     return totals, ours
 
 
-def _summed(least: int):
-    """A bucket's answer: the hashes that occur at least `least` times in all shards."""
+def _summed(least: int, counted: bool = True):
+    """A bucket's answer: which hashes occur at least `least` times in all shards, and if `counted` how often."""
 
     def answer(payloads: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         loaded = [load(p) for p in payloads]
@@ -153,7 +167,8 @@ def _summed(least: int):
             mine = which[start : start + len(a)]
             start += len(a)
             often = np.flatnonzero(totals[mine] >= least)
-            answers.append(dump(deltas(often.astype(np.uint32)), totals[mine[often]], (speaks[mine[often]] == i).astype(np.uint8)) if len(often) else b"")
+            more = (totals[mine[often]], (speaks[mine[often]] == i).astype(np.uint8)) if counted else ()
+            answers.append(dump(deltas(often.astype(np.uint32)), *more) if len(often) else b"")
         return answers, []
 
     return answer
@@ -169,7 +184,7 @@ def _shard(buckets: int):
             buf, offsets = buffer_of(part.column(1))
             buf = LOWER[buf]
             starts, ends, owner = words(buf, offsets, GAPS)
-            of_text = np.array([names.setdefault(x, len(names)) for x in part.column(0).to_pylist()], np.int64)
+            of_text = np.array([names.setdefault(x, len(names)) for x in part.column(0).to_pylist()], np.int32)
             piece = np.concatenate([[0], np.cumsum(ENDS[buf], dtype=np.int64)])[starts] + owner
             hashes = span_hashes(prefix_hashes(buf), starts, ends)
             language.append(of_text[owner])
@@ -198,7 +213,9 @@ def _shard(buckets: int):
         breaks = np.concatenate(breaks) if breaks else np.zeros(0, bool)
         ids = np.zeros(len(which) + int(breaks.sum()) + 1, np.uint32)
         ids[np.arange(len(which)) + np.cumsum(breaks)] = which + 1
+        del met, spelled, pieces
         body = dump(ids, deltas(known), language[place].astype(np.uint32), lengths.astype(np.uint32), spelling, names_at, names_buf, seeds)
+        del ids
         asked = np.concatenate([known, mix(seeds ^ LANGUAGE)])
         counts = np.concatenate([np.bincount(which, minlength=len(known)), np.bincount(language, minlength=len(seeds))])
         order = np.argsort(asked)
@@ -207,12 +224,17 @@ def _shard(buckets: int):
     return make
 
 
-def _kept_ids(ids: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sequence with new ids 1, 2, ... for those to keep and one separator for any run of others; and which are kept."""
+def _kept_ids(ids: np.ndarray, keep: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence with new ids for those to keep and one separator for any run of others; and which are kept.
+
+    The most frequent word is 1, so that most ids are small numbers and take little room.
+    """
+    kept = np.flatnonzero(keep)
+    kept = kept[np.argsort(-often[kept], kind="stable")]
     new = np.zeros(len(keep) + 1, np.uint32)
-    new[1:][keep] = np.arange(1, int(keep.sum()) + 1)
+    new[1 + kept] = np.arange(1, len(kept) + 1)
     out = new[ids]
-    return out[np.concatenate([[True], (out[1:] != 0) | (out[:-1] != 0)])], np.flatnonzero(keep)
+    return out[np.concatenate([[True], (out[1:] != 0) | (out[:-1] != 0)])], kept
 
 
 def _spelled(lengths: np.ndarray, spelling: np.ndarray, kept: np.ndarray) -> np.ndarray:
@@ -220,15 +242,58 @@ def _spelled(lengths: np.ndarray, spelling: np.ndarray, kept: np.ndarray) -> np.
     return _take_spans(spelling, begins[kept], lengths[kept].astype(np.int64))
 
 
-def _without_rare_words(buckets: int):
-    """Body: the shard with frequent words only. Question: counts of pairs."""
+def _merged(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in ascending order and the sum of the counts of each."""
+    known, _, which = distinct(hashes)
+    return known, np.bincount(which, weights=counts, minlength=len(known)).astype(np.int64)
+
+
+def runs_of(ids: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where k ids stand together, and the hash of the phrase they make."""
+    there = ids != 0
+    whole = np.ones(max(0, len(ids) - k + 1), dtype=bool)
+    for j in range(k):
+        whole &= there[j : j + len(whole)]
+    at = np.flatnonzero(whole)
+    out = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        out = out * BASE + hashes[ids[at + j] - 1]
+    return at, out
+
+
+def stretches(ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The sequence without what is in none of the runs of k ids that begin at these places."""
+    linked = np.zeros(len(ids), dtype=bool)
+    for j in range(k - 1):
+        linked[at + j] = True
+    # A place stays if it is in such a run; what is not linked to the next is parted by a 0.
+    stays = linked | np.concatenate([[False], linked[:-1]])
+    width = stays.astype(np.int64) + (stays & ~linked)
+    begins = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()) + 1, np.uint32)
+    out[1 + begins[stays]] = ids[stays]
+    return out
+
+
+def _phrases_of(ids: np.ndarray, hashes: np.ndarray, depth: int) -> list[Phrases]:
+    return phrases(ids, np.concatenate([np.zeros(1, np.uint64), hashes]), depth)
+
+
+def _together(levels: list[Phrases]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of all phrases of these lengths."""
+    return np.concatenate([np.zeros(0, np.uint64), *(p.hashes for p in levels)]), np.concatenate([np.zeros(0, np.int64), *(p.counts for p in levels)])
+
+
+def _without_rare_words(buckets: int, short: np.uint64):
+    """Body: the shard with frequent words only. Question: counts of pairs, by their short hashes."""
 
     def tell(body: bytes, replies: dict[int, bytes]) -> tuple[bytes, list[tuple[int, bytes]]] | None:
         ids, known, language, lengths, spelling, names_at, names_buf, seeds = load(body)
         known = sums(known)
         asked = np.sort(np.concatenate([known, mix(seeds ^ LANGUAGE)]))
         totals, _ = _totals(asked, replies, buckets)
-        ids, kept = _kept_ids(ids, totals[np.searchsorted(asked, known)] > 0)
+        often = totals[np.searchsorted(asked, known)]
+        ids, kept = _kept_ids(ids, often > 0, often)
         if len(kept) == 0:
             return None
         hashes = known[kept]
@@ -236,46 +301,58 @@ def _without_rare_words(buckets: int):
         starts, sizes, by = index.roots()
         _, counts, tail, first, _ = index.extended(starts, sizes, starts)
         pairs = hashes[by[tail] - 1] + hashes[first - 1] * BASE
-        order = np.argsort(pairs)
         everything = totals[np.searchsorted(asked, mix(seeds ^ LANGUAGE))]
-        new = dump(ids, hashes, language[kept], lengths[kept], _spelled(lengths, spelling, kept), names_at, names_buf, totals[np.searchsorted(asked, hashes)], everything)
-        return new, _questions(pairs[order], counts[order], buckets)
+        new = dump(ids, hashes, language[kept], lengths[kept], _spelled(lengths, spelling, kept), names_at, names_buf, often[kept], everything)
+        return new, _questions(*_merged(pairs & short, counts), buckets)
 
     return tell
 
 
-def _without_rare_pairs(buckets: int, depth: int):
-    """Body: the stretches of frequent pairs. Question: counts of longer phrases."""
+def _without_rare_pairs(buckets: int, depth: int, short: np.uint64):
+    """Body: the stretches of pairs that may be frequent. Question: counts of pairs, and of triples by their short hashes."""
 
     def tell(body: bytes, replies: dict[int, bytes]) -> tuple[bytes, list[tuple[int, bytes]]] | None:
         ids, hashes, language, lengths, spelling, names_at, names_buf, often, everything = load(body)
-        both = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
-        pairs, _, which = distinct(hashes[ids[both + 1] - 1] + hashes[ids[both] - 1] * BASE)
-        totals, ours = _totals(pairs, replies, buckets)
-        linked = np.zeros(len(ids), dtype=bool)
-        linked[both] = totals[which] > 0
-        # A place stays if it is in a frequent pair; what is not linked is parted by a 0.
-        stays = linked | np.concatenate([[False], linked[:-1]])
-        ended = stays & ~linked
-        if not linked.any():
+        at, pairs = runs_of(ids, hashes, 2)
+        asked, _, which = distinct(pairs & short)
+        totals, _ = _totals(asked, replies, buckets)
+        at = at[totals[which] > 0]
+        if len(at) == 0:
             return None
-        width = stays.astype(np.int64) + ended
-        at = np.cumsum(width) - width
-        stretches = np.zeros(int(width.sum()) + 1, np.uint32)
-        stretches[1 + at[stays]] = ids[stays]
+        ids = stretches(ids, at, 2)
         there = np.zeros(len(hashes), dtype=bool)
-        there[ids[stays] - 1] = True
-        ids, kept = _kept_ids(stretches, there)
+        there[ids[ids != 0] - 1] = True
+        ids, kept = _kept_ids(ids, there, often)
         hashes = hashes[kept]
-        listed = phrases(ids, np.concatenate([np.zeros(1, np.uint64), hashes]), depth)[2:]
-        asked = np.concatenate([p.hashes for p in listed]) if listed else np.zeros(0, np.uint64)
-        counts = np.concatenate([p.counts for p in listed]) if listed else np.zeros(0, np.int64)
-        order, frequent = np.argsort(asked), totals > 0
-        new = dump(
-            ids, hashes, language[kept], lengths[kept], _spelled(lengths, spelling, kept), names_at, names_buf, often[kept], everything,
-            pairs[frequent], totals[frequent], ours[frequent].astype(np.uint8),
-        )
-        return new, _questions(asked[order], counts[order], buckets)
+        levels = _phrases_of(ids, hashes, min(3, depth))
+        triples, counts = _together(levels[2:])
+        triples, counts = _merged(triples & short, counts)
+        pairs, times = _together(levels[1:2])
+        new = dump(ids, hashes, language[kept], lengths[kept], _spelled(lengths, spelling, kept), names_at, names_buf, often[kept], everything)
+        return new, _questions(*_merged(np.concatenate([pairs, triples]), np.concatenate([times, counts])), buckets)
+
+    return tell
+
+
+def _without_rare_triples(buckets: int, depth: int, short: np.uint64):
+    """Body: the stretches of triples that may be frequent, and the frequent pairs. Question: counts of phrases of three ids and more."""
+
+    def tell(body: bytes, replies: dict[int, bytes]) -> tuple[bytes, list[tuple[int, bytes]]] | None:
+        ids, hashes, language, lengths, spelling, names_at, names_buf, often, everything = load(body)
+        at, pairs = runs_of(ids, hashes, 2)
+        known, place, _ = distinct(pairs)
+        begins, triples = runs_of(ids, hashes, 3) if depth > 2 else (at[:0], pairs[:0])
+        asked = distinct(np.concatenate([known, triples & short]))[0]
+        totals, ours = _totals(asked, replies, buckets)
+        where = np.searchsorted(asked, known)
+        frequent = totals[where] > 0
+        place, where = at[place[frequent]], where[frequent]
+        ids_of_pairs = np.stack([ids[place], ids[place + 1]])
+        held = (known[frequent], totals[where], ours[where].astype(np.uint8), ids_of_pairs[0], ids_of_pairs[1])
+        ids = stretches(ids, begins[totals[np.searchsorted(asked, triples & short)] > 0], 3)
+        longer, counts = _together(_phrases_of(ids, hashes, depth)[2:])
+        order = np.argsort(longer)
+        return dump(ids, hashes, language, lengths, spelling, names_at, names_buf, often, everything, *held), _questions(longer[order], counts[order], buckets)
 
     return tell
 
@@ -284,50 +361,52 @@ def _frequent(buckets: int, depth: int):
     """The frequent phrases that this shard speaks for, with the counts of the two parts of every cut."""
 
     def tell(body: bytes, replies: dict[int, bytes]) -> pa.Table:
-        ids, hashes, language, lengths, spelling, names_at, names_buf, often, everything, pairs, of_pairs, ours_of_pairs = load(body)
-        levels = phrases(ids, np.concatenate([np.zeros(1, np.uint64), hashes]), depth)
-        asked = np.concatenate([p.hashes for p in levels[2:]]) if levels[2:] else np.zeros(0, np.uint64)
+        ids, hashes, language, lengths, spelling, names_at, names_buf, often, everything, pairs, of_pairs, ours_of_pairs, one, two = load(body)
+        begins = np.cumsum(lengths, dtype=np.int64) - lengths
+        letters, places = spelling.tobytes(), names_at.tolist()
+        texts = [letters[b : b + n] for b, n in zip(begins.tolist(), lengths.tolist(), strict=True)]
+        langs = [names_buf.tobytes()[b:e].decode() for b, e in zip(places[:-1], places[1:], strict=True)]
+        columns: list[list] = [[] for _ in range(9)]
+
+        def put(words: np.ndarray, a: np.ndarray, ls: np.ndarray, rs: np.ndarray, whole: np.ndarray, head: np.ndarray, tail: np.ndarray) -> None:
+            of = language[words[:, 0] - 1]
+            spelled = [b" ".join(texts[i - 1] for i in row).decode() for row in words.tolist()]
+            marks = [x.view(np.int64).tolist() for x in (whole, head, tail)]
+            for column, values in zip(columns, ([langs[i] for i in of], spelled, a.tolist(), everything[of].tolist(), ls.tolist(), rs.tolist(), *marks), strict=True):
+                column += values
+
+        mine = ours_of_pairs.astype(bool)
+        if mine.any():
+            first, second = one[mine] - 1, two[mine] - 1
+            put(np.stack([one[mine], two[mine]], axis=1), of_pairs[mine], often[first][:, None], often[second][:, None], pairs[mine], hashes[first], hashes[second])
+        levels = _phrases_of(ids, hashes, depth)
+        asked, _ = _together(levels[2:])
         order = np.argsort(asked)
         sorted_totals, sorted_ours = _totals(asked[order], replies, buckets)
         totals, ours = np.zeros(len(asked), np.int64), np.zeros(len(asked), dtype=bool)
         totals[order], ours[order] = sorted_totals, sorted_ours
-        at = np.searchsorted(pairs, levels[1].hashes)
-        counts = [often[levels[0].first - 1], of_pairs[at]]
-        speaks = [np.zeros(len(levels[0].first), bool), ours_of_pairs[at].astype(bool)]
+        # A pair of these stretches may be rare if its hash is not: it counts 0, and no frequent phrase holds it.
+        at = np.minimum(np.searchsorted(pairs, levels[1].hashes), max(0, len(pairs) - 1))
+        counts = [often[levels[0].first - 1], np.where(pairs[at] == levels[1].hashes, of_pairs[at], 0) if len(pairs) else np.zeros(len(at), np.int64)]
         start = 0
-        for p in levels[2:]:
-            counts.append(totals[start : start + len(p.hashes)])
-            speaks.append(ours[start : start + len(p.hashes)])
+        for k in range(2, len(levels)):
+            p = levels[k]
+            mine = slice(start, start + len(p.hashes))
             start += len(p.hashes)
-        begins = np.cumsum(lengths, dtype=np.int64) - lengths
-        letters, places = spelling.tobytes(), names_at.tolist()
-        texts = [letters[b : b + n] for b, n in zip(begins.tolist(), lengths.tolist(), strict=True)]
-        langs = [names_buf.tobytes()[b:e].decode() for b, e in zip(places[:-1], places[1:], strict=True)]
-        columns: list[list] = [[] for _ in range(9)]
-        for k in range(1, len(levels)):
-            chosen = np.flatnonzero(speaks[k] & (counts[k] > 0))
+            counts.append(totals[mine])
+            chosen = np.flatnonzero(ours[mine] & (totals[mine] > 0))
             if len(chosen) == 0:
                 continue
             # Heads and tails of each length, and the ids, by going down the levels.
-            heads, tails, first = {k: chosen}, {k: chosen}, []
+            heads, tails, words = {k: chosen}, {k: chosen}, []
             for level in range(k, 0, -1):
                 heads[level - 1] = levels[level].head[heads[level]]
-                first.append(levels[level].first[tails[level]])
+                words.append(levels[level].first[tails[level]])
                 tails[level - 1] = levels[level].tail[tails[level]]
-            first.append(levels[0].first[tails[0]])
-            spelled = [b" ".join(texts[i - 1] for i in row).decode() for row in np.stack(first, axis=1).tolist()]
-            of = language[first[0] - 1]
+            words.append(levels[0].first[tails[0]])
             ls = np.stack([counts[j][heads[j]] for j in range(k)], axis=1)
             rs = np.stack([counts[k - 1 - j][tails[k - 1 - j]] for j in range(k)], axis=1)
-            for column, values in zip(
-                columns,
-                (
-                    [langs[i] for i in of], spelled, counts[k][chosen].tolist(), everything[of].tolist(), ls.tolist(), rs.tolist(),
-                    levels[k].hashes[chosen].view(np.int64).tolist(), levels[k - 1].hashes[heads[k - 1]].view(np.int64).tolist(), levels[k - 1].hashes[tails[k - 1]].view(np.int64).tolist(),
-                ),
-                strict=True,
-            ):
-                column += values
+            put(np.stack(words, axis=1), counts[k][chosen], ls, rs, p.hashes[chosen], levels[k - 1].hashes[heads[k - 1]], levels[k - 1].hashes[tails[k - 1]])
         lists = pa.list_(pa.int64())
         arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), longs(columns[2]), longs(columns[3]), pa.array(columns[4], lists), pa.array(columns[5], lists)]
         return pa.table([*arrays, *(longs(c) for c in columns[6:])], ["lang", "phrase", "a", "n", "ls", "rs", "hash", "head", "tail"])
@@ -345,11 +424,24 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
     if longest < 2 or least < 1:
         raise ValueError("phrases have at least two words and occur at least once")
     chosen = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    buckets = buckets_for(chosen)
+    size = chosen.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets, short = buckets_of(size), short_bits(size)
+
+    def next_round(asked: DataFrame, answer, tell, purpose: str) -> DataFrame:
+        """What is left after a round; the tables of the round are not needed any more."""
+        answers = answered(asked, answer, f"{purpose}-answers")
+        left = asked_again(asked, answers, tell, purpose)
+        forget(asked, answers)
+        return left
+
     shards = batched(chosen, _shard(buckets), "phrases-words")
-    pairs = asked_again(shards, answered(shards, _summed(least), "phrases-words-answers"), _without_rare_words(buckets), "phrases-pairs")
-    longer = asked_again(pairs, answered(pairs, _summed(least), "phrases-pairs-answers"), _without_rare_pairs(buckets, longest), "phrases-longer")
-    return told(longer, answered(longer, _summed(least), "phrases-longer-answers"), _frequent(buckets, longest), _FOUND)
+    pairs = next_round(shards, _summed(least), _without_rare_words(buckets, short), "phrases-pairs")
+    triples = next_round(pairs, _summed(least, False), _without_rare_pairs(buckets, longest, short), "phrases-triples")
+    longer = next_round(triples, _summed(least), _without_rare_triples(buckets, longest, short), "phrases-longer")
+    answers = answered(longer, _summed(least), "phrases-answers")
+    found = written(told(longer, answers, _frequent(buckets, longest), _FOUND), "phrases")
+    forget(longer, answers)
+    return found
 
 
 def lowest_cut() -> Column:
@@ -378,7 +470,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
     Whole texts are read, and a text of any length is in one shard. 64-bit hashes stand for
     words and phrases between the shards.
     """
-    found = written(frequent_phrases(docs, least, longest, text_column, lang_column), "phrases")
+    found = frequent_phrases(docs, least, longest, text_column, lang_column)
     longer = found.where(F.size("ls") > 1).select(F.explode(F.array("head", "tail")).alias("hash"), "a").groupBy("hash").agg(F.max("a").alias("within"))
     alone = found.join(longer, "hash", "left").where(F.col("within").isNull() | (F.col("within") * 100 < F.col("a") * cover))
     ranked = alone.withColumn("cut", lowest_cut()).select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")

@@ -38,6 +38,15 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again."""
+    for table in tables:
+        spark, files = table.sparkSession, table.inputFiles()
+        if files:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dump(*arrays: np.ndarray) -> bytes:
     """Arrays in a compressed row; the bytes of numbers are put together by their place."""
     squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -70,7 +79,11 @@ def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def buckets_for(docs: DataFrame, text_column: str = "text") -> int:
     """Buckets that hold about as much for every size of the table."""
-    size = docs.agg(F.sum(F.octet_length(text_column).cast("long"))).first()[0] or 0
+    return buckets_of(docs.agg(F.sum(F.octet_length(text_column).cast("long"))).first()[0] or 0)
+
+
+def buckets_of(size: int) -> int:
+    """Buckets for texts of so many bytes."""
     return max(64, -(-size // BUCKET))
 
 

@@ -80,6 +80,14 @@ def test_many_small_shards_and_buckets(spark, monkeypatch):
     assert found(spark, rows, 6, parts=8) == expected
 
 
+@pytest.mark.parametrize("bits", [0, 2, 6])
+def test_short_hashes_that_are_shared_change_nothing(spark, monkeypatch, bits):
+    """Rare pairs and triples that share the short hash of others stay for a while, and count by their own."""
+    rows = prose(11, 120)
+    monkeypatch.setattr(col, "short_bits", lambda size: np.uint64(((1 << bits) - 1) << (64 - bits)))
+    assert found(spark, rows, 6) == brute(rows, 6)
+
+
 def test_a_phrase_is_counted_over_all_shards(spark):
     rows = [("en", "one two three")] * 100 + [("en", "one two")] * 99 + [("fr", "one two")] * 99
     assert found(spark, rows, 100, parts=9) == brute(rows, 100) == [
@@ -139,3 +147,13 @@ def test_extension_keeps_both_directions_in_step():
         f, r = forward.extended(*near), reverse.extended(*far)
         assert sorted(f[4].tolist()) == r[0].tolist() and sorted(r[4].tolist()) == f[0].tolist()
         near, far = (f[0], f[1], f[4]), (r[0], r[1], r[4])
+
+
+def test_stretches_keep_what_runs_cover():
+    ids = np.array([0, 1, 2, 3, 4, 0, 5, 6, 7, 0], np.uint32)
+    hashes = np.arange(1, 8, dtype=np.uint64)
+    at, runs = col.runs_of(ids, hashes, 3)
+    assert at.tolist() == [1, 2, 6] and runs[0] == ((hashes[:1] * col.BASE + hashes[1:2]) * col.BASE + hashes[2:3])[0]
+    assert col.stretches(ids, at[[0]], 3).tolist() == [0, 1, 2, 3, 0]
+    assert col.stretches(ids, at[[1, 2]], 3).tolist() == [0, 2, 3, 4, 0, 5, 6, 7, 0]
+    assert col.stretches(ids, np.array([1, 3]), 2).tolist() == [0, 1, 2, 0, 3, 4, 0] and col.stretches(ids, at[:0], 3).tolist() == [0]
