@@ -20,10 +20,28 @@ from tarmac.session import shared_dir
 from tarmac.sources.schemas import FLIGHT_STATUS, FORECAST, OBSERVATION, SCHEDULED_FLIGHT
 
 
+def _once(df: DataFrame, **values: Column) -> DataFrame:
+    """Further columns, each computed once per row.
+
+    A filter on a plain column is pushed below it and takes the column's whole expression
+    along, once for each time it is named: texts would be made and parsed several times.
+    Filters do not pass a generator, here over the one record of the values.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
+
+
 def _fields(raw: DataFrame, body: str, names: Sequence[str]) -> DataFrame:
     """Top-level fields of the answer as texts, in struct `_answer`."""
     schema = ", ".join(f"`{n}` string" for n in [*names, "error", "errors"])
-    return raw.withColumn("_answer", F.from_json(F.col(body), schema))
+    return _once(raw, _answer=F.from_json(F.col(body), schema))
+
+
+def _listed(raw: DataFrame, body: str, names: Sequence[str], lone_allowed: bool) -> DataFrame:
+    """`_texts`, the entries of the answer's list as texts, and `_failure` if it has none."""
+    fields = _fields(raw, body, names)
+    listed = F.coalesce(*[F.col("_answer")[n] for n in names])
+    read = _once(fields, _texts=_texts(listed, lone_allowed))
+    return read.withColumn("_failure", _failure(listed, lone_allowed)).withColumn("_texts", F.when(F.col("_failure").isNull(), F.col("_texts"))).drop("_answer")
 
 
 def _texts(listed: Column, lone_allowed: bool) -> Column:
@@ -33,13 +51,14 @@ def _texts(listed: Column, lone_allowed: bool) -> Column:
 
 
 def _failure(listed: Column, lone_allowed: bool) -> Column:
+    """Why an answer has no list; `_texts` holds what was read of it."""
     answer = F.col("_answer")
     reason = F.when(answer["error"].isNotNull() | answer["errors"].isNotNull(), "error answer").when(
         listed.isNull(), "no list in the answer"
     )
     if not lone_allowed:
         reason = reason.when(~F.ltrim(listed).startswith("["), "not a list")
-    return reason.when(_texts(listed, lone_allowed).isNull(), "unreadable list")
+    return reason.when(F.col("_texts").isNull(), "unreadable list")
 
 
 def _items(
@@ -50,10 +69,7 @@ def _items(
     An answer that is no list is a row without position. An empty list gives none. A record
     must have `time`; the `further` times it may lack, but what it has of them must be readable.
     """
-    parsed = _fields(raw, body, names)
-    listed = F.coalesce(*[F.col("_answer")[n] for n in names])
-    failure = _failure(listed, lone_allowed)
-    marked = parsed.withColumns({"_failure": failure, "_texts": F.when(failure.isNull(), _texts(listed, lone_allowed))})
+    marked = _listed(raw, body, names, lone_allowed)
     rows = marked.select("*", F.posexplode_outer("_texts").alias("_position", "_entry")).where(
         F.col("_failure").isNotNull() | F.col("_position").isNotNull()
     )
@@ -62,9 +78,11 @@ def _items(
     if time is not None:
         bad = bad.when(F.col(f"_item.{time}").isNull(), f"no readable {time}")
     for name in further:
-        told = F.get_json_object("_entry", f"$.{name}").isNotNull()
+        # Most entries have no such name, which is found without parsing; an escape may spell it.
+        spelled = F.col("_entry").contains(name) | F.col("_entry").contains("\\")
+        told = spelled & F.get_json_object("_entry", f"$.{name}").isNotNull()
         bad = bad.when(F.col(f"_item.{name}").isNull() & told, f"no readable {name}")
-    return rows.withColumn("_item", record).withColumn("_reason", F.coalesce("_failure", bad)).drop("_answer", "_failure", "_texts")
+    return _once(_once(rows.drop("_texts"), _item=record), _reason=F.coalesce("_failure", bad)).drop("_failure")
 
 
 def _rows(
@@ -77,13 +95,8 @@ def _rows(
 
 def answer_rejects(raw: DataFrame, names: Sequence[str], body: str = "body", lone_allowed: bool = False) -> DataFrame:
     """Answers that carry no list, with `reject_reason`."""
-    listed = F.coalesce(*[F.col("_answer")[n] for n in names])
-    return (
-        _fields(raw, body, names)
-        .withColumn("reject_reason", _failure(listed, lone_allowed))
-        .where(F.col("reject_reason").isNotNull())
-        .drop("_answer")
-    )
+    read = _listed(raw, body, names, lone_allowed).drop("_texts").withColumnRenamed("_failure", "reject_reason")
+    return read.where(F.col("reject_reason").isNotNull())
 
 
 def rejects(
@@ -227,13 +240,10 @@ def ingest_statuses(raw: DataFrame, keys: Sequence[str], body: str = "body") ->
 
     Only position 0 counts, so nothing is exploded.
     """
-    parsed = _fields(raw, body, ["flightStatuses"])
-    listed = F.col("_answer.flightStatuses")
-    entry = F.get(_texts(listed, False), F.lit(0))
-    first = F.when(F.ltrim(entry).startswith("{"), F.from_json(entry, f"struct<{FLIGHT_STATUS}>"))
+    entries = _once(_listed(raw, body, ["flightStatuses"], lone_allowed=False), _entry=F.get("_texts", F.lit(0)))
+    first = F.when(F.ltrim("_entry").startswith("{"), F.from_json("_entry", f"struct<{FLIGHT_STATUS}>"))
     return (
-        parsed.where(_failure(listed, False).isNull())
-        .withColumn("_first", first)
+        _once(entries.where(F.col("_failure").isNull()), _first=first)
         .where(F.col("_first").isNotNull())
         .select(*keys, F.col("_first.status").alias("status"), *_instants("_first"))
     )

@@ -98,3 +98,39 @@ def test_built_with_rejects(rows):
     lost = {(r.service, r.reject_reason, r.entry) for r in built.rejects.where("service <> 'observations'").collect()}
     assert lost == {("schedules", "not a record", "9"), ("statuses", "not a record", "x"), ("airports", "no airport record: XXX", "BOS-XXX")}
     assert built.counts == {"schedules": {"rows": 2, "rejects": 1}, "statuses": {"rows": 1, "rejects": 1}, "observations": {"rows": 3, "rejects": 5}}
+
+
+def parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
+
+
+def test_each_text_is_parsed_once_a_row(rows):
+    """The answer, its list and the entry: three parses, whatever filters and columns ask of them."""
+    raw = observations(rows)
+    assert parses(landed.ingest_observations(raw)) == 3
+    assert parses(landed.observation_rejects(raw)) == 3
+    assert parses(landed.answer_rejects(raw, ["observation", "observations"], lone_allowed=True)) == 2
+    answers = rows([("1", json.dumps({"flightStatuses": [{"status": "L"}]}))], "flight string, body string")
+    assert parses(landed.ingest_statuses(answers, ["flight"])) == 3
+    assert landed.ingest_statuses(answers, ["flight"]).first().status == "L"
+
+
+def test_an_escaped_name_is_a_name(rows):
+    entry = '{"departureTime":"2016-10-12T01:00:00.000","arrival\\u0054ime":"late"}'
+    plain = '{"departureTime":"2016-10-12T01:00:00.000","flightNumber":"\\u0041"}'
+    raw = rows([(2016, 10, 12, 1, '{"scheduledFlights":[' + entry + "," + plain + "]}")], "year int, month int, day int, hour int, body string")
+    assert [(r.reject_reason, r.position) for r in landed.schedule_rejects(raw).collect()] == [("no readable arrivalTime", 0)]
+    assert [r.flightNumber for r in landed.ingest_schedules(raw).collect()] == ["A"]
+
+
+def test_statuses_and_observations_are_parsed_into_tables(rows):
+    schedule = {"carrierFsCode": "XX", "flightNumber": "1", "departureAirportFsCode": "BOS", "arrivalAirportFsCode": "BOS", "departureTime": "2016-10-11T23:00:00.000"}
+    schedules = rows([(2016, 10, 11, 23, json.dumps({"scheduledFlights": [schedule]}))], "year int, month int, day int, hour int, body string")
+    times = {n: {"dateUtc": "2016-10-11T23:0%d:00.000Z" % i} for i, n in enumerate(("scheduledGateDeparture", "actualRunwayDeparture", "actualRunwayArrival"))}
+    answer = json.dumps({"flightStatuses": [{"status": "L", "operationalTimes": times}]})
+    statuses = rows([("XX", "1", "BOS", answer)] * 2, "carrier string, flight_number string, dep string, body string").selectExpr("*", "date'2016-10-11' as day")
+    airports = rows([(json.dumps({"airports": [{"fs": "BOS", "name": "Boston"}]}),)], "body string")
+    built = from_landed.build_from_landed(schedules, statuses, airports, observations(rows))
+    assert parses(built) == 0
+    lazy = from_landed.build_from_landed(schedules, statuses, airports, observations(rows), materialise=False)
+    assert same(lazy, built) and built.count() == 1
