@@ -7,7 +7,7 @@ from tarmac.operators.routes import route_counts as count_routes
 from tarmac.operators.routes import route_links
 from tarmac.plans import from_landed
 from tarmac.plans import workload as w
-from tarmac.session import shared_dir
+from tarmac.session import shared_dir, written
 from tarmac.sources import accumulate, datasets, history, landed, metadata
 from tarmac.sources.schemas import AIRPORT
 
@@ -217,9 +217,9 @@ def ingest_appendix(spark, folder):
     return landed.ingest_appendix(answers, "airports", AIRPORT, "fs").select("fs", "name")
 
 
-def _raw_schedules(spark, folder):
+def _raw_schedules(spark, folder, flights=None):
     """Three answers per flight: its schedule, an hour without flights, and an error."""
-    flights = w.flights(spark, folder)
+    flights = w.flights(spark, folder) if flights is None else flights
     flight = F.struct(
         F.col("carrier").alias("carrierFsCode"),
         F.col("flight_number").alias("flightNumber"),
@@ -263,7 +263,7 @@ def ingest_schedules_rejects(spark, folder):
     return bad.groupBy("reject_reason", "position").agg(F.count(F.lit(1)).alias("answers"))
 
 
-def _raw_statuses(spark, folder):
+def _raw_statuses(spark, folder, flights=None):
     """A status answer per flight with two entries; for every 30th flight the first one is none."""
 
     def instant(column):
@@ -276,7 +276,7 @@ def _raw_statuses(spark, folder):
     )
     first = F.to_json(F.struct("status", times.alias("operationalTimes")))
     entry = F.when(F.col("flight_id") % 30 == 0, F.lit("3")).otherwise(first)
-    flights = w.flights(spark, folder).where(F.col("act_dep").isNotNull())
+    flights = (w.flights(spark, folder) if flights is None else flights).where(F.col("act_dep").isNotNull())
     return flights.select("flight_id", F.concat(F.lit('{"flightStatuses":['), entry, F.lit(',{"status":"X"}]}')).alias("body"))
 
 
@@ -335,10 +335,11 @@ def _told(at: str, station: str) -> str:
 
 
 def _landed_answers(spark, folder):
-    """Answers of four services, bad entries among them."""
-    keys = w.flights(spark, folder).select("flight_id", "carrier", "flight_number", "dep", F.to_date("sched").alias("day"))
-    statuses = _raw_statuses(spark, folder).join(keys, "flight_id").drop("flight_id")
-    return _raw_schedules(spark, folder), statuses, _raw_airports(spark, folder), _raw_observations(spark, folder)
+    """Answers of four services, bad entries among them. The flights that three tables are made of are derived once."""
+    flights = written(w.flights(spark, folder), "flights")
+    keys = flights.select("flight_id", "carrier", "flight_number", "dep", F.to_date("sched").alias("day"))
+    statuses = _raw_statuses(spark, folder, flights).join(keys, "flight_id").drop("flight_id")
+    return _raw_schedules(spark, folder, flights), statuses, _raw_airports(spark, folder), _raw_observations(spark, folder)
 
 
 _BUILT = f"""select f.flight_number, f.dep, f.arr, cast(f.classification as bigint) as classification,

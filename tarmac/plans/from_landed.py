@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tarmac.operators.joins import airport_rejects
 from tarmac.plans.labelled import build_labelled_flights
 from tarmac.plans.scoring import score_upcoming
+from tarmac.session import written
 from tarmac.sources import history, landed, metadata
 
 KEYS = ("carrier", "flight_number", "dep", "day")
@@ -53,15 +54,14 @@ def build_from_landed(
 
     Answers that were fetched twice count once: schedules are distinct, a flight has one
     status, and observations of one airport and instant are one. `build_with_rejects` also
-    gives what is left out along the way.
+    gives what is left out along the way. Statuses and observations are read more than once,
+    so they are parsed into a table first, unless told `materialise=False`.
     """
-    return build_labelled_flights(
-        landed_schedules(schedules).distinct(),
-        landed_statuses(statuses),
-        metadata.load_airports(airports).drop("metadata_type"),
-        landed.ingest_observations(observations),
-        **options,
-    )
+    parsed = [landed_statuses(statuses), landed.ingest_observations(observations)]
+    if options.get("materialise", True):
+        parsed = [written(rows, purpose) for rows, purpose in zip(parsed, ("statuses", "observations"), strict=True)]
+    known = metadata.load_airports(airports).drop("metadata_type")
+    return build_labelled_flights(landed_schedules(schedules).distinct(), parsed[0], known, parsed[1], **options)
 
 
 @dataclass(frozen=True)
