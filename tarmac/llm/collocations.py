@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.arrays import LOWER, buffer_of, distinct, expand, longs, mix, prefix_hashes, runs, span_hashes, words
-from tarmac.llm.exchange import answered, asked_again, batched, bucket_edges, buckets_of, deltas, dump, forget, load, sums, told
+from tarmac.llm.exchange import answered, asked_again, batched, bucket_edges, buckets_of, deltas, dump, forget, load, shuffles_removed, sums, told
 from tarmac.session import written
 
 #: Bytes between pieces, `[.,;:!?\x0A-\x0D]`, and those and `[\x20\x09]` between words.
@@ -174,8 +174,18 @@ def _summed(least: int, counted: bool = True):
     return answer
 
 
+def _word_hashes(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray, language: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The hashes of words in their languages, of which `seeds` are the hashes."""
+    return mix(span_hashes(prefix_hashes(letters), starts, ends) + mix(seeds[language] ^ BASE))
+
+
 def _shard(buckets: int):
-    """Body: ids with separators; hash, language and spelling of each id; the languages. Question: counts."""
+    """Body: ids with separators; language and spelling of each id; the languages. Question: counts.
+
+    The most frequent word is 1. Words that the shard has once are the last, in the order in
+    which they stand there, and are written as one id: `_ids_of` tells them apart again.
+    Hashes, which do not compress, are made again from the spelling.
+    """
 
     def make(parts: list[pa.RecordBatch]) -> tuple[bytes, list[tuple[int, bytes]]]:
         names: dict[str, int] = {}
@@ -196,6 +206,12 @@ def _shard(buckets: int):
         seeds = span_hashes(prefix_hashes(names_buf), names_at[:-1], names_at[1:])
         language = np.concatenate(language)
         known, place, which = distinct(mix(np.concatenate(met) + mix(seeds[language] ^ BASE)))
+        times = np.bincount(which, minlength=len(known))
+        often = np.lexsort((np.where(times > 1, 0, place), -times))
+        known, place, times = known[often], place[often], times[often]
+        new = np.empty(len(often), np.int64)
+        new[often] = np.arange(len(often))
+        which = new[which]
         # Spellings are taken from the part in which each word's place is.
         part_starts = np.cumsum([0, *(len(m) for m in met)])
         part_of = np.searchsorted(part_starts, place, side="right") - 1
@@ -212,18 +228,27 @@ def _shard(buckets: int):
             spelling[expand(begins[mine], lengths[mine])] = letters
         breaks = np.concatenate(breaks) if breaks else np.zeros(0, bool)
         ids = np.zeros(len(which) + int(breaks.sum()) + 1, np.uint32)
-        ids[np.arange(len(which)) + np.cumsum(breaks)] = which + 1
+        once = int((times > 1).sum())
+        ids[np.arange(len(which)) + np.cumsum(breaks)] = np.minimum(which, once) + 1
         del met, spelled, pieces
-        body = dump(ids, deltas(known), language[place].astype(np.uint32), lengths.astype(np.uint32), spelling, names_at, names_buf, seeds)
+        body = dump(ids, np.array([once], np.uint32), language[place].astype(np.uint32), lengths.astype(np.uint32), spelling, names_at, names_buf, seeds)
         del ids
         asked = np.concatenate([known, mix(seeds ^ LANGUAGE)])
-        counts = np.concatenate([np.bincount(which, minlength=len(known)), np.bincount(language, minlength=len(seeds))])
+        counts = np.concatenate([times, np.bincount(language, minlength=len(seeds))])
         order = np.argsort(asked)
         return body, _questions(asked[order], counts[order], buckets)
 
     return make
 
 
+def _ids_of(ids: np.ndarray, once: int) -> np.ndarray:
+    """The sequence in which each word that occurs once, all of them `once` + 1, has an id of its own."""
+    out = ids.copy()
+    single = np.flatnonzero(ids == once + 1)
+    out[single] = np.arange(once + 1, once + 1 + len(single))
+    return out
+
+
 def _kept_ids(ids: np.ndarray, keep: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sequence with new ids for those to keep and one separator for any run of others; and which are kept.
 
@@ -288,8 +313,10 @@ def _without_rare_words(buckets: int, short: np.uint64):
     """Body: the shard with frequent words only. Question: counts of pairs, by their short hashes."""
 
     def tell(body: bytes, replies: dict[int, bytes]) -> tuple[bytes, list[tuple[int, bytes]]] | None:
-        ids, known, language, lengths, spelling, names_at, names_buf, seeds = load(body)
-        known = sums(known)
+        ids, once, language, lengths, spelling, names_at, names_buf, seeds = load(body)
+        ids = _ids_of(ids, int(once[0]))
+        ends = np.cumsum(lengths, dtype=np.int64)
+        known = _word_hashes(spelling, ends - lengths, ends, language, seeds)
         asked = np.sort(np.concatenate([known, mix(seeds ^ LANGUAGE)]))
         totals, _ = _totals(asked, replies, buckets)
         often = totals[np.searchsorted(asked, known)]
@@ -424,6 +451,12 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
     if longest < 2 or least < 1:
         raise ValueError("phrases have at least two words and occur at least once")
     chosen = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    with shuffles_removed(docs.sparkSession):
+        return _counted(chosen, least, longest)
+
+
+def _counted(chosen: DataFrame, least: int, longest: int) -> DataFrame:
+    """The rounds of `frequent_phrases`, from lang and text."""
     size = chosen.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets, short = buckets_of(size), short_bits(size)
 
