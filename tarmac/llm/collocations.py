@@ -174,9 +174,15 @@ def _summed(least: int, counted: bool = True):
     return answer
 
 
-def _word_hashes(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray, language: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The hashes of words in their languages, of which `seeds` are the hashes."""
-    return mix(span_hashes(prefix_hashes(letters), starts, ends) + mix(seeds[language] ^ BASE))
+def _seeds(names_at: np.ndarray, names_buf: np.ndarray) -> np.ndarray:
+    """The hashes of the languages' names."""
+    return span_hashes(prefix_hashes(names_buf), names_at[:-1], names_at[1:])
+
+
+def _word_hashes(lengths: np.ndarray, spelling: np.ndarray, language: np.ndarray, names_at: np.ndarray, names_buf: np.ndarray) -> np.ndarray:
+    """The hashes of a body's words in their languages, in the order of their ids."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return mix(span_hashes(prefix_hashes(spelling), ends - lengths, ends) + mix(_seeds(names_at, names_buf)[language] ^ BASE))
 
 
 def _shard(buckets: int):
@@ -203,7 +209,7 @@ def _shard(buckets: int):
             spelled.append((buf, starts, ends - starts))
         langs = pa.array(list(names), pa.string())
         names_buf, names_at = buffer_of(langs)
-        seeds = span_hashes(prefix_hashes(names_buf), names_at[:-1], names_at[1:])
+        seeds = _seeds(names_at, names_buf)
         language = np.concatenate(language)
         known, place, which = distinct(mix(np.concatenate(met) + mix(seeds[language] ^ BASE)))
         times = np.bincount(which, minlength=len(known))
@@ -231,7 +237,7 @@ def _shard(buckets: int):
         once = int((times > 1).sum())
         ids[np.arange(len(which)) + np.cumsum(breaks)] = np.minimum(which, once) + 1
         del met, spelled, pieces
-        body = dump(ids, np.array([once], np.uint32), language[place].astype(np.uint32), lengths.astype(np.uint32), spelling, names_at, names_buf, seeds)
+        body = dump(ids, np.array([once], np.uint32), language[place].astype(np.uint32), lengths.astype(np.uint32), spelling, names_at, names_buf)
         del ids
         asked = np.concatenate([known, mix(seeds ^ LANGUAGE)])
         counts = np.concatenate([times, np.bincount(language, minlength=len(seeds))])
@@ -313,10 +319,9 @@ def _without_rare_words(buckets: int, short: np.uint64):
     """Body: the shard with frequent words only. Question: counts of pairs, by their short hashes."""
 
     def tell(body: bytes, replies: dict[int, bytes]) -> tuple[bytes, list[tuple[int, bytes]]] | None:
-        ids, once, language, lengths, spelling, names_at, names_buf, seeds = load(body)
-        ids = _ids_of(ids, int(once[0]))
-        ends = np.cumsum(lengths, dtype=np.int64)
-        known = _word_hashes(spelling, ends - lengths, ends, language, seeds)
+        ids, once, language, lengths, spelling, names_at, names_buf = load(body)
+        ids, seeds = _ids_of(ids, int(once[0])), _seeds(names_at, names_buf)
+        known = _word_hashes(lengths, spelling, language, names_at, names_buf)
         asked = np.sort(np.concatenate([known, mix(seeds ^ LANGUAGE)]))
         totals, _ = _totals(asked, replies, buckets)
         often = totals[np.searchsorted(asked, known)]
@@ -329,7 +334,7 @@ def _without_rare_words(buckets: int, short: np.uint64):
         _, counts, tail, first, _ = index.extended(starts, sizes, starts)
         pairs = hashes[by[tail] - 1] + hashes[first - 1] * BASE
         everything = totals[np.searchsorted(asked, mix(seeds ^ LANGUAGE))]
-        new = dump(ids, hashes, language[kept], lengths[kept], _spelled(lengths, spelling, kept), names_at, names_buf, often[kept], everything)
+        new = dump(ids, language[kept], lengths[kept], _spelled(lengths, spelling, kept), names_at, names_buf, often[kept], everything)
         return new, _questions(*_merged(pairs & short, counts), buckets)
 
     return tell
@@ -339,7 +344,8 @@ def _without_rare_pairs(buckets: int, depth: int, short: np.uint64):
     """Body: the stretches of pairs that may be frequent. Question: counts of pairs, and of triples by their short hashes."""
 
     def tell(body: bytes, replies: dict[int, bytes]) -> tuple[bytes, list[tuple[int, bytes]]] | None:
-        ids, hashes, language, lengths, spelling, names_at, names_buf, often, everything = load(body)
+        ids, language, lengths, spelling, names_at, names_buf, often, everything = load(body)
+        hashes = _word_hashes(lengths, spelling, language, names_at, names_buf)
         at, pairs = runs_of(ids, hashes, 2)
         asked, _, which = distinct(pairs & short)
         totals, _ = _totals(asked, replies, buckets)
@@ -355,7 +361,7 @@ def _without_rare_pairs(buckets: int, depth: int, short: np.uint64):
         triples, counts = _together(levels[2:])
         triples, counts = _merged(triples & short, counts)
         pairs, times = _together(levels[1:2])
-        new = dump(ids, hashes, language[kept], lengths[kept], _spelled(lengths, spelling, kept), names_at, names_buf, often[kept], everything)
+        new = dump(ids, language[kept], lengths[kept], _spelled(lengths, spelling, kept), names_at, names_buf, often[kept], everything)
         return new, _questions(*_merged(np.concatenate([pairs, triples]), np.concatenate([times, counts])), buckets)
 
     return tell
@@ -365,7 +371,8 @@ def _without_rare_triples(buckets: int, depth: int, short: np.uint64):
     """Body: the stretches of triples that may be frequent, and the frequent pairs. Question: counts of phrases of three ids and more."""
 
     def tell(body: bytes, replies: dict[int, bytes]) -> tuple[bytes, list[tuple[int, bytes]]] | None:
-        ids, hashes, language, lengths, spelling, names_at, names_buf, often, everything = load(body)
+        ids, language, lengths, spelling, names_at, names_buf, often, everything = load(body)
+        hashes = _word_hashes(lengths, spelling, language, names_at, names_buf)
         at, pairs = runs_of(ids, hashes, 2)
         known, place, _ = distinct(pairs)
         begins, triples = runs_of(ids, hashes, 3) if depth > 2 else (at[:0], pairs[:0])
@@ -379,7 +386,7 @@ def _without_rare_triples(buckets: int, depth: int, short: np.uint64):
         ids = stretches(ids, begins[totals[np.searchsorted(asked, triples & short)] > 0], 3)
         longer, counts = _together(_phrases_of(ids, hashes, depth)[2:])
         order = np.argsort(longer)
-        return dump(ids, hashes, language, lengths, spelling, names_at, names_buf, often, everything, *held), _questions(longer[order], counts[order], buckets)
+        return dump(ids, language, lengths, spelling, names_at, names_buf, often, everything, *held), _questions(longer[order], counts[order], buckets)
 
     return tell
 
@@ -388,7 +395,8 @@ def _frequent(buckets: int, depth: int):
     """The frequent phrases that this shard speaks for, with the counts of the two parts of every cut."""
 
     def tell(body: bytes, replies: dict[int, bytes]) -> pa.Table:
-        ids, hashes, language, lengths, spelling, names_at, names_buf, often, everything, pairs, of_pairs, ours_of_pairs, one, two = load(body)
+        ids, language, lengths, spelling, names_at, names_buf, often, everything, pairs, of_pairs, ours_of_pairs, one, two = load(body)
+        hashes = _word_hashes(lengths, spelling, language, names_at, names_buf)
         begins = np.cumsum(lengths, dtype=np.int64) - lengths
         letters, places = spelling.tobytes(), names_at.tolist()
         texts = [letters[b : b + n] for b, n in zip(begins.tolist(), lengths.tolist(), strict=True)]
