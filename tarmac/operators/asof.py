@@ -172,8 +172,9 @@ def attach(df: DataFrame, answers: DataFrame, station: str, at: str, name: str)
     side = answers.select(
         F.col("_station").alias("_a_station"),
         F.col("_at").alias("_a_at"),
-        # Always 0, but not to the optimiser, which would drop a constant from the keys.
-        F.pmod(F.xxhash64("_station"), F.lit(1)).alias("_a_spread"),
+        # Always 0, but not to the optimiser, which would drop a constant from the keys. Never null: a
+        # filter for that would reach one of the two uses of the search's rows, which then share no shuffle.
+        F.coalesce(F.pmod(F.xxhash64("_station"), F.lit(1)), F.lit(0).cast("bigint")).alias("_a_spread"),
         F.col("_obs").alias(name),
     )
     same = (F.col(station) == F.col("_a_station")) & (F.col(at) == F.col("_a_at")) & (F.col("_spread") == F.col("_a_spread"))

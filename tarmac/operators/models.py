@@ -32,9 +32,11 @@ def _pipeline(classifier, name: str, cleaning: str, width: int) -> Pipeline:
 
     The array is cleaned by `transform`, where generated code ends: with the cleaning of
     several models in it, one method has more than the 8000 bytes that the JVM compiles.
+    Models that clean alike have the same first two stages and the same last one, so that
+    `train_all` and `score` make the vectors once for all of them.
     """
-    array, vector = f"_{name}_cleaned", f"_{name}_vector"
-    inputs = [f"_{name}_{i}" for i in range(width)]
+    array, vector = f"_{cleaning}_cleaned", f"_{cleaning}_vector"
+    inputs = [f"_{cleaning}_{i}" for i in range(width)]
     cleaned = _CLEANING[cleaning].format(v="v")
     elements = ", ".join(f"coalesce(get({array}, {i}), 0D) AS {column}" for i, column in enumerate(inputs))
     inner = f"SELECT *, transform(features, v -> {cleaned}) AS {array} FROM __THIS__"
@@ -150,12 +152,28 @@ def train(labelled: DataFrame, name: str, handler: DefaultHandler | None = None,
 def train_all(
     labelled: DataFrame, handler: DefaultHandler | None = None, names: Iterable[str] = tuple(MODELS), **options
 ) -> ModelRegistry:
-    """Train several models on one persisted set."""
-    held = labelled.persist()
+    """Train several models; labels and vectors are made once and persisted for those that clean alike.
+
+    `labelled` is read once for each cleaning and once by naive Bayes: write it first if it is costly.
+    """
+    handler = handler or DefaultHandler()
+    held, trained = {}, {}
     try:
-        return ModelRegistry({n: train(held, n, handler, **options.get(n, {})) for n in names})
+        for name in names:
+            chosen = options.get(name, {})
+            if name == "naive_bayes":
+                trained[name] = train(labelled, name, handler, **chosen)
+                continue
+            clean, assemble, classifier, drop = MODELS[name](feature_width(handler), **chosen).getStages()
+            vector = assemble.getOutputCol()
+            if vector not in held:
+                vectors = assemble.transform(clean.transform(with_classes(labelled, handler)))
+                held[vector] = vectors.select("label", vector).persist()
+            trained[name] = PipelineModel([clean, assemble, classifier.fit(held[vector]), drop])
+        return ModelRegistry(trained)
     finally:
-        held.unpersist()
+        for vectors in held.values():
+            vectors.unpersist()
 
 
 class ModelRegistry:
@@ -189,12 +207,31 @@ class ModelRegistry:
 
 
 def score(df: DataFrame, registry: ModelRegistry) -> DataFrame:
-    """A prediction column per model. A projection over the rows: no shuffle."""
+    """A prediction column per model. A projection over the rows: no shuffle.
+
+    Models with the same preparing stages predict from the same vectors, which are made once.
+    """
+    drops = {}
     for model in registry.require().values():
-        df = model.transform(df)
+        if not _has_vectors(model):
+            df = model.transform(df)
+            continue
+        clean, assemble, classifier, drop = model.stages
+        vector = (clean.getStatement(), assemble.getOutputCol())
+        if vector not in drops:
+            df = assemble.transform(clean.transform(df))
+            drops[vector] = drop
+        df = classifier.transform(df)
+    for drop in drops.values():
+        df = drop.transform(df)
     return df
 
 
+def _has_vectors(model: PipelineModel) -> bool:
+    """The model is one of `_pipeline`."""
+    return len(model.stages) == 4 and isinstance(model.stages[1], VectorAssembler)
+
+
 def long_predictions(scored: DataFrame, registry: ModelRegistry, keep: Iterable[str] = ()) -> DataFrame:
     """One row per flight and model."""
     entries = [

@@ -102,9 +102,10 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
     return label_landed(flights(spark, folder))
 
 
-def landed_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The landed flights, written: a weather search reads its flights twice."""
-    return written(landed(spark, folder), "landed")
+def landed_table(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The landed flights, or these columns of them, written: a weather search reads its flights twice."""
+    flown = landed(spark, folder)
+    return written(flown.select(*columns) if columns else flown, "landed")
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
@@ -192,8 +193,12 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    """Landed flights with the weather of both ends: the training records."""
-    return weather_at_both_ends(landed_table(spark, folder), observations(spark, folder)).select(
+    """Landed flights with the weather of both ends: the training records.
+
+    The search takes along, and hashes, every column that its flights have: only those needed are written for it.
+    """
+    flown = landed_table(spark, folder, "flight_id", "dep", "arr", "sched", "act_arr", "delta", "classification")
+    return weather_at_both_ends(flown, observations(spark, folder)).select(
         "flight_id",
         "dep",
         "arr",

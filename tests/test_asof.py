@@ -139,3 +139,14 @@ def test_observations_without_a_tie(rows):
         assert asof.nearest_observation(points, observed, "dep", "sched", "w").first().w.temp == 3.0
     observed = rows([("A", same, 5.0), ("A", same, 4.0)], "fs string, valid_time timestamp_ntz, temp double")
     assert asof.nearest_observation(points, observed, "dep", "sched", "w").first().w.temp == 4.0
+
+
+def test_both_uses_of_the_searched_rows_read_the_same(rows, capsys):
+    """A filter in one of them only would make the search read, reduce and shuffle its input twice."""
+    flights = rows([(1, "BOS", BASE, "SEA", BASE + timedelta(hours=3))], FLIGHTS)
+    observations = rows([(1, "BOS", BASE, 1.0), (2, "SEA", BASE, 2.0)], OBSERVATIONS)
+    found = asof.weather_at_both_ends(flights, observations)
+    found.explain(mode="extended")
+    optimised = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert "xxhash64" in optimised and "isnotnull(pmod(" not in optimised
+    assert [(r.departureWeather.obs_id, r.arrivalWeather.obs_id) for r in found.collect()] == [(1, 2)]

@@ -281,3 +281,14 @@ def test_a_leg_of_an_unknown_airport_is_a_leg(rows):
         "c": (1, None, "no airport record: XXX"),
         "d": (1, None, "no airport record: YYY"),
     }
+
+
+def test_training_records_write_only_the_columns_they_need(spark, folder, monkeypatch):
+    from tarmac.plans import workload
+
+    seen = []
+    monkeypatch.setattr(workload, "written", lambda df, purpose: seen.append(df.columns) or df)
+    labelled = workload.labelled(spark, folder)
+    assert seen == [["flight_id", "dep", "arr", "sched", "act_arr", "delta", "classification"]]
+    assert "value" in workload.landed_table(spark, folder).columns
+    assert labelled.columns == ["flight_id", "dep", "arr", "departureTime", "deltaDeparture", "classification", "departureWeather", "arrivalWeather"]

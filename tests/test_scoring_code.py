@@ -38,3 +38,28 @@ def test_missing_values_score_as_zero(spark, registry_and_rows):
     scored = models.score(spark.createDataFrame(rows, "flight_id int, features array<double>"), registry)
     names = [models.prediction_column(n) for n in models.MODELS if n != "naive_bayes"]
     assert len({tuple(r[n] for n in names) for r in scored.collect()}) == 1
+
+
+def test_models_that_clean_alike_share_their_vectors(registry_and_rows, capsys):
+    registry, labelled = registry_and_rows
+    models.score(labelled, registry).explain(mode="extended")
+    optimised = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    # One for naive Bayes, one for the three others.
+    assert optimised.count("transform(features") == 2
+
+
+def test_sharing_changes_no_prediction(registry_and_rows):
+    registry, labelled = registry_and_rows
+    alone = {"logistic_regression": {"iterations": 3}, "random_forest": {"trees": 3}}
+    shared = {r.flight_id: r for r in models.score(labelled, registry).collect()}
+    for name in models.MODELS:
+        column = models.prediction_column(name)
+        by_itself = models.train(labelled, name, **alone.get(name, {})).transform(labelled).collect()
+        assert len(by_itself) == 200 and all(r[column] == shared[r.flight_id][column] for r in by_itself), name
+
+
+def test_training_releases_what_it_held(spark, registry_and_rows):
+    _, labelled = registry_and_rows
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    models.train_all(labelled, names=("decision_tree", "naive_bayes"))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
